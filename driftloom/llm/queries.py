@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import host_reputation
+from .cdc_dedup import cdc_dedup
 from .chat_prefix import conversation_digests, format_conversations
 from .host_reputation import url_verdicts
+from .lpf_dedup import lpf_dedup
+from .pattern_packing import pack_documents
 from .polynomial_dedup import polynomial_dedup
+from .simhash import simhash_dedup
 from .warc import warc_round_trip
 
 
@@ -18,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes are the quality labels whose id is a page's."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -25,6 +33,12 @@ def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(pages, pages.join(labels, "page_id"))
 
 
+def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
@@ -32,6 +46,10 @@ def op6_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(turns), arranged=True)
 
 
+def op7_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 def op8_polynomial_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polynomial_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,8 +58,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op10_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All copies of a repeated string are removed, the first too."""
+    found = lpf_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_first=False, keep_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_host_reputation, op6_chat_prefix, op8_polynomial_dedup, op9_warc)}
+    return {f.__name__: f for f in (op2_simhash, op3_host_reputation, op4_pattern_packing, op6_chat_prefix, op7_cdc, op8_polynomial_dedup, op9_warc, op10_lpf)}
 
 
 _RHO = f"1.0/least(greatest(coalesce(case when room > 0 then spare/room end, {host_reputation.LEAST_RHO}), {host_reputation.LEAST_RHO}), {host_reputation.MOST_RHO}) - 1"
