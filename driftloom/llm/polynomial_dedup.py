@@ -80,7 +80,7 @@ def normalised(text: str | None) -> bytes:
 
 
 def fingerprints(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_chars, fp (both hashes), n_bytes, text_sha256 and the normalised text as body."""
+    """doc_id, n_chars, h (a hash of the text), fp (both hashes), n_bytes, text_sha256 and the normalised text as body."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,16 +92,17 @@ def fingerprints(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 [
                     batch.column(0),
                     batch.column(2),
+                    batch.column(3),
                     pa.array([(h0 << 31) | h1 for h0, h1, _ in hashed], pa.int64()),
                     pa.array([n for _, _, n in hashed], pa.int64()),
                     pa.array([hashlib.sha256(b).hexdigest() for b in bodies], pa.string()),
                     pa.array(bodies, pa.binary()),
                 ],
-                ["doc_id", "n_chars", "fp", "n_bytes", "text_sha256", "body"],
+                ["doc_id", "n_chars", "h", "fp", "n_bytes", "text_sha256", "body"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
-    return rows.mapInArrow(run, "doc_id long, n_chars long, fp long, n_bytes long, text_sha256 string, body binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(run, "doc_id long, n_chars long, h long, fp long, n_bytes long, text_sha256 string, body binary")
 
 
 def _differing(pairs: DataFrame, chunk: int) -> DataFrame:
@@ -120,7 +121,7 @@ def _differing(pairs: DataFrame, chunk: int) -> DataFrame:
 
 
 def polynomial_dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, h (XXH64 of the text by Spark).
 
     Of equal texts the row with the most code points in the original text stays, then the smallest doc_id; where that row
     itself is repeated (same id and text), each repetition has kept set, as ids can't tell them apart.
@@ -149,4 +150,5 @@ def _grouped(printed: DataFrame, chunk: int) -> DataFrame:
         "group_size",
         (F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.less"))).alias("kept"),
         "text_sha256",
+        "h",
     )

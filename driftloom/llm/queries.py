@@ -12,8 +12,10 @@ from .cdc_dedup import cdc_dedup
 from .chat_prefix import conversation_digests, format_conversations
 from .host_reputation import url_verdicts
 from .lpf_dedup import lpf_dedup
+from .lsa_decontam import decontaminate
 from .pattern_packing import pack_documents
 from .polynomial_dedup import polynomial_dedup
+from .quality_mil import quality_scores
 from .simhash import simhash_dedup
 from .warc import warc_round_trip
 
@@ -22,8 +24,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +46,10 @@ def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_lsa_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op6_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
@@ -51,7 +62,7 @@ def op7_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_polynomial_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return polynomial_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return polynomial_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("h")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +76,8 @@ def op10_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_host_reputation, op4_pattern_packing, op6_chat_prefix, op7_cdc, op8_polynomial_dedup, op9_warc, op10_lpf)}
+    own = (op1_quality_mil, op2_simhash, op3_host_reputation, op4_pattern_packing, op5_lsa_decontam, op6_chat_prefix, op7_cdc, op8_polynomial_dedup, op9_warc, op10_lpf)
+    return {f.__name__: f for f in own}
 
 
 _RHO = f"1.0/least(greatest(coalesce(case when room > 0 then spare/room end, {host_reputation.LEAST_RHO}), {host_reputation.LEAST_RHO}), {host_reputation.MOST_RHO}) - 1"

@@ -53,15 +53,15 @@ def simhash(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, h (a hash of the text), fp (the 64 bits as a signed long)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([simhash(x.as_py(), words) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def counts_of(fps: np.ndarray) -> np.ndarray:
@@ -168,11 +168,12 @@ def links(tiled: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links), root (a number of the
+    component) and h (XXH64 of the text by Spark, which tells rows with one id apart)."""
     printed = saved(fingerprints(docs, words), "simhash")
     classes = saved(printed.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
     roots = connected_components(links(saved(tiles(classes, tile), "tiles"), radius))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labelled = rooted.join(least, "root").select("fp", "component_id")
-    return printed.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labelled = rooted.join(least, "root").select("fp", "component_id", "root")
+    return printed.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "h")
