@@ -1,0 +1,31 @@
+"""Tables of the revision corpus, and a validator."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+TABLES: dict[str, T.StructType] = {
+    name: T.StructType.fromDDL(ddl)
+    for name, ddl in {
+        "articles": "article string, page_id long, latest_rev long, latest_time string, n_tokens long",
+        "article_identity": "requested_title string, canonical_title string, page_id long, resolved_at timestamp",
+        "article_source_state": "article string, source_status string, source_checked_at timestamp, source_latest_revid long, expected_snapshots int, loaded_snapshots int, reason string",
+        "revisions": "article string, rev_id long, ts timestamp, user string",
+        "revision_metadata": "article string, rev_id long, parent_id long, sha1 string, comment string, tags array<string>, minor boolean, user_hidden boolean, retrieved_at timestamp",
+        "rev_size": "article string, rev_id long, size long",
+        "rsnap": "article string, snap_date date, snap_rev long, token_id long, o_rev_id long",
+        "snapshot_integrity": "article string, snap_date date, snap_rev long, status string, token_rows long, unique_tokens long, revision_bytes long, duplicate_rate double, previous_token_ratio double, next_token_ratio double, previous_byte_ratio double, next_byte_ratio double, reason string, policy_version string, checked_at timestamp",
+        "endpoint_receipts": "article string, mode string, latest_seen_revid long, selected_revid long, selected_snapshot_date date, selected_timestamp timestamp, survival_seconds long, confirmed_by_revid long, status string, excluded_revisions array<struct<revision_id:long,reason:string,evidence_revid:long>>, policy_version string, checked_at timestamp",
+        "token_state": "article string, rev_id long, token_id long, o_rev_id long",
+        "token_life": "article string, rev_id long, token_id long, o_rev_id long, out array<long>",
+    }.items()
+}
+
+
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """df with the table's columns, cast, in order; columns that are missing are null."""
+    have = set(df.columns)
+    from pyspark.sql import functions as F
+
+    return df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table]))
