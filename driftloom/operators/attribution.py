@@ -105,7 +105,7 @@ def bounded(revisions: DataFrame, windows: DataFrame) -> DataFrame:
     ends = windows.join(at.select("article", F.col("rev_id").alias("before_rev"), F.col("ts").alias("ts0")), ["article", "before_rev"]).join(at.select("article", F.col("rev_id").alias("after_rev"), F.col("ts").alias("ts1")), ["article", "after_rev"])
     order = Window.partitionBy("article", "before_rev", "after_rev").orderBy("ts", "rev_id")
     rows = ends.join(revisions, "article").where((F.struct("ts", "rev_id") >= F.struct("ts0", "before_rev")) & (F.struct("ts", "rev_id") <= F.struct("ts1", "after_rev")))
-    return rows.withColumns({"seq": F.row_number().over(order) - 1, "seconds": F.unix_seconds("ts1") - F.unix_seconds("ts0")}).drop("ts0", "ts1")
+    return rows.withColumns({"seq": F.row_number().over(order) - 1, "seconds": F.unix_seconds(F.col("ts1").cast("timestamp")) - F.unix_seconds(F.col("ts0").cast("timestamp"))}).drop("ts0", "ts1")
 
 
 #: Revert tags as wikis publish them.

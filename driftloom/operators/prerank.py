@@ -17,8 +17,8 @@ def rolling_median(series: DataFrame, p: Params = DEFAULT) -> DataFrame:
 def revision_bins(series: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Smoothed series with each revision's delta and bin (days since the article's first revision)."""
     order = Window.partitionBy("article").orderBy("ts", "rev_id")
-    first = F.min("ts").over(Window.partitionBy("article"))
-    bin_ = F.floor((F.unix_seconds("ts") - F.unix_seconds(first)) / (86400 * p.bin_days)).cast("long")
+    first = F.min(F.col("ts").cast("timestamp")).over(Window.partitionBy("article"))
+    bin_ = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(first)) / (86400 * p.bin_days)).cast("long")
     return rolling_median(series, p).withColumns({"delta": F.coalesce(F.col("smooth") - F.lag("smooth").over(order), F.lit(0.0)), "bin": bin_})
 
 

@@ -171,8 +171,8 @@ def snapshot_picks(v: Views) -> DataFrame:
     return snapshots.snapshot_picks(v.revisions, v.rev_size)
 
 
-_RECEIPTS = """, some as (select * from rsnap union all select * from rsnap where snap_rev = 5 and token_id % 100 = 0), bytes as (select article, rev_id snap_rev, max(size) revision_bytes from rev_size group by 1, 2),
-own as (select article, snap_date, snap_rev, count(*) token_rows, count(distinct token_id) unique_tokens from some group by 1, 2, 3),
+_RECEIPTS = """, doubled as (select * from rsnap union all select * from rsnap where snap_rev = 5 and token_id % 100 = 0), bytes as (select article, rev_id snap_rev, max(size) revision_bytes from rev_size group by 1, 2),
+own as (select article, snap_date, snap_rev, count(*) token_rows, count(distinct token_id) unique_tokens from doubled group by 1, 2, 3),
 r as (select *, coalesce(revision_bytes, 0) b from own left join bytes using (article, snap_rev)),
 q as (select article, snap_date, snap_rev, token_rows, unique_tokens, revision_bytes, 1 - unique_tokens/token_rows duplicate_rate, token_rows/nullif(lag(token_rows) over o, 0) previous_token_ratio, token_rows/nullif(lead(token_rows) over o, 0) next_token_ratio,
   b/nullif(lag(b) over o, 0) previous_byte_ratio, b/nullif(lead(b) over o, 0) next_byte_ratio from r window o as (partition by article order by snap_date, snap_rev)),
@@ -198,9 +198,9 @@ def integrity_audit(v: Views) -> DataFrame:
 @query(""", s as (select article, snap_date, snap_rev, case when snap_rev = 14 then null when snap_rev = 13 then 'soon' else strftime(snap_date, '%Y-%m-%d') || ' 00:00:00' end ts from snaps),
 a as (select *, epoch(timestamp '2001-01-02') - epoch(try_cast(ts as timestamp)) age from s),
 w as (select article, snap_date, snap_rev, age::bigint age, case when ts is null then 'missing_revision_timestamp' when age is null then 'invalid_revision_timestamp' when age < 172800 then 'minimum_survival_not_met' end reason from a),
-b as (select article, arg_max(snap_rev, (snap_date, snap_rev)) filter (where reason is null) rev, max(snap_date) filter (where reason is null) day, arg_max(age, (snap_date, snap_rev)) filter (where reason is null) age from w group by 1)
-select w.article, case when any_value(b.rev) is null then 'unstable' else 'stable' end status, any_value(b.rev) selected_rev, any_value(b.day) selected_date, any_value(b.age) survival_seconds,
-  coalesce(string_agg(case when b.rev is null or (w.snap_date, w.snap_rev) > (b.day, b.rev) then w.snap_rev || ':' || reason end, ',' order by w.snap_rev || ':' || reason), '') excluded from w join b using (article) group by 1""")
+b as (select article, arg_max(snap_rev, (snap_date, snap_rev)) filter (where reason is null) rev, max(snap_date) filter (where reason is null) best_day, arg_max(age, (snap_date, snap_rev)) filter (where reason is null) age from w group by 1)
+select w.article, case when any_value(b.rev) is null then 'unstable' else 'stable' end status, any_value(b.rev) selected_rev, any_value(b.best_day) selected_date, any_value(b.age) survival_seconds,
+  coalesce(string_agg(case when b.rev is null or (w.snap_date, w.snap_rev) > (b.best_day, b.rev) then w.snap_rev || ':' || reason end, ',' order by w.snap_rev || ':' || reason), '') excluded from w join b using (article) group by 1""")
 def stable_endpoint(v: Views) -> DataFrame:
     ts = F.when(F.col("snap_rev") == 14, F.lit(None)).when(F.col("snap_rev") == 13, "soon").otherwise(F.concat(F.col("snap_date").cast("string"), F.lit(" 00:00:00")))
     rows = v.rsnap.select("article", "snap_date", "snap_rev").distinct().withColumn("ts", ts)
@@ -397,10 +397,10 @@ def net_standing(v: Views) -> DataFrame:
 
 
 @query(_LEDGER + """, sets as (select article, seq, string_agg(distinct token_id::varchar, ',' order by token_id::varchar) s from st group by 1, 2), rv as (select *, lag(seq) over (partition by article, s order by seq) back from sets),
-bk as (select article, seq at, token_id from ops where op = 'restored'), bn as (select article, at, count(*) n from bk group by 1, 2), hd as (select bk.article, at, st.seq old, count(*) n from bk join st on st.article = bk.article and st.token_id = bk.token_id and st.seq < at group by 1, 2, 3),
-wh as (select article, at, max(old) whole from hd join bn using (article, at, n) group by 1, 2)
+bk as (select article, seq at_seq, token_id from ops where op = 'restored'), bn as (select article, at_seq, count(*) n from bk group by 1, 2), hd as (select bk.article, at_seq, st.seq old, count(*) n from bk join st on st.article = bk.article and st.token_id = bk.token_id and st.seq < at_seq group by 1, 2, 3),
+wh as (select article, at_seq, max(old) whole from hd join bn using (article, at_seq, n) group by 1, 2)
 select rv.article, rv.seq, case when rv.seq = 0 then 'stable_before' when back is not null then 'revert' when rv.seq = last_seq then 'consolidation' when n > 0 then 'restoration' when rv.seq = 1 then 'initiating_change' else 'intermediate_change' end "role",
-  case when rv.seq = 0 then null when back is not null then back when rv.seq = last_seq then null when n > 0 then whole end restores_seq from rv join lst using (article) left join bn on bn.article = rv.article and bn.at = rv.seq left join wh on wh.article = rv.article and wh.at = rv.seq""")
+  case when rv.seq = 0 then null when back is not null then back when rv.seq = last_seq then null when n > 0 then whole end restores_seq from rv join lst using (article) left join bn on bn.article = rv.article and bn.at_seq = rv.seq left join wh on wh.article = rv.article and wh.at_seq = rv.seq""")
 def revision_role(v: Views) -> DataFrame:
     revs, states, last, ops = _event(v)
     return at.revision_roles(revs, states, ops, last)
