@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import Params
@@ -76,6 +76,39 @@ class Views:
         side = F.when(F.pmod("doc_id", F.lit(2)) == 0, "before").otherwise("after")
         return self.table("documents").select(F.col("source").alias("article"), F.col("doc_id").alias("rev_id"), "lang", side.alias("side"), "text")
 
+    def _owner(self, key: str) -> Column:
+        return F.concat(F.lit("c"), F.col(key)).alias("article")
+
+    @property
+    def confirmations(self) -> DataFrame:
+        """Customers as articles with an exact result."""
+        n = F.col("c_custkey")
+        status = F.when(n % 5 == 0, "not_confirmed").when(n % 7 == 0, "unavailable").otherwise("confirmed")
+        return self.table("customer").select(self._owner("c_custkey"), status.alias("status"), (n % 11 != 0).alias("is_fresh"))
+
+    @property
+    def event_editors(self) -> DataFrame:
+        """Line items as tokens of an editor in an event (an order), some of a bot, a hidden account or an address."""
+        n, kind = F.col("l_suppkey"), F.when(F.col("l_linenumber") % 2 == 1, "removal").otherwise("replacement")
+        editor = F.when(n % 9 == 0, "HelperBot").when(n % 9 == 1, "<hidden>").when(n % 9 == 2, F.concat(F.lit("10.0.0."), n % 200)).otherwise(F.concat(F.lit("u"), n % 23))
+        rows = self.table("lineitem").join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+        rows = rows.groupBy(self._owner("o_custkey"), F.col("l_orderkey").alias("before_revid"), kind.alias("kind"), editor.alias("editor"))
+        return rows.agg(F.sum("l_quantity").cast("long").alias("tokens"))
+
+    @property
+    def episodes(self) -> DataFrame:
+        """Orders as confirmed episodes: some without attribution, some whose sums don't fit."""
+        n, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+        of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("tokens")))
+        sums = self.event_editors.groupBy(F.col("before_revid").alias("o_orderkey")).agg(of("removal").alias("r"), of("replacement").alias("p"))
+        zero = F.lit(0).cast("long")
+        return self.table("orders").join(sums, "o_orderkey", "left").select(
+            self._owner("o_custkey"), n.alias("before_revid"), (n + 1).alias("after_revid"), day.alias("candidate_start"), F.date_add(day, 180).alias("candidate_end"),
+            ((n % 100) / 100.0).alias("durable_spine_drop"), F.round("o_totalprice").cast("long").alias("pwr_mass"), (n % 86400).alias("duration_seconds"),
+            F.when(n % 13 != 0, F.coalesce("r", zero) + (n % 17 == 0).cast("long")).alias("removed_tokens"), (F.coalesce("p", zero) + (n % 19 == 0).cast("long")).alias("replacement_tokens"),
+            F.when(n % 26 == 0, "revision_states_missing").alias("unavailable"),
+        )
+
 
 WITH = """
 ship as (select *, ((year(l_shipdate)-1995)*12 + month(l_shipdate) - 1)//6 half from lineitem),
@@ -89,6 +122,13 @@ rev_size as (select 'a' || (o_custkey % 20) article, o_orderkey rev_id, round(o_
 integrity as (select distinct article, snap_date, snap_rev, case when snap_rev % 7 = 0 then 'quarantined' when snap_rev % 5 = 0 then 'suspect' else 'complete' end status from rsnap),
 endpoints as (select distinct article, case when substr(article, 2)::int % 4 = 0 then 'stable' else 'unstable' end status, snap_date selected_date, snap_rev selected_rev from rsnap where snap_rev = 9 and substr(article, 2)::int % 2 = 0),
 history as (select 'h' || (event_id // 250) article, event_id k0, 'u' || (user_id % 12) "user", props sha1 from events),
+confirmations as (select 'c' || c_custkey article, case when c_custkey % 5 = 0 then 'not_confirmed' when c_custkey % 7 = 0 then 'unavailable' else 'confirmed' end status, c_custkey % 11 <> 0 is_fresh from customer),
+event_editors as (select 'c' || o_custkey article, l_orderkey before_revid, case when l_linenumber % 2 = 1 then 'removal' else 'replacement' end kind, case l_suppkey % 9 when 0 then 'HelperBot' when 1 then '<hidden>' when 2 then '10.0.0.' || (l_suppkey % 200) else 'u' || (l_suppkey % 23) end editor, sum(l_quantity)::bigint tokens from lineitem join orders on o_orderkey = l_orderkey group by 1, 2, 3, 4),
+event_sums as (select before_revid, sum(tokens) filter (where kind = 'removal') r, sum(tokens) filter (where kind = 'replacement') p from event_editors group by 1),
+episodes as (select 'c' || o_custkey article, o_orderkey before_revid, o_orderkey + 1 after_revid, o_orderdate::date candidate_start, o_orderdate::date + 180 candidate_end, (o_orderkey % 100) / 100.0::double durable_spine_drop, round(o_totalprice)::bigint pwr_mass, o_orderkey % 86400 duration_seconds,
+  case when o_orderkey % 13 <> 0 then coalesce(r, 0) + (o_orderkey % 17 = 0)::int end::bigint removed_tokens, (coalesce(p, 0) + (o_orderkey % 19 = 0)::int)::bigint replacement_tokens, case when o_orderkey % 26 = 0 then 'revision_states_missing' end unavailable from orders left join event_sums on before_revid = o_orderkey),
+usable as (select e.*, case when removed_tokens is null then coalesce(unavailable, 'attribution_missing') when removed_tokens <> coalesce(r, 0) then 'removal_attribution_mismatch' end reason, case when removed_tokens is not null and removed_tokens = coalesce(r, 0) and replacement_tokens <> coalesce(p, 0) then 'replacement_attribution_mismatch' end reason2
+  from episodes e join confirmations c on c.article = e.article and status = 'confirmed' and is_fresh left join event_sums s using (before_revid)),
 texts as (select source article, doc_id rev_id, lang, case when doc_id % 2 = 0 then 'before' else 'after' end side, text from documents),
 snaps as (select *, row_number() over (partition by article order by snap_date, snap_rev) - 1 k from (select distinct article, snap_date, snap_rev from rsnap)),
 mem0 as (select distinct s.article, s.k, r.token_id from rsnap r join snaps s using (article, snap_date, snap_rev)),
