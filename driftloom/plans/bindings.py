@@ -125,10 +125,10 @@ history as (select 'h' || (event_id // 250) article, event_id k0, 'u' || (user_i
 confirmations as (select 'c' || c_custkey article, case when c_custkey % 5 = 0 then 'not_confirmed' when c_custkey % 7 = 0 then 'unavailable' else 'confirmed' end status, c_custkey % 11 <> 0 is_fresh from customer),
 event_editors as (select 'c' || o_custkey article, l_orderkey before_revid, case when l_linenumber % 2 = 1 then 'removal' else 'replacement' end kind, case l_suppkey % 9 when 0 then 'HelperBot' when 1 then '<hidden>' when 2 then '10.0.0.' || (l_suppkey % 200) else 'u' || (l_suppkey % 23) end editor, sum(l_quantity)::bigint tokens from lineitem join orders on o_orderkey = l_orderkey group by 1, 2, 3, 4),
 event_sums as (select before_revid, sum(tokens) filter (where kind = 'removal') r, sum(tokens) filter (where kind = 'replacement') p from event_editors group by 1),
-episodes as (select 'c' || o_custkey article, o_orderkey before_revid, o_orderkey + 1 after_revid, o_orderdate::date candidate_start, o_orderdate::date + 180 candidate_end, (o_orderkey % 100) / 100.0::double durable_spine_drop, round(o_totalprice)::bigint pwr_mass, o_orderkey % 86400 duration_seconds,
+lead_episodes as (select 'c' || o_custkey article, o_orderkey before_revid, o_orderkey + 1 after_revid, o_orderdate::date candidate_start, o_orderdate::date + 180 candidate_end, (o_orderkey % 100) / 100.0::double durable_spine_drop, round(o_totalprice)::bigint pwr_mass, o_orderkey % 86400 duration_seconds,
   case when o_orderkey % 13 <> 0 then coalesce(r, 0) + (o_orderkey % 17 = 0)::int end::bigint removed_tokens, (coalesce(p, 0) + (o_orderkey % 19 = 0)::int)::bigint replacement_tokens, case when o_orderkey % 26 = 0 then 'revision_states_missing' end unavailable from orders left join event_sums on before_revid = o_orderkey),
 usable as (select e.*, case when removed_tokens is null then coalesce(unavailable, 'attribution_missing') when removed_tokens <> coalesce(r, 0) then 'removal_attribution_mismatch' end reason, case when removed_tokens is not null and removed_tokens = coalesce(r, 0) and replacement_tokens <> coalesce(p, 0) then 'replacement_attribution_mismatch' end reason2
-  from episodes e join confirmations c on c.article = e.article and status = 'confirmed' and is_fresh left join event_sums s using (before_revid)),
+  from lead_episodes e join confirmations c on c.article = e.article and status = 'confirmed' and is_fresh left join event_sums s using (before_revid)),
 texts as (select source article, doc_id rev_id, lang, case when doc_id % 2 = 0 then 'before' else 'after' end side, text from documents),
 snaps as (select *, row_number() over (partition by article order by snap_date, snap_rev) - 1 k from (select distinct article, snap_date, snap_rev from rsnap)),
 mem0 as (select distinct s.article, s.k, r.token_id from rsnap r join snaps s using (article, snap_date, snap_rev)),

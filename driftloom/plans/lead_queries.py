@@ -66,7 +66,7 @@ def rank_candidates(v: Views) -> DataFrame:
 _ORDERS_AS_LOG = "(select 'c' || c_custkey article, date '1993-01-01' + (c_custkey % 900)::int born from customer where c_custkey % 4 <> 0)"
 
 
-@query(f""", top as (select article, max(pwr_mass) top_mass, arg_max(candidate_start, (pwr_mass, -before_revid)) began from episodes group by 1),
+@query(f""", top as (select article, max(pwr_mass) top_mass, arg_max(candidate_start, (pwr_mass, -before_revid)) began from lead_episodes group by 1),
 r as (select article, status, coalesce(top_mass, 0) top_mass, case when status = 'confirmed' then round((began - born) / 365.25::double, 1) end age_at_pivot from confirmations left join top using (article) left join {_ORDERS_AS_LOG} using (article))
 select article, top_mass, age_at_pivot, case when status <> 'confirmed' then status when top_mass < 150000 then 'confirmed-low-mass' when age_at_pivot is null then 'confirmed-age-unknown' when age_at_pivot < 2 then 'confirmed-born-in-contested' else 'confirmed-retrofit-lead' end lead_class from r""")
 def retest_class(v: Views) -> DataFrame:
@@ -96,6 +96,10 @@ def concentration_summary(v: Views) -> DataFrame:
     return discovery.concentration_summary(concentration(v))
 
 
+def _article() -> Column:
+    return F.concat(F.lit("c"), F.col("c_custkey"))
+
+
 def _pick(key: str, *values: str | None) -> Column:
     """One of the values by the remainder of key."""
     out = F.when(F.col(key) % len(values) == 0, F.lit(values[0]))
@@ -108,7 +112,6 @@ def _pick_sql(key: str, *values: str | None) -> str:
     return f"case {key} % {len(values)} " + " ".join(f"when {k} then " + ("null" if x is None else f"'{x}'") for k, x in enumerate(values)) + " end"
 
 
-_ARTICLE = F.concat(F.lit("c"), F.col("c_custkey"))
 _STATUS = ("current_complete", "partial", "unavailable", None, "history_complete", "current_complete", "current_complete")
 _CHECKED = ("2026-01-01 00:00:00", "2025-12-20 00:00:00", "", "soon")
 _STATES = f""", src0 as (select 'c' || c_custkey article, {_pick_sql('c_custkey', *_STATUS)} st, {_pick_sql('(c_custkey // 7)', *_CHECKED)} checked, 'r' || c_custkey why from customer where c_custkey % 9 <> 0),
@@ -118,7 +121,7 @@ src as (select article, case when st = 'current_complete' and checked = 'soon' t
 
 def _sources(v: Views) -> DataFrame:
     rows = v.table("customer").where("c_custkey % 9 <> 0").withColumn("k7", F.floor(F.col("c_custkey") / 7))
-    rows = rows.select(_ARTICLE.alias("article"), _pick("c_custkey", *_STATUS).alias("source_status"), _pick("k7", *_CHECKED).alias("source_checked_at"), F.concat(F.lit("r"), "c_custkey").alias("reason"))
+    rows = rows.select(_article().alias("article"), _pick("c_custkey", *_STATUS).alias("source_status"), _pick("k7", *_CHECKED).alias("source_checked_at"), F.concat(F.lit("r"), "c_custkey").alias("reason"))
     return resolution.source_status(rows, F.lit("2026-01-03").cast("timestamp"))
 
 
@@ -138,13 +141,13 @@ select article, source_status, case when bad or exact = 'unavailable' or candida
   case when bad then 'unavailable' when decided then exact when candidate_status = 'no_candidate' then 'not_applicable' when candidate_status = 'unavailable' then 'unavailable' else 'not_run' end confirmation_status, confirmation_fresh,
   case when bad then 'unavailable' when decided then exact when candidate_status = 'no_candidate' then 'healthy' when candidate_status = 'unavailable' then 'unavailable' else 'candidate' end resolved_status, case when bad or q then source_reason when exact = 'unavailable' then why end reason from e""")
 def l1_state(v: Views) -> DataFrame:
-    verdicts = v.table("customer").select(_ARTICLE.alias("article"), _pick("c_custkey", *_VERDICTS).alias("verdict"))
+    verdicts = v.table("customer").select(_article().alias("article"), _pick("c_custkey", *_VERDICTS).alias("verdict"))
     number = F.substring("article", 2, 20).cast("long")
     exact = v.confirmations.withColumns({"coverage_status": F.when(number % 2 == 1, "partial"), "reason": F.concat(F.lit("w"), "article")})
     return resolution.l1_state(verdicts, exact, _sources(v))
 
 
-_WINDOWS = ", win as (select e.article, before_revid || '-' || after_revid episode_id, row_number() over (partition by e.article order by candidate_start, before_revid, after_revid)::int episode_index, candidate_start, candidate_end, pwr_mass, before_revid from episodes e join confirmations c on c.article = e.article and status = 'confirmed' and is_fresh)"
+_WINDOWS = ", win as (select e.article, before_revid || '-' || after_revid episode_id, row_number() over (partition by e.article order by candidate_start, before_revid, after_revid)::int episode_index, candidate_start, candidate_end, pwr_mass, before_revid from lead_episodes e join confirmations c on c.article = e.article and status = 'confirmed' and is_fresh)"
 
 
 @query(_WINDOWS + " select article, episode_id, episode_index, candidate_start, candidate_end from win")
@@ -162,7 +165,7 @@ def episode_artifact(v: Views) -> DataFrame:
 
 
 @query(_WINDOWS + """ select article, candidate_start "start", candidate_end "end", pwr_mass, 'confirmed' status from win union all
-select * from (select article, candidate_start, candidate_end, pwr_mass, 'candidate' from episodes where article not in (select article from win) qualify row_number() over (partition by article order by pwr_mass desc, candidate_start) = 1)""")
+select * from (select article, candidate_start, candidate_end, pwr_mass, 'candidate' from lead_episodes where article not in (select article from win) qualify row_number() over (partition by article order by pwr_mass desc, candidate_start) = 1)""")
 def framing_windows(v: Views) -> DataFrame:
     coarse = v.episodes.select("article", F.col("candidate_start").alias("start"), F.col("candidate_end").alias("end"), "pwr_mass")
     return resolution.framing_windows(resolution.confirmed_windows(v.confirmations, v.episodes), coarse)
@@ -179,7 +182,7 @@ select article, signals, case when signals = '' then 0 else len(string_split(sig
 def corroboration(v: Views) -> DataFrame:
     n = F.col("c_custkey")
     rows = v.table("customer").withColumn("k3", F.floor(n / 3)).select(
-        _ARTICLE.alias("article"), _pick("c_custkey", *_VERDICTS).alias("verdict"), _pick("c_custkey", *_CONFIRMED).alias("confirmation_status"), (n % 4 == 0).alias("l2_shifted"),
+        _article().alias("article"), _pick("c_custkey", *_VERDICTS).alias("verdict"), _pick("c_custkey", *_CONFIRMED).alias("confirmation_status"), (n % 4 == 0).alias("l2_shifted"),
         F.when(n % 3 != 0, "pivot_relative").alias("lexical_mode"), F.when(n % 2 == 0, F.lit(True)).alias("lexical_adequate"), ((n % 10) / 100.0).alias("js_divergence"), (n % 8).alias("refined_m"),
         F.array_compact(F.array(_pick("k3", *_FRAMING))).alias("framing"),
     )
@@ -199,9 +202,9 @@ score as (select article, cat, case when pending or verdict = 'SKIP' then 'PENDI
 @query(_SCORES + " select * from score")
 def benchmark_score(v: Views) -> DataFrame:
     n, c = F.col("c_custkey"), v.table("customer").withColumn("k2", F.floor(F.col("c_custkey") / 2))
-    roster = c.select(_ARTICLE.alias("article"), _pick("k2", *_CATS).alias("cat"), (n % 13 == 0).alias("pending"))
-    verdicts = c.where(n % 17 != 0).select(_ARTICLE.alias("article"), _pick("c_custkey", *_VERDICTS).alias("verdict"), (n * 7919 % 1000).alias("top_mass"))
-    return resolution.benchmark_score(roster, verdicts, c.where(n % 7 != 0).select(_ARTICLE.alias("article"), _pick("c_custkey", *_LEADS).alias("lead")), P)
+    roster = c.select(_article().alias("article"), _pick("k2", *_CATS).alias("cat"), (n % 13 == 0).alias("pending"))
+    verdicts = c.where(n % 17 != 0).select(_article().alias("article"), _pick("c_custkey", *_VERDICTS).alias("verdict"), (n * 7919 % 1000).alias("top_mass"))
+    return resolution.benchmark_score(roster, verdicts, c.where(n % 7 != 0).select(_article().alias("article"), _pick("c_custkey", *_LEADS).alias("lead")), P)
 
 
 @query(_SCORES + " select cat, count(*) filter (where status = 'PASS') hit, count(*) total from score where status <> 'PENDING' group by 1")
@@ -250,24 +253,24 @@ _BACKENDS = ("hosted", " Ingest", "", None, "other")
 k as (select *, case when backend in ('hosted', 'ingest') then case when present then 'delta' when backend = 'ingest' then 'cold_start' else 'cold_start_blocked' end end kind from r)
 select article, kind, coalesce(kind <> 'cold_start_blocked', false) ok, backend = 'ingest' or not present need_ingest from k""")
 def corpus_plan(v: Views) -> DataFrame:
-    return resolution.corpus_plan(v.table("customer").select(_ARTICLE.alias("article"), (F.col("c_custkey") % 3 == 0).alias("shard_present"), _pick("c_custkey", *_BACKENDS).alias("backend")))
+    return resolution.corpus_plan(v.table("customer").select(_article().alias("article"), (F.col("c_custkey") % 3 == 0).alias("shard_present"), _pick("c_custkey", *_BACKENDS).alias("backend")))
 
 
 @query("select 'c' || c_custkey article, case when c_custkey % 3 = 0 then 'People' when c_custkey % 2 = 0 and c_mktsegment in ('BUILDING', 'MACHINERY') then c_mktsegment else 'Other' end category from customer")
 def categories(v: Views) -> DataFrame:
-    c = v.table("customer").withColumn("article", _ARTICLE)
+    c = v.table("customer").withColumn("article", _article())
     return resolution.categories(c.select("article"), c.where("c_custkey % 3 = 0").select("article", F.lit("People").alias("category")), c.where("c_custkey % 2 = 0").select("article", F.col("c_mktsegment").alias("category")), ["BUILDING", "MACHINERY"])
 
 
 @query("select 'c' || c_custkey article, case when c_custkey % 3 = 0 then c_name || ',' || c_mktsegment else 'c' || c_custkey end entities from customer")
 def focal_entities(v: Views) -> DataFrame:
-    c = v.table("customer").withColumn("article", _ARTICLE)
+    c = v.table("customer").withColumn("article", _article())
     return resolution.focal_entities(c.select("article"), c.where("c_custkey % 3 = 0").select("article", F.array("c_name", "c_mktsegment").alias("entities"))).withColumn("entities", F.array_join("entities", ","))
 
 
 # publication
 
-@query("select article from (select article from confirmations where status in ('confirmed', 'not_confirmed') union select article from episodes) where article not in (select article from confirmations where not is_fresh)")
+@query("select article from (select article from confirmations where status in ('confirmed', 'not_confirmed') union select article from lead_episodes) where article not in (select article from confirmations where not is_fresh)")
 def published_articles(v: Views) -> DataFrame:
     return publication.published_articles([v.episodes], v.confirmations, v.confirmations.where("not is_fresh"))
 
@@ -276,7 +279,7 @@ def _pivots(v: Views) -> DataFrame:
     return publication.top_pivot(v.episodes.select("article", F.col("candidate_start").alias("start"), "pwr_mass", (F.col("durable_spine_drop") * 100).alias("peak_pct"), "before_revid"))
 
 
-_TOP = ", top as (select article, candidate_start \"start\", pwr_mass, durable_spine_drop * 100 peak_pct, before_revid from episodes qualify row_number() over (partition by article order by pwr_mass desc, candidate_start) = 1)"
+_TOP = ", top as (select article, candidate_start \"start\", pwr_mass, durable_spine_drop * 100 peak_pct, before_revid from lead_episodes qualify row_number() over (partition by article order by pwr_mass desc, candidate_start) = 1)"
 
 
 @query(_TOP + " select * from top")
@@ -300,7 +303,7 @@ def fact_counts(v: Views) -> DataFrame:
 def signal_badges(v: Views) -> DataFrame:
     n = F.col("c_custkey")
     rows = v.table("customer").select(
-        _ARTICLE.alias("article"), F.when(n % 3 != 0, n * 2500).alias("pwr_mass"), F.when(n % 2 == 0, "confirmed").alias("pivot_status"), (n % 5 == 0).alias("has_diff"), ((n % 50) / 100.0).alias("js_divergence"), (n % 3).alias("contradictions"), (n % 2).alias("differences"),
+        _article().alias("article"), F.when(n % 3 != 0, n * 2500).alias("pwr_mass"), F.when(n % 2 == 0, "confirmed").alias("pivot_status"), (n % 5 == 0).alias("has_diff"), ((n % 50) / 100.0).alias("js_divergence"), (n % 3).alias("contradictions"), (n % 2).alias("differences"),
         F.array_compact(F.array(_pick("c_custkey", *_FRAMING))).alias("framing"), (n % 100).alias("top10_share"), (n % 7 == 0).alias("from_graph"),
     )
     return publication.signal_badges(rows).withColumn("badges", F.array_join("badges", ","))
@@ -313,8 +316,8 @@ def findings_index(v: Views) -> DataFrame:
     return publication.findings_index(rows, "1", "BUILDING", "lex", 2)
 
 
-@query(""", iv as (select article, candidate_start "start", candidate_start + 90 "end", before_revid n from episodes where before_revid % 2 = 0), wi as (select article, 0 kind, before_revid pos, candidate_start s, candidate_end e, case before_revid % 3 when 0 then 'confirmed' when 1 then 'rejected' end decision from episodes where before_revid % 3 <> 0 or before_revid % 2 = 0
-  union all select article, 1, before_revid, candidate_start, candidate_end, 'confirmed' from episodes where before_revid % 5 = 0),
+@query(""", iv as (select article, candidate_start "start", candidate_start + 90 "end", before_revid n from lead_episodes where before_revid % 2 = 0), wi as (select article, 0 kind, before_revid pos, candidate_start s, candidate_end e, case before_revid % 3 when 0 then 'confirmed' when 1 then 'rejected' end decision from lead_episodes where before_revid % 3 <> 0 or before_revid % 2 = 0
+  union all select article, 1, before_revid, candidate_start, candidate_end, 'confirmed' from lead_episodes where before_revid % 5 = 0),
 iv2 as (select article, "start", "end", min(n) n from iv group by 1, 2, 3),
 j as (select i.article, i."start", i."end", arg_min((s, e, decision), (kind, pos)) w from iv2 i join wi on wi.article = i.article and s <= i."start" and i."end" <= e group by 1, 2, 3)
 select i.article, i."start", i."end", w[1] candidate_start, w[2] candidate_end, case when n % 8 = 0 then 'excluded' when w[3] in ('confirmed', 'rejected') then w[3] when w is not null then 'candidate_pending' when n % 6 = 0 then case when n % 4 = 0 then 'anomaly_pending' else 'descriptive' end else 'measured' end state
@@ -338,7 +341,7 @@ case when s = 'unavailable' then case when ss = 'partial' then coalesce(sr, reas
 def rewrite_info(v: Views) -> DataFrame:
     n = F.col("c_custkey")
     e = v.table("customer").withColumn("k5", F.floor(n / 5)).select(
-        _ARTICLE.alias("article"), _pick("c_custkey", *_REWRITES).alias("status"), F.concat(F.lit("r"), n).alias("reason"), F.when(n % 2 == 0, "partial").alias("source_status"), F.when(n % 4 == 0, "sr").alias("source_reason"), F.when(n % 3 == 0, "SKIP").alias("coarse_verdict"),
+        _article().alias("article"), _pick("c_custkey", *_REWRITES).alias("status"), F.concat(F.lit("r"), n).alias("reason"), F.when(n % 2 == 0, "partial").alias("source_status"), F.when(n % 4 == 0, "sr").alias("source_reason"), F.when(n % 3 == 0, "SKIP").alias("coarse_verdict"),
         (n % 7 == 0).alias("has_pivot"), (n % 11 == 0).alias("has_diff"), _pick("k5", *_RECORDED).alias("recorded_state"), F.concat(F.lit("rr"), n).alias("recorded_reason"), (n % 3 == 0).alias("has_lexical_pivot"), F.when(n % 2 == 0, "No L1 pivot found").alias("lexical_span"),
     )
     return publication.rewrite_info(e.select("article"), e)
@@ -354,7 +357,7 @@ def lex_noise_filter(v: Views) -> DataFrame:
     return publication.lex_noise_filter(v.table("documents").select(F.col("source").alias("article"), F.col("lang").alias("direction"), F.col("doc_id").alias("rank"), first.alias("term")))
 
 
-@query(""", r as (select article, 'lexical' layer, case when before_revid % 3 = 0 then '' when before_revid % 3 = 1 then 'id' || (before_revid % 5) end episode_id, case when before_revid % 7 <> 0 then candidate_start end "at", case when before_revid % 2 = 0 then before_revid end b, after_revid a from episodes),
+@query(""", r as (select article, 'lexical' layer, case when before_revid % 3 = 0 then '' when before_revid % 3 = 1 then 'id' || (before_revid % 5) end episode_id, case when before_revid % 7 <> 0 then candidate_start end "at", case when before_revid % 2 = 0 then before_revid end b, after_revid a from lead_episodes),
 s as (select *, row_number() over (partition by article, layer order by "at" nulls last, b nulls last, a nulls last, episode_id nulls last)::int pos, coalesce(nullif(episode_id, ''), b || '-' || a) id from r)
 select article, layer, case when id is null or row_number() over (partition by article, layer, id order by pos) > 1 then layer || '-event-' || pos else id end episode_id, "at", b before_revid, a after_revid, pos as position from s""")
 def episode_navigator(v: Views) -> DataFrame:
