@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from driftloom.llm.common import saved, small_batches
 from driftloom.llm.lsa_decontam import found_items
+from driftloom.llm.near_copies import near_components
 from driftloom.llm.pattern_packing import pack_documents
 from driftloom.llm.polynomial_dedup import polynomial_dedup
 from driftloom.llm.quality_mil import THRESHOLD, fit, score_column
-from driftloom.llm.simhash import simhash_dedup
 
 ORACLE_SQL = None
 
@@ -42,9 +42,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the row with the smallest doc_id."""
+    """Of each component of near copies (3 bits of 64, or 5-word Jaccard of 0.8), the row with the smallest doc_id."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least")
-    return _only(docs, simhash_dedup(docs).groupBy("root").agg(least).select("least.doc_id", "least.h"))
+    return _only(docs, near_components(docs).groupBy("root").agg(least).select("least.doc_id", "least.h"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
