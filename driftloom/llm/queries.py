@@ -70,9 +70,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All copies of a repeated string are removed, the first too."""
+    """All copies of a repeated string are removed, the first too. n_shared: bytes in repeated strings of 288 bytes."""
     found = lpf_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_first=False, keep_text=False)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

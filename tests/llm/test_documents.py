@@ -58,16 +58,15 @@ def test_simhash(case, spark):
     assert got(simhash_dedup(df, tile=64), "doc_id", "fingerprint", "component_id") == brute.simhash(rows)
 
 
-@pytest.mark.parametrize("most_runs", [256, 1])
+@pytest.mark.parametrize("most_texts", [2048, 1])
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_lpf(case, spark, keep_first, most_runs):
+def test_lpf(case, spark, keep_first, most_texts):
     rows, df = case
-    if keep_first != (most_runs == 1) and len(rows) > 100:
-        pytest.skip("the two others cover it")
     distinct = in_order(rows, spark)
     one = brute.repeated(distinct, 400, keep_first)
-    found = got(lpf_dedup(df, 400, keep_first, most_runs=most_runs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert set(found) == set(one)
+    found = got(lpf_dedup(df, 400, keep_first, most_texts=most_texts), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
+    assert {x[:5] for x in found} == set(one)
+    assert {(x[0], x[1], x[5]) for x in found} == {x[:3] for x in brute.repeated(distinct, 288)}
     assert len(found) == len(rows)
 
 
