@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftloom.llm.cdc_dedup import cdc_dedup, cuts
 from driftloom.llm.common import held_out
 from driftloom.llm.lpf_dedup import lpf_dedup
-from driftloom.llm.pattern_packing import Tokenizer, pack_documents, plan
+from driftloom.llm.pattern_packing import Tokenizer, pack_documents, pieces, plan
 from driftloom.llm.polynomial_dedup import Fingerprinter, _grouped, fingerprints, polynomial_dedup
 from driftloom.llm.simhash import simhash_dedup
 
@@ -70,6 +70,20 @@ def test_lpf(case, spark, keep_first, most_texts):
     assert len(found) == len(rows)
 
 
+def test_lpf_crowded_seed(spark):
+    """A passage that over a thousand different texts have, shorter and longer than what is removed."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    shared = [" ".join(word() for _ in range(n)) for n in (45, 70)]  # 359 and 559 bytes
+    rows = [(k, " ".join([word() for _ in range(20)] + [shared[k % 2]] + [word() for _ in range(20)])) for k in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most_texts in (2048, 100):
+        found = lpf_dedup(df, keep_first=False, most_texts=most_texts).collect()
+        assert len(found) == 2400
+        assert {(r.n_removed, r.n_shared >= 359) for r in found if r.doc_id % 2 == 0} == {(0, True)}
+        assert all(559 <= r.n_removed <= r.n_shared < 600 for r in found if r.doc_id % 2)
+
+
 def test_cdc(case, spark):
     rows, df = case
     one = brute.chunk_runs(in_order(rows, spark), cuts, 120)
@@ -100,7 +114,7 @@ def test_packing(case, spark):
 def test_tokenizer_is_the_library():
     t = Tokenizer(TOKENS)
     assert t.by_word
-    for x in ["it's I'LL <|endoftext|> ok", "Ünï ΣΑΣ x", "İstanbul", "a\x1cb", "½²ª ³4", "don't—stop “x” 10€", " \xad'' 's''s", "ŒœŸß ǅ", "é", "a\x85b"]:
+    for x in ["it's I'LL <|endoftext|> ok", "Ünï ΣΑΣ x", "İstanbul", "a\x1cb", "½²ª ³4", "don't—stop “x” 10€", "a\xa0b\x0bc\x0cd\x1ee", "", " \n ", "x" * 5000, " \xad'' 's''s", "ŒœŸß ǅ", "é", "a\x85b"]:
         assert t(x) == t._slow(x), x
 
 
@@ -108,13 +122,23 @@ def test_plan_uses_each_length_as_often_as_it_occurs():
     r = random.Random(5)
     counts = {r.randrange(1, 2049): r.randrange(1, 400) for _ in range(600)}
     used = {}
-    for own, times in plan(counts):
+    planned, _ = plan(counts)
+    for own, times in planned:
         assert sum(own) <= 2048
         for k in own:
             used[k] = used.get(k, 0) + times
     assert used == counts
 
 
+def test_patterns_carry_the_packing(spark):
+    """Over half of the pieces that don't fill a sequence, in as few sequences as there can be."""
+    made = pieces(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), TOKENS)
+    counts = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}
+    planned, by_pattern = plan(counts)
+    assert sum(len(own) * times for own, times in planned[:by_pattern]) > 0.5 * sum(n for k, n in counts.items() if k < 2048)
+    assert sum(times for _, times in planned) == -(-sum(k * n for k, n in counts.items()) // 2048)
+
+
 def test_polynomial(case):
     rows, df = case
     found = got(polynomial_dedup(df), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
