@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import discard, saved, small_batches
 from .spans import KEY, bodies_of, by_document, joined, remove_spans
 
 LEAST = 400
@@ -40,14 +40,15 @@ LEAST = 400
 SHARED = 288
 SPAN = 172
 GRAM = 16
-#: Texts that one task puts in order for a seed; seeds with more are split.
-MOST_TEXTS = 2048
+#: Classes of a seed, of two texts each, that one task puts in order (in about 50 MB); seeds with more are split.
+MOST_TEXTS = 1 << 14
 #: Texts that are put in order at a time: whole seeds, until there are so many.
 BATCH_TEXTS = 8192
 _MIX = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-RUN = f"{KEY}, at int, lo int, hi int, s1 long, s2 long, u long"
-CLASS = ["s1", "s2", "u", "lo", "hi"]
+RUN = f"{KEY}, at int, lo int, hi int, s long, u long"
+#: A seed, a text and the place of the seed in it. Seeds need not be told apart for certain, as their bytes are put in order too.
+CLASS = ["s", "u", "lo", "hi"]
 PLACE = ["doc_id", "h", "at"]
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
 
@@ -90,15 +91,15 @@ class _Rows:
         self.least, self.ids, self.numbers, self.digests = least, ([], []), ([], [], []), []
 
     def add(self, doc_id: int | None, h: int, data: bytes, at: list[int], lo: list[int], hi: list[int], seed_bytes: int) -> None:
-        seed, whole, least = xxhash.xxh3_128_digest, xxhash.xxh3_64_digest, self.least
-        self.digests += [seed(data[p : p + seed_bytes]) + whole(data[p - b : p - a + least]) for p, a, b in zip(at, lo, hi, strict=True)]
+        digest, least = xxhash.xxh3_64_digest, self.least
+        self.digests += [digest(data[p : p + seed_bytes]) + digest(data[p - b : p - a + least]) for p, a, b in zip(at, lo, hi, strict=True)]
         for column, value in zip(self.ids, (doc_id, h), strict=True):
             column.extend([value] * len(at))
         for column, values in zip(self.numbers, (at, lo, hi), strict=True):
             column.extend(values)
 
     def batch(self) -> pa.RecordBatch:
-        d = np.frombuffer(b"".join(self.digests), np.int64).reshape(-1, 3)
+        d = np.frombuffer(b"".join(self.digests), np.int64).reshape(-1, 2)
         return _arrays(RUN, [*self.ids, *self.numbers, *d.T])
 
 
@@ -138,8 +139,11 @@ def _split(bodies: DataFrame, crowded: DataFrame, least: int, window: int, width
 
 def _twice(rows: DataFrame) -> DataFrame:
     """The runs whose seed occurs twice or more."""
-    seeds = saved(rows.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "seeds")
-    return saved(rows.join(seeds, ["s1", "s2"], "left_semi"), "seeded-runs")
+    rows = saved(rows, "runs")
+    seeds = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    kept = saved(rows.join(saved(seeds, "seeds"), ["s"], "left_semi"), "seeded-runs")
+    discard(rows)
+    return kept
 
 
 def previous_smaller(v: np.ndarray) -> np.ndarray:
@@ -194,7 +198,7 @@ def previous_factors(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, texts: l
     same_group[1:] = group[order][1:] == group[order][:-1]
     common[~same_group] = 0
     most = int(np.bincount(group - group[0]).max())
-    factor, source = np.zeros((n, width), np.int32), np.zeros((n, width), np.int32)
+    factor, source = np.zeros((n, width), np.int16), np.zeros((n, width), np.int16)
     for d in range(width):
         if d:
             left = hi[order] >= d
@@ -226,7 +230,7 @@ def previous_factors(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, texts: l
             k = np.flatnonzero((other >= 0) & (other < len(own)))
             k = k[group[own[k]] == group[own[other[k]]]]
             i, j = own[k], own[other[k]]
-            found = np.minimum(least.of(np.minimum(k, other[k]) + 1, np.maximum(k, other[k])), sizes[i] + d)
+            found = np.minimum(least.of(np.minimum(k, other[k]) + 1, np.maximum(k, other[k])), sizes[i] + d).astype(np.int16)
             factor[i, d] = np.maximum(factor[i, d], found)
             np.maximum.at(source[:, d], j, found)
     return factor, source
@@ -244,14 +248,14 @@ def _stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _ordered(cut: DataFrame, least: int, shared: int, width: int, keep_first: bool) -> DataFrame:
     """Distances d0 to d1 before `at` where windows of runs are repeated. cut: CLASS, PLACE, body. gone: they reach least bytes
     and are to be removed. rest: this holds for all runs of the class but that at (doc_id, h, at)."""
-    schema = f"s1 long, s2 long, u long, lo int, hi int, {KEY}, at int, rest boolean, gone boolean, d0 int, d1 int"
+    schema = f"s long, u long, lo int, hi int, {KEY}, at int, rest boolean, gone boolean, d0 int, d1 int"
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        group = np.cumsum([0, *(x[:2] != y[:2] for x, y in zip(held[1:], held, strict=False))])
-        lo, hi = (np.array([x[k] for x in held]) for k in (3, 4))
-        factor, source = previous_factors(group, lo, hi, [x[8] for x in held], width, least)
+        group = np.cumsum([0, *(x[0] != y[0] for x, y in zip(held[1:], held, strict=False))])
+        lo, hi = (np.array([x[k] for x in held]) for k in (2, 3))
+        factor, source = previous_factors(group, lo, hi, [x[7] for x in held], width, least)
         first: dict[tuple, int] = {}
-        firsts = np.array([first.setdefault(x[:5], k) for k, x in enumerate(held)])
+        firsts = np.array([first.setdefault(x[:4], k) for k, x in enumerate(held)])
         out: list[list] = [[], [], [], []]
         for gone, hit in ((True, factor >= least if keep_first else np.maximum(factor, source) >= least), (False, np.maximum(factor, source) >= shared)):
             row, d0, d1 = _stretches(hit)
@@ -259,33 +263,33 @@ def _ordered(cut: DataFrame, least: int, shared: int, width: int, keep_first: bo
                 column.append(values)
         row, gone, d0, d1 = (np.concatenate(c) for c in out)
         at = [held[k] for k in firsts[row]]
-        columns = [[x[k] for x in at] for k in range(8)]
+        columns = [[x[k] for x in at] for k in range(7)]
         return _arrays(schema, [*columns, firsts[row] != row, gone.astype(bool), d0, d1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) >= BATCH_TEXTS and x[:2] != held[-1][:2]:
+                if len(held) >= BATCH_TEXTS and x[0] != held[-1][0]:
                     yield solve(held)
                     held = []
-                if not held or x[:8] != held[-1][:8]:  # else a row that repeats id and text
+                if not held or x[:7] != held[-1][:7]:  # else a row that repeats id and text
                     held.append(x)
         if held:
             yield solve(held)
 
     rows = cut.select(*CLASS, *PLACE, "body")
-    return rows.repartition("s1", "s2").sortWithinPartitions("s1", "s2", *PLACE).mapInArrow(run, schema)
+    return rows.repartition("s").sortWithinPartitions("s", *PLACE).mapInArrow(run, schema)
 
 
 def _cut(bodies: DataFrame, asked: DataFrame, least: int) -> DataFrame:
     """Texts of runs, with their classes and places."""
     wanted = saved(by_document(asked, ["at", *CLASS], "own"), "asked")
-    schema = f"s1 long, s2 long, u long, lo int, hi int, {KEY}, at int, body binary"
+    schema = f"s long, u long, lo int, hi int, {KEY}, at int, body binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(9)]
+            columns: list[list] = [[] for _ in range(8)]
             for doc_id, h, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 data = text.as_buffer()
                 for x in own:
@@ -294,7 +298,7 @@ def _cut(bodies: DataFrame, asked: DataFrame, least: int) -> DataFrame:
                         column.append(value)
                 if len(columns[0]) > 20_000:
                     yield _arrays(schema, columns)
-                    columns = [[] for _ in range(9)]
+                    columns = [[] for _ in range(8)]
             yield _arrays(schema, columns)
 
     return joined(bodies, wanted, "inner").select("doc_id", "h", "text", "own").mapInArrow(run, schema)
@@ -312,19 +316,19 @@ def repeated_spans(bodies: DataFrame, least: int = LEAST, shared: int = SHARED,
     for k, (window, width) in enumerate(levels):
         if k:
             rows = _split(bodies, rows, least, window, width)
-        rows = _twice(saved(rows, "runs"))
+        rows = _twice(rows)
         place = F.struct(*PLACE)
         classes = saved(rows.groupBy(*CLASS).agg(F.min(place).alias("first"), F.max(place).alias("final")), "classes")
-        crowded = saved(classes.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (most_texts if k + 1 < len(levels) else 1 << 62)).drop("n"), "crowded-seeds")
+        crowded = saved(classes.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (most_texts if k + 1 < len(levels) else 1 << 62)).drop("n"), "crowded-seeds")
         split = not crowded.isEmpty()
-        calm = classes.join(crowded, ["s1", "s2"], "left_anti") if split else classes
+        calm = classes.join(crowded, ["s"], "left_anti") if split else classes
         asked = calm.select(*CLASS, F.explode(F.array_distinct(F.array("first", "final"))).alias("x")).select(*CLASS, "x.*")
         solved = saved(_ordered(_cut(bodies, asked, least), least, shared, width, keep_first), "factors")
         others = rows.join(solved.where("rest").select(*CLASS, place.alias("first"), "gone", "d0", "d1"), CLASS).where(~place.eqNullSafe(F.col("first")))
         own = [*PLACE, "gone", "d0", "d1"]
         end = F.col("at") - F.col("d0") + F.when(F.col("gone"), F.lit(least)).otherwise(F.lit(shared))
         spans = solved.where("not rest").select(*own).union(others.select(*own)).select("doc_id", "h", (F.col("at") - F.col("d1")).alias("a"), end.alias("b"), "gone")
-        rows = saved(rows.join(crowded, ["s1", "s2"], "left_semi"), "crowded-runs") if split else rows
+        rows = saved(rows.join(crowded, ["s"], "left_semi"), "crowded-runs") if split else rows
         if split and levels[k + 1][0] > window:  # single windows: the seed is all that is compared at this length
             spans = spans.union(rows.select("doc_id", "h", F.col("at").alias("a"), (F.col("at") + window).alias("b"), F.lit(False)))
         found = saved(spans if found is None else found.union(spans), "repeats")

@@ -134,17 +134,14 @@ def _grouped(printed: DataFrame, chunk: int) -> DataFrame:
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("best")
     key = ["fp", "n_bytes"]
     shared = printed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), best).where("n > 1").select(*key, "best")
-    keeper = (
-        printed.join(shared, key)
-        .where((F.col("n_chars") == -F.col("best.less")) & F.col("doc_id").eqNullSafe(F.col("best.id")))
-        .groupBy(*key)
-        .agg(F.min("body").alias("kept_body"))
-    )
+    # written tables between a join and what groups its rows let Spark split the join of a group of very many copies
+    best_rows = printed.join(saved(shared, "shared"), key).where((F.col("n_chars") == -F.col("best.less")) & F.col("doc_id").eqNullSafe(F.col("best.id")))
+    keeper = saved(best_rows.select(*key, "body"), "best-rows").groupBy(*key).agg(F.min("body").alias("kept_body"))
     odd = _differing(printed.select(*key, "text_sha256", "body").join(saved(keeper, "kept-texts"), key), chunk).distinct().withColumn("own", F.col("text_sha256"))
     rows = printed.drop("body").join(saved(odd, "collisions"), [*key, "text_sha256"], "left").withColumn("own", F.coalesce("own", F.lit("")))
     key = [*key, "own"]
     groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), best)
-    return rows.join(groups, key).select(
+    return rows.join(saved(groups, "groups"), key).select(
         "doc_id",
         F.col("best.id").alias("keep_id"),
         "group_size",

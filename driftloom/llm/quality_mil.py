@@ -4,12 +4,12 @@ A text is a bag of passages of PASSAGE words. Every passage is encoded by its sh
 counts of hashed byte triples, and shares of distinct words, word lengths and the like. A learned layer turns the code into
 a vector h, gated attention w . (tanh(V h) * sigmoid(U h)) weighs the passages, and the weighted mean is scored by a
 logistic unit. All weights are learned together, from document labels alone, by Adam on a bounded sample of labelled rows:
-the MOST_BAGS rows of each label with the least hash of their id, and of these up to MOST_PASSAGES passages at even
-distances. Class weights restore the labels' true shares. Scoring reads all passages of all texts.
+the MOST_BAGS rows of each label with the least hash of their id, with all their passages. Class weights restore the labels'
+true shares. Scoring reads all passages of all texts.
 
 Null texts are empty; an empty text is one passage without words. Without labels of both kinds the score is the share of
 good labels, 0.5 without any. Rows labelled more than once count once, with their least label; labels that are null, or
-whose document is missing, don't count. Every input row gives one result row; other columns are ignored.
+whose document is missing, don't count; of documents with one id that with the least text is learned from. Every input row gives one result row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from .common import held_out, small_batches
 
 PASSAGE = 50
 MOST_BAGS = 1500
-MOST_PASSAGES = 24
 HASHED = 128
 THRESHOLD = 0.3
 #: Byte classes: lower case, upper case, digit, space, line end, comma-like, end-like, quote-like, other marks, high bytes.
@@ -130,7 +129,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, bag_weights: np.ndarray, p
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_bags: int = MOST_BAGS, most_passages: int = MOST_PASSAGES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_bags: int = MOST_BAGS) -> Model:
     """labels: doc_id, label (0 or 1). Rows of the held-out fold aren't read."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
@@ -145,17 +144,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_bags: int = MOST_BAGS, most_pas
         for batch in batches:
             codes = []
             for text in batch.column(2):
-                x = encode(text.as_py())
-                codes.append(x[np.unique(np.linspace(0, len(x) - 1, most_passages).astype(int))].tobytes())
+                codes.append(encode(text.as_py()).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["doc_id", "label", "code"])
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # the sample has 2 * most_bags rows at most
-    rows = ids.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, code binary").collect()
+    learned = ids.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = learned.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, code binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["code"])))
     if not rows:
         return Model(prior)
-    bags = [np.frombuffer(r["code"], np.float32).reshape(-1, WIDTH) for r in rows]
+    bags = [np.frombuffer(r["code"], np.float16).astype(np.float32).reshape(-1, WIDTH) for r in rows]
     y = np.array([r["label"] for r in rows], np.float32)
     share = {k: counts[k] / max(1, (y == k).sum()) for k in (0, 1)}
     return train(bags, y, np.array([share[int(k)] for k in y], np.float32), prior)
