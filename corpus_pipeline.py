@@ -1,8 +1,11 @@
 """Pipeline over documents: quality, exact and near duplicates, benchmark passages, packing.
 
 Every stage but the last keeps the columns of documents and drops rows. Rows are told apart by doc_id and a hash of the
-text; of rows that repeat both, the exact-dedup stage leaves one. SQL can't express the stages; tests/llm holds them
-against plain versions.
+text; of rows that repeat both, the exact-dedup stage leaves one. Null and empty texts are texts without words: the
+classifier scores them, exact dedup keeps one of all texts without a character but white space, and a packed one has the
+end id alone. A null doc_id is an id of its own, after all others. Texts of any length are read whole. Further columns, of
+any name, are kept; an empty table gives an empty one. SQL can't express the stages; tests/llm holds them against plain
+versions.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import saved, small_batches
+from driftloom.llm.common import saved, small_batches, unused
 from driftloom.llm.lsa_decontam import found_items
 from driftloom.llm.near_copies import near_components
 from driftloom.llm.pattern_packing import pack_documents
@@ -22,10 +25,11 @@ ORACLE_SQL = None
 
 def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of docs that chosen (doc_id, h) names, each once."""
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("h").alias("_other")).distinct()
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    same: Column = rows["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (rows["_h"] == chosen["_other"])
-    return rows.join(chosen, same, "left_semi").drop("_h")
+    own = unused(docs, "h")
+    chosen = chosen.select("doc_id", "h").distinct()
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    same: Column = rows["doc_id"].cast("long").eqNullSafe(chosen["doc_id"]) & (rows[own] == chosen["h"])
+    return rows.join(chosen, same, "left_semi").drop(own)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +40,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the longest before white space is taken out, then that with the smallest doc_id."""
     kept = polynomial_dedup(docs).where("kept")
-    rows = _only(docs.withColumn("_own", F.xxhash64("text")), kept)
-    return rows.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    own = unused(docs, "own")
+    rows = _only(docs.withColumn(own, F.xxhash64("text")), kept)
+    return rows.dropDuplicates(["doc_id", own]).drop(own)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every row, in sequences of 2,048 tokens."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
