@@ -38,7 +38,7 @@ CITE_CLASSES = {
 def terms(text: Column) -> Column:
     """Lower-case words of three or more letters; a word with a digit or "_" goes whole."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.filter(words, lambda w: w.rlike(r"^\p{L}{3,}$"))
+    return F.filter(words, lambda w: w.rlike(r"^\p{L}{3,}\z"))
 
 
 def content_terms(text: Column) -> Column:
@@ -83,7 +83,7 @@ def host_of(url: Column) -> Column:
 
 def unarchived(url: Column) -> Column:
     """The page that an archive's address wraps."""
-    inner = F.regexp_extract(url, r"^https?://web\.archive\.org/web/[^/]*/(https?://.+)$", 1)
+    inner = F.regexp_extract(url, r"(?is)^https?://web\.archive\.org/web/[^/]*/(https?://.+)\z", 1)
     return F.when(inner != "", inner).otherwise(url)
 
 
@@ -97,7 +97,7 @@ def cited_domains(wikitext: Column) -> Column:
 def domain_class(domain: Column) -> Column:
     """edu, gov/int, or the top-level domain."""
     last = F.substring_index(domain, ".", -1)
-    return F.when(domain.endswith(".edu") | domain.contains(".ac."), "edu").when(domain.rlike(r"\.(gov|mil|int|un\.org)$"), "gov/int").otherwise(last)
+    return F.when(domain.endswith(".edu") | domain.contains(".ac."), "edu").when(domain.rlike(r"\.(gov|mil|int|un\.org)\z"), "gov/int").otherwise(last)
 
 
 def cite_classes(wikitext: Column) -> Column:
@@ -110,7 +110,7 @@ def cite_classes(wikitext: Column) -> Column:
 def slug(title: Column) -> Column:
     """A title as a file name: separators to "_"; a name of dots alone to "_" throughout."""
     flat = F.translate(title, " /\\\x00", "____")
-    return F.when(flat.rlike(r"^\.+$"), F.regexp_replace(flat, r"\.", "_")).otherwise(flat)
+    return F.when(flat.rlike(r"^\.+\z"), F.regexp_replace(flat, r"\.", "_")).otherwise(flat)
 
 
 def plain_title(title: Column) -> Column:

@@ -61,8 +61,8 @@ def revisions_between(revisions: DataFrame, windows: DataFrame) -> DataFrame:
 
 def account_type(account: Column, explicit: Column | None = None) -> Column:
     """explicit, else hidden, anonymous_ip, bot or registered."""
-    ipv4 = account.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$")
-    ipv6 = account.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]+$") & (F.length(account) - F.length(F.replace(account, F.lit(":"))) >= 2)
+    ipv4 = account.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)\z")
+    ipv6 = account.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]+\z") & (F.length(account) - F.length(F.replace(account, F.lit(":"))) >= 2)
     own = F.when(account.isNull() | (account == "hidden"), "hidden").when(ipv4 | ipv6, "anonymous_ip").when(F.lower(account).endswith("bot"), "bot").otherwise("registered")
     return own if explicit is None else F.coalesce(explicit, own)
 

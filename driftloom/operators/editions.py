@@ -115,10 +115,10 @@ def plain_quote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def ground_evidence(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """quotes (id, quote) with the quote null unless a source (id, text) of the same id contains it."""
+    """quotes (id, quote and others) with the quote null unless a source (id, text) of the same id contains it."""
     held = sources.select("id", plain_quote("text").alias("_s"))
     asked = quotes.where("quote is not null").select("id", "quote", plain_quote("quote").alias("_q")).distinct()
     good = asked.join(held, "id").where(F.contains("_s", "_q")).select("id", F.col("quote").alias("_good")).distinct()
     good = good.withColumnRenamed("id", "_id")
     rows = quotes.join(good, (F.col("id") == F.col("_id")) & (F.col("quote") == F.col("_good")), "left")
-    return rows.select("id", F.when((F.col("quote") == "") | F.col("_good").isNotNull(), F.col("quote")).alias("quote"))
+    return rows.withColumn("quote", F.when((F.col("quote") == "") | F.col("_good").isNotNull(), F.col("quote"))).select(quotes.columns)

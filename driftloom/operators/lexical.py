@@ -41,7 +41,8 @@ def log_odds(pairs: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     rows = pairs.where((F.col("tb") > 0) & (F.col("ta") > 0) & (F.col("a") + F.col("b") >= LEAST_TOTAL) & (F.col("a") != F.col("b")))
     rows = rows.withColumns({"log_odds": F.round(odds("a", "ta") - odds("b", "tb"), 4), "delta": F.col("a") - F.col("b")}).where("log_odds <> 0")
     rows = rows.withColumn("direction", F.when(F.col("log_odds") > 0, "gained").otherwise("lost"))
-    order = Window.partitionBy("article", "direction").orderBy(F.desc(F.abs("log_odds")), F.desc(F.abs("delta")), "term")
+    further = F.when(F.col("direction") == "gained", -F.col("delta")).otherwise(F.col("delta"))  # not its size: with unlike totals the signs can differ
+    order = Window.partitionBy("article", "direction").orderBy(F.desc(F.abs("log_odds")), further, "term")
     rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return rows.select("article", "direction", "rank", "term", F.col("b").alias("before"), F.col("a").alias("after"), "delta", "log_odds")
 

@@ -51,7 +51,8 @@ def prerank_leads(series: DataFrame, p: Params = DEFAULT) -> DataFrame:
     )
 
 
-IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
+#: Addresses in place of names: four decimal groups, or hexadecimal groups between colons.
+ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|[0-9A-Fa-f:]+:[0-9A-Fa-f:]+)\z"
 
 
 def mscore(history: DataFrame, registered_only: bool = True, min_each: int = 2) -> DataFrame:
@@ -61,7 +62,7 @@ def mscore(history: DataFrame, registered_only: bool = True, min_each: int = 2)
     """
     rows = history.where("user is not null and sha1 is not null").where(~F.lower("user").endswith("bot"))
     if registered_only:
-        rows = rows.where(~F.col("user").rlike(IPV4) & ~F.col("user").contains(":"))
+        rows = rows.where(~F.col("user").rlike(ADDRESS))
     order = Window.partitionBy("article").orderBy("k0")
     rows = rows.withColumn("k", F.row_number().over(order) - 1).withColumn("first", F.min("k").over(Window.partitionBy("article", "sha1")))
     back = rows.where("first < k - 1").select("article", "k", "first", F.col("user").alias("a"))

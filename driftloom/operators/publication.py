@@ -112,7 +112,7 @@ def rewrite_info(articles: DataFrame, evidence: DataFrame) -> DataFrame:
 def lex_noise_filter(terms: DataFrame, most: int = 12) -> DataFrame:
     """The first `most` terms (article, direction, rank, term) that say something."""
     term = F.lower(F.trim("term"))
-    rows = terms.where((F.length(term) >= 3) & ~term.isin(*LEX_NOISE) & ~term.rlike(r"^\d+$"))
+    rows = terms.where((F.length(term) >= 3) & ~term.isin(*LEX_NOISE) & ~term.rlike(r"^\d+\z"))
     place = Window.partitionBy("article", "direction").orderBy("rank", "term")
     return rows.withColumn("position", F.row_number().over(place)).where(F.col("position") <= most)
 

@@ -39,7 +39,7 @@ class Views:
     @property
     def rsnap_raw(self) -> DataFrame:
         """A part is in the text of the half-years with a shipment alone, so that parts go and come back."""
-        rows = self._shipments().groupBy(F.concat(F.lit("a"), F.pmod("l_suppkey", F.lit(8))).alias("article"), F.pmod("l_partkey", F.lit(1500)).alias("token_id"), "half")
+        rows = self._shipments().groupBy(F.concat(F.lit("a"), F.pmod("l_suppkey", F.lit(8))).alias("article"), F.col("l_partkey").alias("token_id"), "half")
         rows = rows.agg(F.min("l_orderkey").alias("o0"))
         from pyspark.sql import Window
 
@@ -73,9 +73,19 @@ class Views:
     @property
     def texts(self) -> DataFrame:
         """Documents as revisions of their source; side is before or after."""
-        side = F.when(F.pmod("doc_id", F.lit(2)) == 0, "before").otherwise("after")
+        side = F.when(F.pmod(F.floor(F.col("doc_id") / 20), F.lit(2)) == 0, "before").otherwise("after")
         return self.table("documents").select(F.col("source").alias("article"), F.col("doc_id").alias("rev_id"), "lang", side.alias("side"), "text")
 
+    @property
+    def drafts(self) -> DataFrame:
+        """Each document in four states: plain, with a heading and a source halfway, with words replaced, and shortened."""
+        docs = self.table("documents").where("text is not null")
+        half = F.floor(F.length("text") / 2).cast("int")
+        cut = F.concat(F.substring("text", F.lit(1), half), F.lit(". Added <ref>[http://www.example.org/a x]</ref> here. More.\n== Later ==\n"), F.substring("text", half + 1, F.length("text")))
+        other = F.replace(F.replace(cut, F.lit("e "), F.lit("ee ")), F.lit("example.org"), F.lit("example.net"))
+        states = F.array(F.col("text"), cut, other, F.substring(other, F.lit(1), half))
+        return docs.select(F.concat(F.lit("d"), "doc_id").alias("article"), F.posexplode(states).alias("rev_id", "text")).withColumn("rev_id", F.col("rev_id").cast("long") + 1)
+
     def _owner(self, key: str) -> Column:
         return F.concat(F.lit("c"), F.col(key)).alias("article")
 
@@ -115,7 +125,7 @@ ship as (select *, ((year(l_shipdate)-1995)*12 + month(l_shipdate) - 1)//6 half
 span0 as (select 'a' || (l_suppkey % 20) article, l_partkey token_id, min(half) h0, max(half) h1, min(l_orderkey) o_rev_id from ship group by 1, 2),
 span1 as (select article, token_id, o_rev_id, unnest(range(h0, h1 + 1)) half from span0),
 rsnap as (select article, make_date((1995 + half // 2)::int, (1 + 6*(half % 2))::int, 1) snap_date, (half + 1)::bigint snap_rev, token_id, o_rev_id from span1),
-raw0 as (select 'a' || (l_suppkey % 8) article, l_partkey % 1500 token_id, half, min(l_orderkey) o0 from ship group by 1, 2, 3),
+raw0 as (select 'a' || (l_suppkey % 8) article, l_partkey token_id, half, min(l_orderkey) o0 from ship group by 1, 2, 3),
 rsnap_raw as (select article, make_date((1995 + half // 2)::int, (1 + 6*(half % 2))::int, 1) snap_date, (half + 1)::bigint snap_rev, token_id, min(o0) over (partition by article, token_id) o_rev_id from raw0),
 revisions as (select 'a' || (o_custkey % 20) article, o_orderkey rev_id, o_orderdate ts, 'u' || (o_custkey % 37) "user" from orders),
 rev_size as (select 'a' || (o_custkey % 20) article, o_orderkey rev_id, round(o_totalprice)::bigint size from orders),
@@ -129,7 +139,7 @@ lead_episodes as (select 'c' || o_custkey article, o_orderkey before_revid, o_or
   case when o_orderkey % 13 <> 0 then coalesce(r, 0) + (o_orderkey % 17 = 0)::int end::bigint removed_tokens, (coalesce(p, 0) + (o_orderkey % 19 = 0)::int)::bigint replacement_tokens, case when o_orderkey % 26 = 0 then 'revision_states_missing' end unavailable from orders left join event_sums on before_revid = o_orderkey),
 usable as (select e.*, case when removed_tokens is null then coalesce(unavailable, 'attribution_missing') when removed_tokens <> coalesce(r, 0) then 'removal_attribution_mismatch' end reason, case when removed_tokens is not null and removed_tokens = coalesce(r, 0) and replacement_tokens <> coalesce(p, 0) then 'replacement_attribution_mismatch' end reason2
   from lead_episodes e join confirmations c on c.article = e.article and status = 'confirmed' and is_fresh left join event_sums s using (before_revid)),
-texts as (select source article, doc_id rev_id, lang, case when doc_id % 2 = 0 then 'before' else 'after' end side, text from documents),
+texts as (select source article, doc_id rev_id, lang, case when (doc_id // 20) % 2 = 0 then 'before' else 'after' end side, text from documents),
 snaps as (select *, row_number() over (partition by article order by snap_date, snap_rev) - 1 k from (select distinct article, snap_date, snap_rev from rsnap)),
 mem0 as (select distinct s.article, s.k, r.token_id from rsnap r join snaps s using (article, snap_date, snap_rev)),
 member as (select *, row_number() over t w, lag(k) over t prev_k, lead(k) over t next_k from mem0 window t as (partition by article, token_id order by k))

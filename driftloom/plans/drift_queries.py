@@ -92,18 +92,19 @@ def _metadata(v: Views) -> DataFrame:
         F.md5(F.pmod("o_custkey", F.lit(200)).cast("string")).alias("sha1"), F.concat(F.lit("/* "), "o_orderpriority", F.lit(" */ edit")).alias("comment"),
         F.when(F.col("o_orderstatus") == "F", F.array(F.lit("mw-undo"), F.lit("minor"))).when(F.col("o_orderstatus") == "P", F.array(F.lit("mw-rollback"))).alias("tags"),
         (F.col("o_orderstatus") == "O").alias("minor"), (F.pmod("o_orderkey", F.lit(11)) == 0).alias("user_hidden"),
-    ).where(F.pmod("rev_id", F.lit(3)) != 0)
+    )
 
 
 _METADATA = """, metadata as (select 'a' || (o_custkey % 20) article, o_orderkey rev_id, o_orderdate ts, o_orderkey - 1 parent_id, md5((o_custkey % 200)::varchar) sha1, '/* ' || o_orderpriority || ' */ edit' "comment",
-  case o_orderstatus when 'F' then ['mw-undo', 'minor'] when 'P' then ['mw-rollback'] end tags, o_orderstatus = 'O' minor, o_orderkey % 11 = 0 user_hidden from orders where o_orderkey % 3 <> 0)"""
+  case o_orderstatus when 'F' then ['mw-undo', 'minor'] when 'P' then ['mw-rollback'] end tags, o_orderstatus = 'O' minor, o_orderkey % 11 = 0 user_hidden from orders)"""
 
 
 @query(_WINDOWS + _METADATA + """ select r.article, r.rev_id, parent_id, sha1, array_to_string(list_sort(coalesce(tags, [])), ',') tags, minor, size,
   case when coalesce(user_hidden, false) then 'hidden' else "user" end account, case when coalesce(user_hidden, false) then 'hidden' else 'registered' end account_type, regexp_extract("comment", '/\\*\\s*(.*?)\\s*\\*/', 1) section
-  from wins join revisions r using (article) left join metadata m on m.article = r.article and m.rev_id = r.rev_id left join rev_size s on s.article = r.article and s.rev_id = r.rev_id where r.ts between start_ts and end_ts""")
+  from wins join revisions r using (article) left join metadata m on m.article = r.article and m.rev_id = r.rev_id and not contains(m."comment", 'SPECIFIED') left join rev_size s on s.article = r.article and s.rev_id = r.rev_id where r.ts between start_ts and end_ts""")
 def revision_evidence_between(v: Views) -> DataFrame:
-    rows = corpus.revision_evidence_between(v.revisions, _windows(v), _metadata(v), v.rev_size)
+    """Revisions of one priority have no metadata."""
+    rows = corpus.revision_evidence_between(v.revisions, _windows(v), _metadata(v).where(~F.contains("comment", F.lit("SPECIFIED"))), v.rev_size)
     return rows.select("article", "rev_id", "parent_id", "sha1", F.array_join("tags", ",").alias("tags"), "minor", "size", "account", "account_type", at.section_of(F.col("comment")).alias("section"))
 
 

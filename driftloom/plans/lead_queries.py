@@ -223,11 +223,12 @@ def adaptive_cap(v: Views) -> DataFrame:
 _REQUIRED = ["click", "purchase", "signup", "view"]
 
 
-@query(f""", w as (select user_id topic, unnest({_REQUIRED}) layer from (select distinct user_id from events)), g as (select * from w where (topic, layer) not in (select (user_id, event_type) from events))
+@query(f""", w as (select user_id topic, unnest({_REQUIRED}) layer from (select distinct user_id from events)), g as (select * from w where (topic, layer) not in (select (user_id, event_type) from events group by user_id, event_type having sum(value) > 600))
 select topic, string_agg(layer, ',' order by layer) missing from g group by 1""")
 def coverage_gaps(v: Views) -> DataFrame:
-    e = v.table("events").select(F.col("user_id").alias("topic"), F.col("event_type").alias("layer"))
-    return resolution.coverage_gaps(e, e.select("topic").distinct(), _REQUIRED).withColumn("missing", F.array_join("missing", ","))
+    """A topic has a layer when its events add up to enough."""
+    e = v.table("events").groupBy(F.col("user_id").alias("topic"), F.col("event_type").alias("layer")).agg(F.sum("value").alias("total"))
+    return resolution.coverage_gaps(e.where("total > 600"), e.select("topic").distinct(), _REQUIRED).withColumn("missing", F.array_join("missing", ","))
 
 
 @query("select coalesce(n_name, 't' || (c_nationkey + c_custkey % 2 * 100)) topic, min(c_custkey) as position from customer left join nation on n_nationkey = c_nationkey + c_custkey % 2 * 100 group by 1")

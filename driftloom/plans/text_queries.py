@@ -42,7 +42,7 @@ def js_divergence(v: Views) -> DataFrame:
 
 @query(_TERMS + """, lo as (select *, a - b delta, round(ln((a + 0.5)/(greatest(0, ta - a) + 0.5)) - ln((b + 0.5)/(greatest(0, tb - b) + 0.5)), 4) log_odds from pt where tb > 0 and ta > 0 and a + b >= 3 and a <> b),
 ld as (select *, case when log_odds > 0 then 'gained' else 'lost' end direction from lo where log_odds <> 0)
-select article, direction, row_number() over (partition by article, direction order by abs(log_odds) desc, abs(delta) desc, term) "rank", term, b "before", a "after", delta, log_odds from ld qualify "rank" <= 20""")
+select article, direction, row_number() over (partition by article, direction order by abs(log_odds) desc, case direction when 'gained' then -delta else delta end, term) "rank", term, b "before", a "after", delta, log_odds from ld qualify "rank" <= 20""")
 def log_odds(v: Views) -> DataFrame:
     return lexical.log_odds(lexical.paired(_counts(v)))
 
@@ -97,22 +97,24 @@ def claim_match(v: Views) -> DataFrame:
 
 @query()
 def claim_match_fuzzy(v: Views) -> DataFrame:
-    """On pairs of neighbours whose sizes are alike; tests hold it against a plain version."""
+    """On pairs of neighbours whose sizes are alike; tests/test_claims.py holds it against a plain version."""
     return claims.claim_match_fuzzy(*claims.unmatched(*_claims(v)), P)
 
 
-@query(_CLAIMS + """, j as (select article, before_rev, after_rev, b.text bt, a.text aft from cb b full join ca a using (article, before_rev, after_rev, claim_id, n))
-select article, before_rev, after_rev, count(*) filter (where bt is not null and aft is not null) retained, 0::bigint relocated, count(*) filter (where bt is null) added, count(*) filter (where aft is null) removed,
-  case when count(bt) > 0 then 1.0 else 0.0 end::double lead_before, case when count(aft) > 0 then 1.0 else 0.0 end::double lead_after from j group by 1, 2, 3""")
+def _drafts(v: Views) -> tuple[DataFrame, DataFrame]:
+    return claims.claim_units(v.drafts), claims.revision_pairs(v.drafts)
+
+
+@query()
 def claim_transition(v: Views) -> DataFrame:
-    return claims.claim_transition(*_claims(v))
+    """On states of each document; tests/test_claims.py holds it against a plain version."""
+    return claims.claim_transition(*_drafts(v), P)
 
 
-@query(_CLAIMS + """, la as (select article, max(after_rev) last_rev from pr group by 1), lc as (select distinct article, claim_id, rev_id from claims)
-select d.article, d.before_rev, d.after_rev, d.claim_id, d.n, count(lc.rev_id) persistence, d.after_rev = any_value(last_rev) or coalesce(max(lc.rev_id) = any_value(last_rev), false) standing
-from added d join la using (article) left join lc on lc.article = d.article and lc.claim_id = d.claim_id and lc.rev_id > d.after_rev group by 1, 2, 3, 4, 5""")
+@query()
 def claim_persistence(v: Views) -> DataFrame:
-    return claims.claim_persistence(*_claims(v))
+    """On states of each document; tests/test_claims.py holds it against a plain version."""
+    return claims.claim_persistence(*_drafts(v), P)
 
 
 def _tokens(v: Views) -> DataFrame:
@@ -230,10 +232,14 @@ def cite_mix(v: Views) -> DataFrame:
     return editions.cite_mix(v.table("part").groupBy(F.col("p_size").alias("article"), name.alias("name")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("""select id, case when id % 3 <> 0 then upper(text[11:40]) end quote from (select doc_id id, text from documents where length(text) >= 60 and regexp_matches(text[1:60], '^[ -~]+$') and trim(text[11:40]) <> '')""")
-def ground_evidence(v: Views) -> DataFrame:
-    """Upper-case cuttings of each text, every third one altered, which grounding takes away."""
-    rows = v.table("documents").select(F.col("doc_id").alias("id"), "text").where((F.length("text") >= 60) & F.substring("text", 1, 60).rlike("^[ -~]+$") & (F.trim(F.substring("text", 11, 30)) != ""))
-    quote = F.upper(F.substring("text", 11, 30))
-    return editions.ground_evidence(rows.select("id", F.when(F.col("id") % 3 != 0, quote).otherwise(F.concat(quote, F.lit("#§"))).alias("quote")), rows)
+_CUT = "replace(replace(replace(substr(text, {}, 30), ' ', '  '), '-', '–'), chr(39), '’')"
+
 
+@query(f"""select doc_id id, place, case when doc_id % 3 <> 0 then q end quote from (select doc_id, 1 place, {_CUT.format("11")} q from documents union all select doc_id, 2, {_CUT.format("1 + length(text) // 2")} from documents)""")
+def ground_evidence(v: Views) -> DataFrame:
+    """Two cuttings of each text with other spaces, dashes and quotes, every third text's altered, which grounding takes away."""
+    docs = v.table("documents").select(F.col("doc_id").alias("id"), "text")
+    cut = lambda at: F.replace(F.replace(F.replace(F.substring("text", at, F.lit(30)), F.lit(" "), F.lit("  ")), F.lit("-"), F.lit("–")), F.lit("'"), F.lit("’"))
+    rows = docs.select("id", F.posexplode(F.array(cut(F.lit(11)), cut((1 + F.floor(F.length("text") / 2)).cast("int")))).alias("place", "quote"))
+    rows = rows.withColumns({"place": F.col("place") + 1, "quote": F.when(F.col("id") % 3 != 0, F.col("quote")).otherwise(F.concat("quote", F.lit("#§")))})
+    return editions.ground_evidence(rows, docs)
