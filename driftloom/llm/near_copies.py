@@ -18,14 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import discard, saved, small_batches
 from .components import connected_components
 from .simhash import SEED, shingles, simhash_dedup
 
 WORDS = 5
-SAMPLE = 20_000
+SAMPLE = 4_000
 #: Texts of the sample from which on a shingle is common.
-COMMON = 20
+COMMON = 4
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -87,11 +87,13 @@ def _possible(a: str, b: str) -> Column:
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b: hashes of texts) with a Jaccard similarity of 0.8 or more."""
-    used = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+    """Those of pairs (a, b: hashes of texts; a saved table, deleted then) with a Jaccard similarity of 0.8 or more."""
+    used = saved(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), "near-used")
     sets = saved(_hashed(texts.join(used, "h", "left_semi")), "near-sets")
     rows = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
-    return rows.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    found = saved(rows.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
+    discard(pairs, sets)
+    return found
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -106,11 +108,18 @@ def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, h (XXH64 of the text by Spark) and root, a number of the component, for each row."""
     small_batches(docs.sparkSession)
     labelled = saved(simhash_dedup(docs).select("doc_id", "h", "root"), "near-bits")
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").dropDuplicates(["h"])
+    # each text once; those that occur once, all after an exact dedup, needn't be shuffled for it
+    copies = saved(labelled.groupBy("h").count().where(F.col("count") > 1).select("h"), "near-copied")
+    every = docs.select(F.xxhash64("text").alias("h"), "text")
+    texts = every.join(copies, "h", "left_anti").union(every.join(copies, "h", "left_semi").dropDuplicates(["h"]))
     roots = labelled.select("h", "root").distinct()
-    rows = saved(prefixes(texts, common_shingles(texts)), "near-prefixes")
-    groups = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "at", "h")).alias("a")).where("size > 1").select("shingle", "a")
+    every = saved(prefixes(texts, common_shingles(texts)), "near-prefixes")
+    twice = saved(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("shingle"), "near-twice")
+    rows = saved(every.join(twice, "shingle", "left_semi"), "near-shared")
+    discard(every, twice)
+    groups = rows.groupBy("shingle").agg(F.min(F.struct("n", "at", "h")).alias("a")).select("shingle", "a")
     held = saved(rows.join(groups, "shingle").join(roots, "h").select("shingle", "a", F.struct("n", "at", "h").alias("b"), "root"), "near-groups")
+    discard(rows)
 
     hubs = roots.select(F.col("h").alias("a_h"), F.col("root").alias("hub_root"))
     first = held.where(_possible("a", "b")).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"), "root").distinct()
@@ -120,6 +129,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     apart = held.drop("root").join(roots, F.col("b.h") == roots["h"]).select("shingle", "b", "root")
     mixed = apart.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
     apart = saved(apart.join(mixed, "shingle", "left_semi"), "near-apart")
+    discard(held)
     pairs = apart.select("shingle", F.col("b").alias("a"), F.col("root").alias("root_a")).join(apart, "shingle").where((F.col("root_a") < F.col("root")) & _possible("a", "b"))
     roots = _joined(roots, similar(saved(pairs.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct(), "near-pairs"), texts))
     return labelled.select("doc_id", "h").join(roots, "h")
