@@ -87,12 +87,28 @@ def _possible(a: str, b: str) -> Column:
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b: hashes of texts; a saved table, deleted then) with a Jaccard similarity of 0.8 or more."""
+    """Those of pairs (a, b: hashes of texts; a saved table, deleted then) with a Jaccard similarity of 0.8 or more.
+
+    Texts go to their pairs, not sets of shingles, which are larger and don't compress.
+    """
     used = saved(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), "near-used")
-    sets = saved(_hashed(texts.join(used, "h", "left_semi")), "near-sets")
-    rows = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
-    found = saved(rows.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
-    discard(pairs, sets)
+    near = saved(texts.join(used, "h", "left_semi").select("h", "text"), "near-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
+        for batch in batches:
+            good = []
+            for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if b != last:
+                    last, x = b, shingle_hashes(text_b.as_py())
+                y = shingle_hashes(text_a.as_py())
+                if 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)):
+                    good.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    rows = pairs.join(near.select(F.col("h").alias("a"), F.col("text").alias("text_a")), "a").join(near.select(F.col("h").alias("b"), F.col("text").alias("text_b")), "b")
+    found = saved(rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-links")
+    discard(pairs, near)
     return found
 
 
