@@ -86,3 +86,10 @@ def mscore_raw_vs_refined(history: DataFrame) -> DataFrame:
     fine = mscore(history).select("article", F.col("m").alias("refined_m"))
     out = rows.join(raw, "article", "left").join(fine, "article", "left").na.fill(0, ["raw_revs", "raw_m", "refined_m"])
     return out.withColumn("refined_per_row", F.round(F.col("refined_m") / F.col("rows"), 2)).withColumn("contested", F.col("refined_m") / F.col("rows") >= 5)
+
+
+def recall_floor(leads: DataFrame) -> DataFrame:
+    """Healthy articles that removed as much as the known pivot that removed least, with that floor; none without a pivot.
+    leads: article, removed, kind (pivot, healthy or other)."""
+    floor = leads.where("kind = 'pivot'").agg(F.min("removed"))
+    return leads.where("kind = 'healthy'").withColumn("floor", floor.scalar()).where("removed >= floor").select("article", "removed", "floor")

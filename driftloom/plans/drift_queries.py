@@ -480,3 +480,12 @@ def mscore(v: Views) -> DataFrame:
 @query(_MSCORE + ", " + _m_sql(1, "f1") + ", " + _m_sql(2, "f2") + """ select article, f1.revs "rows", f1.revs raw_revs, f1.m raw_m, f2.m refined_m, round(f2.m/f1.revs, 2) refined_per_row, f2.m/f1.revs >= 5 contested from f1 join f2 using (article)""")
 def mscore_raw_vs_refined(v: Views) -> DataFrame:
     return prerank.mscore_raw_vs_refined(v.history)
+
+
+@query("""select article, removed, floor from (select article, removed, min(removed) filter (where kind = 'pivot') over () as floor, kind from (select 'c' || o_custkey article, max(round(o_totalprice))::bigint removed, case o_custkey % 10 when 0 then 'pivot' when 1 then 'other' else 'healthy' end kind from orders group by o_custkey)) where kind = 'healthy' and removed >= floor""")
+def recall_floor(v: Views) -> DataFrame:
+    """Customers as articles; every tenth is a known pivot."""
+    n = F.col("o_custkey") % 10
+    kind = F.when(n == 0, "pivot").when(n == 1, "other").otherwise("healthy")
+    rows = v.table("orders").groupBy("o_custkey").agg(F.max(F.round("o_totalprice")).cast("long").alias("removed"))
+    return prerank.recall_floor(rows.select(F.concat(F.lit("c"), "o_custkey").alias("article"), "removed", kind.alias("kind")))
