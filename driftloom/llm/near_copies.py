@@ -5,7 +5,9 @@ all texts; of n shingles the first n - ceil(0.8 n) + 1 are its prefix, and two t
 their prefixes. The order is by XXH64, with shingles that a sample of SAMPLE texts often has last; the sample decides how
 many candidates there are, not what is found. Pairs that size or place of their first common shingle rule out are left
 out, and so are those in one component already: first each text is compared with one text of each shingle's group,
-then what is still apart with all of the group. All candidates are checked on their full sets of shingles.
+then what is still apart with all of the group. A text's sketch has BITS bits, each the parity of the number of its
+shingles that fall there, so two sketches differ in no more bits than the sets differ in shingles; candidates whose
+sketches differ in more bits than similar sets can are left out. All others are checked on their full sets of shingles.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ WORDS = 5
 SAMPLE = 4_000
 #: Texts of the sample from which on a shingle is common.
 COMMON = 4
+#: Bits of a sketch, a multiple of 64.
+BITS = 1024
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -86,13 +90,42 @@ def _possible(a: str, b: str) -> Column:
     return 9 * rest >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles by bit, as 64-bit words."""
+    odd = np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """h, n (shingles of the text), bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(x.as_py()) for x in batch.column(1)]
+            n = pa.array([len(x) for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))], ["h", "n", "bits"])
+
+    return texts.select("h", "text").mapInArrow(run, "h long, n int, bits array<long>")
+
+
+def _alike_sketches() -> Column:
+    """Similar sets differ in (n + m) / 9 shingles at most, and their sketches in no more bits."""
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
+    return 9 * apart <= F.col("n_a") + F.col("n_b")
+
+
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b: hashes of texts; a saved table, deleted then) with a Jaccard similarity of 0.8 or more.
 
-    Texts go to their pairs, not sets of shingles, which are larger and don't compress.
+    Texts go to their pairs, not sets of shingles, which are larger and don't compress; only to pairs of alike sketches.
     """
-    used = saved(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), "near-used")
-    near = saved(texts.join(used, "h", "left_semi").select("h", "text"), "near-texts")
+    ends = lambda df: df.select(F.col("a").alias("h")).union(df.select(F.col("b").alias("h"))).distinct()
+    of = lambda df, side: df.select(*(F.col(c).alias(side if c == "h" else f"{c}_{side}") for c in df.columns))
+    used = saved(ends(pairs), "near-used")
+    drawn = saved(sketches(texts.join(used, "h", "left_semi")), "near-sketches")
+    alike = saved(pairs.join(of(drawn, "a"), "a").join(of(drawn, "b"), "b").where(_alike_sketches()).select("a", "b"), "near-alike")
+    left = saved(ends(alike), "near-used")
+    near = saved(texts.join(left, "h", "left_semi").select("h", "text"), "near-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, None
@@ -106,9 +139,9 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     good.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    rows = pairs.join(near.select(F.col("h").alias("a"), F.col("text").alias("text_a")), "a").join(near.select(F.col("h").alias("b"), F.col("text").alias("text_b")), "b")
+    rows = alike.join(of(near, "a"), "a").join(of(near, "b"), "b")
     found = saved(rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-links")
-    discard(pairs, near)
+    discard(pairs, used, drawn, alike, left, near)
     return found
 
 
