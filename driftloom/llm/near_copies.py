@@ -7,7 +7,8 @@ many candidates there are, not what is found. Pairs that size or place of their
 out, and so are those in one component already: first each text is compared with one text of each shingle's group,
 then what is still apart with all of the group. A text's sketch has BITS bits, each the parity of the number of its
 shingles that fall there, so two sketches differ in no more bits than the sets differ in shingles; candidates whose
-sketches differ in more bits than similar sets can are left out. All others are checked on their full sets of shingles.
+sketches differ in more bits than similar sets can are left out, then those whose sketches of FINE_BITS bits do, which
+tells long texts apart. All others are checked on their full sets of shingles.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ WORDS = 5
 SAMPLE = 4_000
 #: Texts of the sample from which on a shingle is common.
 COMMON = 4
-#: Bits of a sketch, a multiple of 64.
+#: Bits of the sketches of all texts and of those that these leave; multiples of 64.
 BITS = 1024
+FINE_BITS = 8192
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -90,42 +92,47 @@ def _possible(a: str, b: str) -> Column:
     return 9 * rest >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
+def sketch(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Parities of the numbers of shingles by bit, as 64-bit words."""
-    odd = np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) % 2
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
-def sketches(texts: DataFrame) -> DataFrame:
+def sketches(texts: DataFrame, bits: int = BITS) -> DataFrame:
     """h, n (shingles of the text), bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(x.as_py()) for x in batch.column(1)]
             n = pa.array([len(x) for x in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))], ["h", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([sketch(x, bits) for x in sets], pa.list_(pa.int64()))], ["h", "n", "bits"])
 
     return texts.select("h", "text").mapInArrow(run, "h long, n int, bits array<long>")
 
 
-def _alike_sketches() -> Column:
-    """Similar sets differ in (n + m) / 9 shingles at most, and their sketches in no more bits."""
+def _of(df: DataFrame, side: str) -> DataFrame:
+    """df with its h as this side of a pair."""
+    return df.select(*(F.col(c).alias(side if c == "h" else f"{c}_{side}") for c in df.columns))
+
+
+def _alike(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Those of pairs whose sketches allow it: similar sets differ in (n + m) / 9 shingles at most, and sketches in no more bits."""
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
-    return 9 * apart <= F.col("n_a") + F.col("n_b")
+    both = pairs.join(_of(drawn, "a"), "a").join(_of(drawn, "b"), "b")
+    return saved(both.where(9 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b"), "near-alike")
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, drawn: DataFrame) -> DataFrame:
     """Those of pairs (a, b: hashes of texts; a saved table, deleted then) with a Jaccard similarity of 0.8 or more.
 
-    Texts go to their pairs, not sets of shingles, which are larger and don't compress; only to pairs of alike sketches.
+    drawn: sketches of texts. Texts go to their pairs, not sets of shingles, which are larger and don't compress; only to
+    pairs of alike sketches.
     """
-    ends = lambda df: df.select(F.col("a").alias("h")).union(df.select(F.col("b").alias("h"))).distinct()
-    of = lambda df, side: df.select(*(F.col(c).alias(side if c == "h" else f"{c}_{side}") for c in df.columns))
-    used = saved(ends(pairs), "near-used")
-    drawn = saved(sketches(texts.join(used, "h", "left_semi")), "near-sketches")
-    alike = saved(pairs.join(of(drawn, "a"), "a").join(of(drawn, "b"), "b").where(_alike_sketches()).select("a", "b"), "near-alike")
-    left = saved(ends(alike), "near-used")
-    near = saved(texts.join(left, "h", "left_semi").select("h", "text"), "near-texts")
+    alike = _alike(pairs, drawn)
+    ends = saved(alike.select(F.col("a").alias("h")).union(alike.select(F.col("b").alias("h"))).distinct(), "near-used")
+    near = saved(texts.join(ends, "h", "left_semi").select("h", "text"), "near-texts")
+    fine = saved(sketches(near, FINE_BITS), "near-sketches")
+    closer = _alike(alike, fine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, None
@@ -139,9 +146,9 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     good.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    rows = alike.join(of(near, "a"), "a").join(of(near, "b"), "b")
+    rows = closer.join(_of(near, "a"), "a").join(_of(near, "b"), "b")
     found = saved(rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-links")
-    discard(pairs, used, drawn, alike, left, near)
+    discard(pairs, alike, ends, near, fine, closer)
     return found
 
 
@@ -162,6 +169,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     every = docs.select(F.xxhash64("text").alias("h"), "text")
     texts = every.join(copies, "h", "left_anti").union(every.join(copies, "h", "left_semi").dropDuplicates(["h"]))
     roots = labelled.select("h", "root").distinct()
+    drawn = saved(sketches(texts), "near-sketches")
     every = saved(prefixes(texts, common_shingles(texts)), "near-prefixes")
     twice = saved(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("shingle"), "near-twice")
     rows = saved(every.join(twice, "shingle", "left_semi"), "near-shared")
@@ -173,12 +181,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     hubs = roots.select(F.col("h").alias("a_h"), F.col("root").alias("hub_root"))
     first = held.where(_possible("a", "b")).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"), "root").distinct()
     first = first.join(hubs, F.col("a") == F.col("a_h")).where("root <> hub_root").select("a", "b")
-    roots = _joined(roots, similar(saved(first, "near-pairs"), texts))
+    roots = _joined(roots, similar(saved(first, "near-pairs"), texts, drawn))
 
     apart = held.drop("root").join(roots, F.col("b.h") == roots["h"]).select("shingle", "b", "root")
     mixed = apart.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
     apart = saved(apart.join(mixed, "shingle", "left_semi"), "near-apart")
     discard(held)
     pairs = apart.select("shingle", F.col("b").alias("a"), F.col("root").alias("root_a")).join(apart, "shingle").where((F.col("root_a") < F.col("root")) & _possible("a", "b"))
-    roots = _joined(roots, similar(saved(pairs.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct(), "near-pairs"), texts))
+    roots = _joined(roots, similar(saved(pairs.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct(), "near-pairs"), texts, drawn))
     return labelled.select("doc_id", "h").join(roots, "h")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from driftloom.llm.near_copies import BITS, prefix, shingle_hashes, sketch
+from driftloom.llm.near_copies import BITS, FINE_BITS, prefix, shingle_hashes, sketch
 
 from . import brute
 
@@ -68,6 +68,7 @@ def test_sketches_of_similar_sets():
     for n in (0, 1, 5, 60, 900, 20_000):
         a = np.unique(r.integers(0, 2**64, n, np.uint64))
         b = np.unique(np.concatenate([a[: len(a) - len(a) // 9], r.integers(0, 2**64, n // 9, np.uint64)]))
-        apart = int(np.bitwise_count((sketch(a) ^ sketch(b)).view(np.uint64)).sum())
-        assert apart <= len(np.setxor1d(a, b))
+        for bits in (BITS, FINE_BITS):
+            apart = int(np.bitwise_count((sketch(a, bits) ^ sketch(b, bits)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(a, b))
     assert int(np.bitwise_count(sketch(np.arange(BITS, dtype=np.uint64)).view(np.uint64)).sum()) == BITS
