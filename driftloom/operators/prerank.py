@@ -66,8 +66,11 @@ def mscore(history: DataFrame, registered_only: bool = True, min_each: int = 2)
     order = Window.partitionBy("article").orderBy("k0")
     rows = rows.withColumn("k", F.row_number().over(order) - 1).withColumn("first", F.min("k").over(Window.partitionBy("article", "sha1")))
     back = rows.where("first < k - 1").select("article", "k", "first", F.col("user").alias("a"))
-    between = rows.select("article", F.col("k").alias("m"), F.col("user").alias("b"))
-    pairs = back.join(between, "article").where("m > first and m < k and a <> b").groupBy("article", "a", "b").agg(F.countDistinct("k").alias("n"))
+    # a user's next edit after a state decides which of the reverts to that state took it back
+    states = back.groupBy("article", "first").agg(F.max("k").alias("until"))
+    edit = rows.select("article", F.col("k").alias("m"), F.col("user").alias("b"))
+    after = states.join(edit, "article").where("m > first and m < until").groupBy("article", "first", "b").agg(F.min("m").alias("m"))
+    pairs = back.join(after, ["article", "first"]).where("m < k and a <> b").groupBy("article", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     other = pairs.select("article", F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("m"))
     mutual = pairs.join(other, ["article", "a", "b"]).where((F.col("a") < F.col("b")) & (F.col("n") >= min_each) & (F.col("m") >= min_each))
     edits = rows.groupBy("article", "user").agg(F.count(F.lit(1)).alias("edits"))

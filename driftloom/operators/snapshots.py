@@ -92,28 +92,24 @@ def stable_endpoint(snapshots: DataFrame, observed_at: Column, p: Params = DEFAU
     return tops.join(listed, "article").select("article", F.when(F.col("best").isNull(), "unstable").otherwise("stable").alias("status"), F.col("best.snap_rev").alias("selected_rev"), F.col("best.snap_date").alias("selected_date"), F.col("best.age").alias("survival_seconds"), "excluded")
 
 
-def source_adequacy(state: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    """available, partial, stale or unavailable for each article."""
-    checked = F.try_to_timestamp(F.col("source_checked_at").cast("string"))
-    stale = checked.isNull() | (F.unix_seconds(now) - F.unix_seconds(checked) > days * 86400)
-    partial = F.col("loaded_snapshots") < F.col("expected_snapshots")
-    label = F.when(F.coalesce("source_status", F.lit("unavailable")) != "available", "unavailable").when(stale, "stale").when(partial, "partial").otherwise("available")
-    return state.select("article", label.alias("adequacy"))
-
-
 def artifact_trust(artifacts: DataFrame, endpoints: DataFrame, integrity: DataFrame) -> DataFrame:
-    """The first gate that each artifact fails, or published. artifacts: artifact, article, after_rev, horizon_rev, revs (array)."""
-    revs = artifacts.select("artifact", "article", F.explode_outer("revs").alias("snap_rev"))
+    """The first gate that each artifact fails, or published.
+
+    artifacts: artifact, article, kind (l1-confirmation, lexical or stance), end_rev (the saved horizon, or the later
+    revision), from_snapshots (a lexical interval between snapshots), revs (array of the revisions that it names).
+    """
+    kind = F.col("kind")
+    checked = F.when(kind == "l1-confirmation", F.array("end_rev")).when((kind == "stance") | ((kind == "lexical") & F.col("from_snapshots")), F.col("revs"))
+    revs = artifacts.select("artifact", "article", F.explode(F.array_compact(checked)).alias("snap_rev"))
     held = integrity.groupBy("article", "snap_rev").agg(F.bool_or(F.col("status") == "quarantined").alias("bad"))
-    facts = revs.join(held, ["article", "snap_rev"], "left").groupBy("artifact").agg(
-        F.count("snap_rev").alias("named"), F.count(F.when(F.col("snap_rev").isNotNull() & F.col("bad").isNull(), 1)).alias("unknown"), F.count(F.when(F.col("bad"), 1)).alias("quarantined")
-    )
-    ends = endpoints.select("article", F.col("status").alias("endpoint"), F.col("selected_rev"))
-    rows = artifacts.join(facts, "artifact").join(ends, "article", "left")
-    newer = ~F.col("horizon_rev").eqNullSafe(F.col("selected_rev")) | (F.col("after_rev") > F.col("selected_rev"))
+    facts = revs.join(held, ["article", "snap_rev"], "left").groupBy("artifact").agg(F.count_if(F.col("bad").isNull()).alias("unknown"), F.count_if("bad").alias("quarantined"))
+    ends = endpoints.select("article", F.col("status").alias("endpoint"), "selected_rev")
+    rows = artifacts.join(facts, "artifact", "left").join(ends, "article", "left")
+    other = ~F.col("end_rev").eqNullSafe(F.col("selected_rev"))
     state = (
-        F.when(F.col("endpoint").isNull(), "legacy_incompatible").when(F.col("endpoint") != "stable", "unstable_endpoint").when(newer, "stale")
-        .when(F.col("named") == 0, "legacy_incompatible").when(F.col("unknown") > 0, "legacy_incompatible").when(F.col("quarantined") > 0, "withheld_quarantined").otherwise("published")
+        F.when(F.col("endpoint").isNull(), "legacy_incompatible").when((F.col("endpoint") != "stable") | F.col("selected_rev").isNull(), "unstable")
+        .when((kind == "l1-confirmation") & other, "stale").when((kind == "lexical") & F.col("end_rev").isNull(), "legacy_incompatible").when((kind == "lexical") & F.col("from_snapshots") & other, "stale")
+        .when((kind == "stance") & (F.size("revs") == 0), "legacy_incompatible").when(F.col("unknown") > 0, "legacy_incompatible").when(F.col("quarantined") > 0, "quarantined").otherwise("published")
     )
     return rows.select("artifact", "article", state.alias("state"))
 
