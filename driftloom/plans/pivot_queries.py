@@ -104,14 +104,14 @@ def trajectory_selection(v: Views) -> DataFrame:
     return long.unionByName(pivots.trajectory_selection(usable, ends, "interval", "1995-07-01", "1997-02-01").withColumn("mode", F.lit("interval")))
 
 
-@query("""select item, substr(site, 1, length(site) - 4) lang, title from (select s_suppkey item, n_name title, lower(n_name[:2]) || case s_suppkey % 4 when 0 then 'wiki' when 1 then 'wiki' when 2 then 'wikiquote' else '' end site from supplier join nation on n_nationkey = s_nationkey
+@query("""select item, substr(site, 1, length(site) - 4) lang, title from (select s_suppkey item, n_name title, 'l' || s_nationkey || case s_suppkey % 4 when 0 then 'wiki' when 1 then 'wiki' when 2 then 'wikiquote' else '' end site from supplier join nation on n_nationkey = s_nationkey
   union all select s_suppkey, s_name, 'commonswiki' from supplier) where site like '%wiki' and site not like 'commons%'""")
 def edition_map(v: Views) -> DataFrame:
     """Suppliers as items with one edition of their nation, and a sister project."""
     n = F.col("s_suppkey") % 4
     names = v.table("supplier").join(v.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("title")), "s_nationkey")
     kind = F.when(n < 2, "wiki").when(n == 2, "wikiquote").otherwise("")
-    rows = names.select(F.col("s_suppkey").alias("item"), F.concat(F.lower(F.substring("title", 1, 2)), kind).alias("site"), "title")
+    rows = names.select(F.col("s_suppkey").alias("item"), F.concat(F.lit("l"), "s_nationkey", kind).alias("site"), "title")
     return pivots.edition_map(rows.union(v.table("supplier").select("s_suppkey", F.lit("commonswiki"), "s_name")))
 
 
