@@ -95,6 +95,14 @@ def cite_mix(counts: DataFrame) -> DataFrame:
     return rows.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("article"))).cast("int")).select("article", "name", "percent")
 
 
+def bound_comparison(divergences: DataFrame, most: int = 6, editions: int = 5) -> DataFrame:
+    """The first divergences of each article, with the first editions that differ (null: none). divergences: article, place
+    (from 0, unique in an article), editions_differ (array) and others."""
+    order = Window.partitionBy("article").orderBy("place")
+    rows = divergences.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
+    return rows.withColumn("editions_differ", F.slice(F.coalesce("editions_differ", F.array().cast("array<string>")), 1, editions))
+
+
 def evenly_sampled(rows: DataFrame, order: str, most: int) -> DataFrame:
     """At most `most` rows of each article at even distances, the last one among them."""
     place = Window.partitionBy("article").orderBy(order)

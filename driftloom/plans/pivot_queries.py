@@ -166,3 +166,13 @@ def export_state(v: Views) -> DataFrame:
     n = F.expr("cast(substring(article, 2) as int)")
     held = v.confirmations.withColumns({"trust": F.when(n % 13 == 0, None).when(n % 17 == 0, "stale").otherwise("published"), "reason": F.lit(None).cast("string")})
     return pivots.export_state(held, _materialized(v))
+
+
+@query("""select 'c' || o_custkey article, o_orderkey place, array_to_string(langs[:5], ' ') editions from (select o_orderkey, o_custkey, list('l' || l_linenumber order by l_linenumber) langs from orders join lineitem on l_orderkey = o_orderkey group by 1, 2)
+  qualify row_number() over (partition by o_custkey order by o_orderkey) <= 6""")
+def bound_comparison(v: Views) -> DataFrame:
+    """Orders as divergences, their lines as the editions that differ."""
+    langs = v.table("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.concat(F.lit("l"), "l_linenumber"))).alias("editions_differ"))
+    rows = v.table("orders").join(langs, F.col("o_orderkey") == F.col("l_orderkey"))
+    found = editions.bound_comparison(rows.select(F.concat(F.lit("c"), "o_custkey").alias("article"), F.col("o_orderkey").alias("place"), "editions_differ"))
+    return found.select("article", "place", F.array_join("editions_differ", " ").alias("editions"))

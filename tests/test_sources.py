@@ -89,3 +89,13 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
 def test_activity(spark, rows):
     data = spark.createDataFrame([("a", k, "u") for k in range(rows)], "article string, rev_id long, user string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     assert [(r.revisions, r.users) for r in streaming.activity(data).collect()] == ([(2, 1)] if rows else [])
+
+
+def test_export_files(spark, tmp_path):
+    from driftloom.sources import export_files
+
+    bodies = {"a b.xml": "<mediawiki>\n<page/>\n</mediawiki>\n", "cut.xml": "<mediawiki>\n<page>&lt;/mediawiki&gt;", "empty.xml": ""}
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body)
+    found = {r["file"].rsplit("/", 1)[1].replace("%20", " "): (r["bytes"], r["complete"]) for r in export_files(spark, str(tmp_path)).collect()}
+    assert found == {name: (len(body), name == "a b.xml") for name, body in bodies.items() if body}
