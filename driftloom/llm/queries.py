@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import host_reputation
+from . import line_rules as line_rules_module
 from .cdc_dedup import cdc_dedup
 from .chat_prefix import conversation_digests, format_conversations
 from .host_reputation import url_verdicts
+from .line_rules import line_rules
 from .lpf_dedup import lpf_dedup
 from .lsa_decontam import decontaminate
 from .pattern_packing import pack_documents
+from .periodic_runs import periodic_runs, with_planted_runs
 from .polynomial_dedup import polynomial_dedup
 from .quality_mil import quality_scores
 from .simhash import simhash_dedup
+from .target_resampling import resample
 from .warc import warc_round_trip
 
 
@@ -75,8 +79,23 @@ def op10_lpf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts are the targets."""
+    return resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source stands for its host."""
+    return line_rules(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text")), keep_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality_mil, op2_simhash, op3_host_reputation, op4_pattern_packing, op5_lsa_decontam, op6_chat_prefix, op7_cdc, op8_polynomial_dedup, op9_warc, op10_lpf)
+    own += (op11_target_resampling, op12_line_rules, op13_periodic_runs)
     return {f.__name__: f for f in own}
 
 
@@ -153,5 +172,46 @@ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 an
   case when payload_bytes >= 100 and page_id <> first_id then first_id end refers_to from g"""
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+#: 3988292384: the reversed polynomial of CRC-32.
+_CRC_SQL = """crc as (select list(c order by i) t from (select i, list_reduce(list_prepend(i::ubigint, range(8)::ubigint[]), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) c from range(256) r(i)))"""
+
+
+def _op11_sql() -> str:
+    words = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    bytes_of = "list_transform(range(0, length(x), 2), lambda k: ('0x' || substr(x, k::bigint + 1, 2))::ubigint)"
+    h = "('0x' || substr(sha256('2024:' || doc_id), 1, 8))::ubigint::double"
+    return f"""
+with {_CRC_SQL},
+d as (select row_number() over () r, doc_id, {words} ws from documents), b as (select unnest({words}) w from benchmark),
+dw as (select r, unnest(ws) w from d),
+hexed as (select w, hex(encode(w)) x from (select w from dw union select w from b)),
+named as (select w, (xor(list_reduce(list_prepend(4294967295::ubigint, {bytes_of}), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255)::int + 1])), 4294967295::ubigint) % 10000)::bigint bucket from hexed, crc),
+s as (select bucket, count(*) n from dw join named using (w) group by 1), t as (select bucket, count(*) n from b join named using (w) group by 1),
+gain as (select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from s) + 10000)::double / ((s.n + 1)::double * ((select coalesce(sum(n), 0) from t) + 10000)::double)))::bigint g from s left join t using (bucket)),
+mean as (select r, floor(sum(g)::double / count(*))::bigint weight from dw join named using (w) join gain using (bucket) group by 1),
+scored as (select d.r, doc_id, len(ws)::bigint n_features, coalesce(weight, 0) weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(({h} + 0.5) / 4294967296.0)))::bigint score from d left join mean using (r)),
+placed as (select r, row_number() over (order by score desc, doc_id) place, count(*) over () total from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when place <= total * 10 // 100 then place end "rank" from scored left join placed using (r)"""
+
+
+def _op12_sql() -> str:
+    normal = f"regexp_replace(trim(regexp_replace({_LOWER.format('l')}, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g')"
+    return f"""
+with d as (select row_number() over () r, doc_id, source, coalesce(text, '') body, regexp_extract_all(coalesce(text, ''), '{_WORD}') ws from documents),
+ls as (select r, source, body, l, len(regexp_extract_all(l, '{_WORD}')) n, {normal} line from (select r, source, body, unnest(string_split(body, chr(10))) l from d) where regexp_matches(l, '{_WORD}')),
+dup as (select r, count(*) - count(distinct l) n_dup_lines from ls group by 1),
+grams as (select r, i, ws[i:i+4] gram from (select r, ws, unnest(range(1, len(ws) - 3)) i from d)),
+again as (select r, gram from grams group by all having count(*) > 1),
+rep as (select r, count(distinct k) n_repeat_words from (select r, unnest(range(i, i + 5)) k from grams join again using (r, gram)) group by 1),
+sizes as (select source, count(distinct body) size from d group by 1), seen as (select source, line, count(distinct body) n from ls group by 1, 2),
+freq as (select a.source, line from seen a join sizes b on a.source is not distinct from b.source where n > {line_rules_module.LEAST_DOCS} and n > {line_rules_module.SHARE} * size),
+cut as (select r, sum(n)::bigint n_removed from ls join freq f on ls.line = f.line and ls.source is not distinct from f.source group by 1),
+m as (select r, doc_id, len(ws)::bigint n_words, length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g'))::bigint word_chars, length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols,
+  coalesce(n_dup_lines, 0)::bigint n_dup_lines, coalesce(n_repeat_words, 0)::bigint n_repeat_words, coalesce(n_removed, 0)::bigint n_removed from d left join dup using (r) left join rep using (r) left join cut using (r))
+select * exclude (r), n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed, not (n_words < 10 or 100 * n_repeat_words > 20 * n_words)
+  and n_words - n_removed >= {line_rules_module.LEAST_WORDS} and n_removed <= {line_rules_module.MOST_REMOVED} * n_words kept from m"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_reputation": _op3_sql(), "op6_chat_prefix": _OP6_SQL, "op8_polynomial_dedup": _OP8_SQL, "op9_warc": _OP9_SQL}
+    return {"op3_host_reputation": _op3_sql(), "op6_chat_prefix": _OP6_SQL, "op8_polynomial_dedup": _OP8_SQL, "op9_warc": _OP9_SQL, "op11_target_resampling": _op11_sql(), "op12_line_rules": _op12_sql()}
