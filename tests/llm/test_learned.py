@@ -15,6 +15,7 @@ from driftloom.llm.polynomial_dedup import normalised
 from driftloom.llm.quality_mil import WIDTH, Model, encode, fit, quality_scores, score, train
 
 from . import brute
+from .test_near_copies import components
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -168,16 +169,16 @@ def test_exact_stage(staged):
 
 
 def test_near_stage(staged):
+    """One row stays of each group that 3 bits of 64 or a 5-word Jaccard similarity of 0.8 link, that with the least doc_id."""
     _, before, after = staged[2]
-    held = [(tuple(r), r["doc_id"], r["text"]) for r in before.collect()]
-    component = {}
-    numbered = [(k, t) for k, (_, _, t) in enumerate(held)]
-    for k, _, c in brute.simhash(numbered):
-        component.setdefault(c, []).append(k)
-    for own in component.values():
-        left = [held[k] for k in own if held[k][0] in set(rows(after))]
-        assert len(left) == 1 and left[0][1] == min((held[k][1] for k in own if held[k][1] is not None), default=None)
-    assert after.count() == len(component)
+    held = before.collect()
+    groups, left = {}, set(rows(after))
+    for r, root in zip(held, components([r["text"] for r in held])[0], strict=True):
+        groups.setdefault(root, []).append(r)
+    for own in groups.values():
+        kept = [r for r in own if tuple(r) in left]
+        assert len(kept) == 1 and kept[0]["doc_id"] == min((r["doc_id"] for r in own if r["doc_id"] is not None), default=None)
+    assert after.count() == len(groups)
 
 
 def test_decontamination_stage(spark, staged):
