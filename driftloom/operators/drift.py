@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,32 +176,58 @@ def cohort_survival(spine: DataFrame, windows: DataFrame, revisions: DataFrame,
     return rows.select("article", "k", "rev_id", "ts", "seq", "cohort", F.when(F.col("known"), F.coalesce("hits", F.lit(0)) / F.col("cohort")).alias("share"))
 
 
-def refine(survival: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Bisect each window's survival series to the pair with the dominant drop; drop is the whole window's.
+def refine(spine: DataFrame, windows: DataFrame, revisions: DataFrame, token_state: DataFrame | Callable[[DataFrame], DataFrame], p: Params = DEFAULT) -> DataFrame:
+    """Bisect each window (article, k, start_ts, end_ts) to the pair of revisions with the dominant drop of the spine:
+    article, k, before_rev, after_rev, drop (the whole window's), probed (revisions whose states were read).
 
-    A window's series has one row for each of its revisions; it is the group of the pandas function. Null shares end the
-    search with no result, which leaves the fallback to the caller; so do fewer than three revisions or a small cohort.
-    """
+    All windows go together: a round probes one revision of each that isn't settled, and reads the token states (article,
+    rev_id, token_id) of the probed revisions alone. token_state may be a function that gets the probes (article, rev_id) and
+    gives their states. There are as many rounds as bits in the longest window's number of revisions; each ends in a
+    checkpoint, so lost executors cost a round at most.
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        share, n = pdf["share"].tolist(), len(pdf)
-        first = pdf.iloc[0]
-        empty = pd.DataFrame({"article": [first["article"]], "k": [first["k"]], "before_rev": [None], "after_rev": [None], "drop": [None]})
-        if n < 3 or first["cohort"] < p.min_cohort or pd.isna(share[0]) or pd.isna(share[-1]):
-            return empty
-        lo, hi = 0, n - 1
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            if pd.isna(share[mid]):
-                return empty
-            if share[lo] - share[mid] >= share[mid] - share[hi]:
-                hi = mid
-            else:
-                lo = mid
-        return pd.DataFrame({"article": [first["article"]], "k": [first["k"]], "before_rev": [pdf.iloc[lo]["rev_id"]], "after_rev": [pdf.iloc[hi]["rev_id"]], "drop": [share[0] - share[-1]]})
-
-    return survival.groupBy("article", "k").applyInPandas(search, "article string, k int, before_rev long, after_rev long, drop double")
+    A revision without any token state ends a window's search with no pair and no drop, which leaves the fallback to the
+    caller; so do fewer than three revisions or a small cohort.
+    """
+    spine = spine.select("article", "k", "token_id").checkpoint()
+    place = Window.partitionBy("article", "k").orderBy("ts", "rev_id")
+    revs = windows.join(revisions.select("article", "rev_id", "ts"), "article").where("ts > start_ts and ts <= end_ts")
+    revs = revs.withColumn("seq", F.row_number().over(place) - 1).select("article", "k", "seq", "rev_id").checkpoint()
+    sizes = revs.groupBy("article", "k").agg(F.count(F.lit(1)).alias("n"))
+    cohorts = spine.groupBy("article", "k").agg(F.count(F.lit(1)).alias("cohort"))
+
+    def shares(asked: DataFrame) -> DataFrame:
+        """article, k, rev_id of asked, with share: null without states."""
+        asked = asked.select("article", "k", "rev_id").distinct()
+        wanted = asked.select("article", "rev_id").distinct()
+        state = (token_state(wanted) if callable(token_state) else token_state.join(wanted, ["article", "rev_id"], "left_semi")).select("article", "rev_id", "token_id").distinct()
+        known = state.select("article", "rev_id").distinct().withColumn("known", F.lit(True))
+        hits = asked.join(state, ["article", "rev_id"]).join(spine, ["article", "k", "token_id"], "left_semi").groupBy("article", "k", "rev_id").agg(F.count(F.lit(1)).alias("hits"))
+        rows = asked.join(known, ["article", "rev_id"], "left").join(hits, ["article", "k", "rev_id"], "left").join(cohorts, ["article", "k"])
+        return rows.select("article", "k", "rev_id", F.when(F.col("known"), F.coalesce("hits", F.lit(0)) / F.col("cohort")).alias("share"))
+
+    at = lambda seq, name: revs.select("article", "k", F.col("seq").alias(seq), F.col("rev_id").alias(name))
+    able = sizes.join(cohorts, ["article", "k"]).where((F.col("n") >= 3) & (F.col("cohort") >= p.min_cohort))
+    able = able.select("article", "k", F.lit(0).alias("lo"), (F.col("n") - 1).cast("int").alias("hi")).join(at("lo", "lo_rev"), ["article", "k", "lo"]).join(at("hi", "hi_rev"), ["article", "k", "hi"]).checkpoint()
+    ends = shares(able.select("article", "k", F.explode(F.array("lo_rev", "hi_rev")).alias("rev_id"))).checkpoint()
+    end = lambda rev, name: ends.select("article", "k", F.col("rev_id").alias(rev), F.col("share").alias(name))
+    now = able.join(end("lo_rev", "lo_share"), ["article", "k", "lo_rev"]).join(end("hi_rev", "hi_share"), ["article", "k", "hi_rev"])
+    now = now.withColumns({"drop": F.col("lo_share") - F.col("hi_share"), "failed": F.col("lo_share").isNull() | F.col("hi_share").isNull(), "probed": F.lit(2)}).checkpoint()
+    longest = sizes.agg(F.max("n")).first()[0] or 0
+    for _ in range((longest - 1).bit_length() if longest >= 3 else 0):
+        going = ~F.col("failed") & (F.col("hi") - F.col("lo") > 1)
+        asked = now.where(going).withColumn("seq", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")).join(revs, ["article", "k", "seq"])
+        mids = asked.select("article", "k", "seq", "rev_id").join(shares(asked), ["article", "k", "rev_id"])
+        left = F.col("lo_share") - F.col("share") >= F.col("share") - F.col("hi_share")
+        known, keep = F.col("share").isNotNull(), lambda c, other, when: F.when(when, F.col(other)).otherwise(F.col(c)).alias(c)
+        rows = now.where(going).join(mids, ["article", "k"])
+        moved = rows.select(
+            "article", "k", *(keep(f"hi{s}", other, known & left) for s, other in (("", "seq"), ("_rev", "rev_id"), ("_share", "share"))),
+            *(keep(f"lo{s}", other, known & ~left) for s, other in (("", "seq"), ("_rev", "rev_id"), ("_share", "share"))), "drop", (~known).alias("failed"), (F.col("probed") + 1).alias("probed"),
+        )
+        now = now.where(~going).unionByName(moved).checkpoint()
+    found = sizes.join(now, ["article", "k"], "left")
+    fine = F.coalesce(~F.col("failed"), F.lit(False))
+    return found.select("article", "k", F.when(fine, F.col("lo_rev")).alias("before_rev"), F.when(fine, F.col("hi_rev")).alias("after_rev"), F.when(fine, F.col("drop")).alias("drop"), F.coalesce("probed", F.lit(0)).alias("probed"))
 
 
 def endpoint_refine(spine: DataFrame, member: DataFrame, windows: DataFrame) -> DataFrame:
