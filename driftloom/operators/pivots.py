@@ -19,7 +19,7 @@ def trajectory_selection(snapshots: DataFrame, endpoints: DataFrame, mode: str =
     if mode not in MODES:
         raise ValueError(f"unsupported mode: {mode}")
     if mode == "interval" and not (start and end):
-        raise ValueError("interval mode requires start and end dates")
+        raise ValueError("a trajectory of an interval needs its start and end")
     ends = endpoints.select("article", F.col("snap_rev").alias("end_rev"), F.col("snap_date").alias("end_date"))
     rows = ends.join(snapshots.select("article", "snap_date", "snap_rev").distinct(), "article", "left")
     upto = F.struct("snap_date", "snap_rev") <= F.struct("end_date", "end_rev")
@@ -27,8 +27,8 @@ def trajectory_selection(snapshots: DataFrame, endpoints: DataFrame, mode: str =
     item = F.when(within, F.struct("snap_date", "snap_rev"))
     facts = rows.groupBy("article").agg(F.max("end_rev").alias("end_rev"), F.bool_or(F.col("snap_rev") == F.col("end_rev")).alias("usable"), F.array_sort(F.collect_list(item)).alias("found"))
     reason = (
-        F.when(F.col("end_rev").isNull(), "no stable endpoint is available").when(~F.coalesce("usable", F.lit(False)), "stable endpoint is not an integrity-usable snapshot")
-        .when(F.size("found") < 2, f"{mode} mode requires at least two usable revisions")
+        F.when(F.col("end_rev").isNull(), "endpoint_unstable").when(~F.coalesce("usable", F.lit(False)), "endpoint_unusable")
+        .when(F.size("found") < 2, "too_few_revisions")
     )
     shown = facts.select("article", reason.alias("reason"), "found").withColumn("found", F.when(F.col("reason").isNull(), F.col("found")))
     return shown.select("article", "reason", F.explode_outer("found").alias("s")).select("article", "reason", "s.snap_date", "s.snap_rev")
@@ -65,14 +65,62 @@ def before_date(articles: DataFrame, episodes: DataFrame, fallback: str, months:
     return rows.select("article", F.coalesce(F.add_months("start", -months), F.lit(fallback).cast("date")).alias("before"), source.alias("source"))
 
 
-def materialized_pivots(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (article, before_rev, after_rev and others) with both texts; available tells whether there are both.
+PIVOT = ["article", "place", "start", "end", "peak_pct", "pwr_mass", "before_rev", "after_rev", "status", "metric", "decision", "rejection_reason", "durable_spine_drop", "duration_seconds"]
 
-    texts: article, rev_id (unique in an article), text.
+
+def exact_pairs(episodes: DataFrame) -> DataFrame:
+    """PIVOT of confirmed episodes: article, place (their order), before_revid, after_revid, before_ts, after_ts, durable_spine_drop, pwr_mass, duration_seconds."""
+    drop = F.bround(100 * F.coalesce("durable_spine_drop", F.lit(0.0)), 2)
+    return episodes.select(
+        "article", "place", F.to_date("before_ts").alias("start"), F.to_date("after_ts").alias("end"), drop.alias("peak_pct"), "pwr_mass", F.col("before_revid").alias("before_rev"), F.col("after_revid").alias("after_rev"),
+        F.lit("confirmed").alias("status"), F.lit("exact_durable_spine_drop").alias("metric"), F.lit(None).cast("string").alias("decision"), F.lit(None).cast("string").alias("rejection_reason"), "durable_spine_drop", "duration_seconds",
+    )
+
+
+def candidate_pairs(candidates: DataFrame) -> DataFrame:
+    """PIVOT of evaluated candidates: article, place, candidate_start, candidate_end, candidate_before_revid, candidate_after_revid, peak_pct, pwr_mass, decision (null: rejected), rejection_reason, durable_spine_drop."""
+    decision = F.coalesce("decision", F.lit("rejected"))
+    return candidates.select(
+        "article", "place", F.col("candidate_start").alias("start"), F.col("candidate_end").alias("end"), "peak_pct", "pwr_mass", F.col("candidate_before_revid").alias("before_rev"), F.col("candidate_after_revid").alias("after_rev"),
+        F.when(decision == "confirmed", "confirmed").otherwise("rejected").alias("status"), F.lit("persistence_weighted_loss").alias("metric"), decision.alias("decision"), "rejection_reason", "durable_spine_drop", F.lit(None).cast("long").alias("duration_seconds"),
+    )
+
+
+def pivot_pairs(confirmations: DataFrame, exact: DataFrame, candidates: DataFrame) -> DataFrame:
+    """PIVOT rows to be shown: an article's evaluated candidates if it has any, else the exact pairs of a confirmed one.
+
+    confirmations: article, status.
     """
-    of = lambda side: texts.select("article", F.col("rev_id").alias(f"{side}_rev"), F.col("text").alias(f"{side}_text"))
+    judged = candidates.select("article").distinct()
+    rest = exact.join(confirmations.where("status = 'confirmed'").select("article"), "article", "left_semi").join(judged, "article", "left_anti")
+    return candidates.select(*PIVOT).unionByName(rest.select(*PIVOT))
+
+
+def materialized_pivots(pairs: DataFrame, texts: DataFrame, authors: DataFrame | None = None) -> DataFrame:
+    """pairs (article, before_rev, after_rev and others) with both texts; available tells whether neither is missing or empty.
+
+    texts: article, rev_id (unique in an article), text. authors (article, rev_id, word, author): adds authors_before and
+    authors_after, maps from word to author that are empty where nothing is known. Only the revisions of pairs are read.
+    """
+    asked = pairs.select("article", F.explode(F.array("before_rev", "after_rev")).alias("rev_id")).distinct()
+    shown = texts.join(asked, ["article", "rev_id"], "left_semi")
+    of = lambda side: shown.select("article", F.col("rev_id").alias(f"{side}_rev"), F.col("text").alias(f"{side}_text"))
     rows = pairs.join(of("before"), ["article", "before_rev"], "left").join(of("after"), ["article", "after_rev"], "left")
-    return rows.withColumn("available", F.col("before_text").isNotNull() & F.col("after_text").isNotNull())
+    rows = rows.withColumn("available", (F.coalesce("before_text", F.lit("")) != "") & (F.coalesce("after_text", F.lit("")) != ""))
+    if authors is None:
+        return rows
+    known = authors.join(asked, ["article", "rev_id"], "left_semi").groupBy("article", "rev_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "author")))).alias("authors"))
+    for side in ("before", "after"):
+        rows = rows.join(known.select("article", F.col("rev_id").alias(f"{side}_rev"), F.col("authors").alias(f"authors_{side}")), ["article", f"{side}_rev"], "left")
+        rows = rows.withColumn(f"authors_{side}", F.coalesce(f"authors_{side}", F.create_map().cast("map<string,string>")))
+    return rows
+
+
+def unavailable_pairs(pivots: DataFrame) -> DataFrame:
+    """article, pairs (before→after, in order) of those whose texts aren't there. pivots: of materialized_pivots, with place."""
+    item = F.when(~F.col("available"), F.struct("place", F.concat_ws("→", "before_rev", "after_rev").alias("pair")))
+    found = pivots.groupBy("article").agg(F.array_sort(F.collect_list(item)).alias("found"))
+    return found.select("article", F.transform("found", lambda x: x["pair"]).alias("pairs"))
 
 
 def export_state(confirmations: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -83,12 +131,12 @@ def export_state(confirmations: DataFrame, pivots: DataFrame) -> DataFrame:
     rows = confirmations.join(facts, "article", "left").na.fill({"n": 0, "ready": 0})
     nothing = (F.col("n") == 0) & (F.col("status") != "confirmed")
     gates = [
-        (F.col("trust").isNull(), "unavailable", F.lit("legacy coarse pivot lacks compatible evidence receipt")),
-        (F.col("trust") != "published", "unavailable", F.concat(F.lit("artifact withheld: "), "trust")),
-        (~F.coalesce("is_fresh", F.lit(False)), "unavailable", F.lit("stale exact confirmation")),
+        (F.col("trust").isNull(), "unavailable", F.lit("receipt_missing")),
+        (F.col("trust") != "published", "unavailable", F.concat(F.lit("withheld: "), "trust")),
+        (~F.coalesce("is_fresh", F.lit(False)), "unavailable", F.lit("confirmation_stale")),
         (nothing, "none", F.coalesce("reason", "status")),
-        (F.col("ready") == 0, "unavailable", F.concat(F.lit("candidate pair could not be materialized: "), F.coalesce(F.nullif("missing", F.lit("")), F.lit("none recorded")))),
-        (F.lit(True), "finding", F.lit("candidate redlines available")),
+        (F.col("ready") == 0, "unavailable", F.concat(F.lit("pairs_unavailable: "), F.coalesce(F.nullif("missing", F.lit("")), F.lit("none")))),
+        (F.lit(True), "finding", F.lit("redlines_available")),
     ]
     first = F.coalesce(*(F.when(test, F.struct(F.lit(state).alias("state"), reason.alias("reason"))) for test, state, reason in gates))
     return rows.select("article", first.alias("x")).select("article", "x.state", "x.reason")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import attribution, corpus, drift, editions, pivots, snapshots
+from ..operators import attribution, claims, corpus, drift, editions, pivots, snapshots
 from .bindings import SMALL as P
 from .bindings import Views
 from .drift_queries import query
+from .history_queries import DRAFTS
 
 STATES = ["published", "legacy_incompatible", "unstable", "stale", "quarantined"]
 
@@ -94,7 +95,7 @@ l as (select article, max(snap_date) snap_date, arg_max(snap_rev, (snap_date, sn
 ends as (select l.article, case when e.status is null then l.snap_rev when e.status = 'stable' then selected_rev end er, case when e.status is null then l.snap_date when e.status = 'stable' then selected_date end ed from l left join endpoints e using (article)),
 modes as (select * from (values ('formative', date '0001-01-01', date '9999-01-01'), ('interval', date '1995-07-01', date '1997-02-01')) t(mode, d0, d1)),
 facts as (select mode, article, er, exists(select 1 from ok where ok.article = ends.article and ok.snap_rev = er) usable, (select count(*) from ok where ok.article = ends.article and (snap_date, snap_rev) <= (ed, er) and snap_date between d0 and d1) n, ed, d0, d1 from ends, modes),
-why as (select *, case when er is null then 'no stable endpoint is available' when not usable then 'stable endpoint is not an integrity-usable snapshot' when n < 2 then mode || ' mode requires at least two usable revisions' end reason from facts)"""
+why as (select *, case when er is null then 'endpoint_unstable' when not usable then 'endpoint_unusable' when n < 2 then 'too_few_revisions' end reason from facts)"""
 
 
 @query(_USABLE + """ select mode, w.article, reason, snap_date, snap_rev from why w left join ok on reason is null and ok.article = w.article and (snap_date, snap_rev) <= (ed, er) and snap_date between d0 and d1""")
@@ -141,7 +142,7 @@ def before_date(v: Views) -> DataFrame:
 
 
 def _materialized(v: Views) -> DataFrame:
-    """Episodes with texts from their orders' comments; the after revision's is the next order of any customer."""
+    """Episodes with texts of their customers' orders; the after revision's is that of the order itself, if it is done."""
     owner = F.concat(F.lit("c"), "o_custkey").alias("article")
     own = v.table("orders").select(owner, F.col("o_orderkey").alias("rev_id"), F.col("o_orderpriority").alias("text"))
     later = v.table("orders").where("o_orderstatus = 'F'").select(owner, (F.col("o_orderkey") + 1).alias("rev_id"), F.col("o_orderpriority").alias("text"))
@@ -153,15 +154,60 @@ _READY = """, rv as (select 'c' || o_custkey article, o_orderkey rev_id from ord
 pv as (select article, before_revid before_rev, after_revid after_rev, (article, after_revid) in (select (article, rev_id) from rv) available from lead_episodes)"""
 
 
-@query(_READY + " select * from pv")
+def _draft_pivots(v: Views) -> DataFrame:
+    """Documents as articles, their drafts as revisions: those of even number have evaluated candidates, the others exact pairs, and every third isn't confirmed.
+
+    The last pair of each names a draft that doesn't exist.
+    """
+    docs = v.table("documents").where("text is not null")
+    n, name = F.col("doc_id"), F.concat(F.lit("d"), F.col("doc_id")).alias("article")
+    rows = docs.select(name, n.alias("n"), F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 2, 3, 4)))).alias("place"))
+    drop, day = (F.col("n") % 10) / 8.0, F.date_add(F.lit("2010-01-01").cast("date"), F.col("place").cast("int"))
+    even = rows.where("n % 2 = 0").select("article", "place", day.alias("candidate_start"), F.date_add(day, 9).alias("candidate_end"), F.col("place").alias("candidate_before_revid"), (F.col("place") + 1).alias("candidate_after_revid"),
+        (F.col("n") % 100 * 1.0).alias("peak_pct"), F.col("n").alias("pwr_mass"), F.when(F.col("n") % 4 == 0, F.when(drop >= 0.5, "confirmed").otherwise("rejected")).alias("decision"), F.when(drop < 0.5, "small").alias("rejection_reason"), drop.alias("durable_spine_drop"))
+    odd = rows.where("n % 2 = 1").select("article", "place", F.col("place").alias("before_revid"), (F.col("place") + 1).alias("after_revid"), day.cast("timestamp").alias("before_ts"), F.date_add(day, 9).cast("timestamp").alias("after_ts"),
+        drop.alias("durable_spine_drop"), F.col("n").alias("pwr_mass"), F.col("place").alias("duration_seconds"))
+    status = docs.select(name, F.when(n % 3 == 0, "not_confirmed").otherwise("confirmed").alias("status"))
+    return pivots.pivot_pairs(status, pivots.exact_pairs(odd), pivots.candidate_pairs(even))
+
+
+def draft_authors(v: Views) -> DataFrame:
+    """Each draft's words, of authors by their place."""
+    rows = v.drafts.select("article", "rev_id", F.posexplode(F.split("text", " ")).alias("pos", "str"))
+    tokens = rows.withColumn("author", F.concat(F.lit("u"), F.pmod(F.floor(F.col("pos") / 7) + F.col("rev_id"), F.lit(5))))
+    return claims.word_authors(tokens, ("article", "rev_id"))
+
+
+_DRAFT_PIVOTS = f""", {DRAFTS}, dp as (select 'd' || doc_id article, doc_id n, unnest([1, 2, 3, 4])::bigint place from documents where text is not null),
+wt0 as (select article, rev_id, string_split(text, ' ') ws from drafts), wt1 as (select article, rev_id, unnest(ws) str, unnest(range(len(ws))) pos from wt0),
+wa as (select article, rev_id, word, arg_min(author, (-c, p)) author from (select article, rev_id, lower(str) word, 'u' || ((pos // 7 + rev_id) % 5) author, count(*) c, min(pos) p from wt1 where regexp_full_match(str, '\\p{{L}}{{3,}}') group by all) group by 1, 2, 3),
+maps as (select article, rev_id, sha256(string_agg(word || '=' || author, ',' order by word)) own from wa group by 1, 2),
+shown as (select article, n, place, place before_rev, place + 1 after_rev from dp where n % 2 = 0 or n % 3 <> 0)"""
+
+
+@query(_DRAFT_PIVOTS + """ select s.article, place, before_rev, after_rev, (date '2010-01-01' + place::int)::date "start", (date '2010-01-01' + place::int + 9)::date "end", case when n % 2 = 0 then n % 100 * 1.0 else round_even(100 * (n % 10 / 8.0::double), 2) end::double peak_pct, n pwr_mass,
+  case when n % 2 = 1 or n % 4 = 0 and n % 10 >= 4 then 'confirmed' else 'rejected' end status, case when n % 2 = 0 then 'persistence_weighted_loss' else 'exact_durable_spine_drop' end metric, case when n % 2 = 1 then null when n % 4 = 0 and n % 10 >= 4 then 'confirmed' else 'rejected' end decision,
+  case when n % 2 = 0 and n % 10 < 4 then 'small' end rejection_reason, n % 10 / 8.0::double durable_spine_drop, case when n % 2 = 1 then place end duration_seconds, coalesce(b.text, '') <> '' and coalesce(a.text, '') <> '' available, sha256(b.text) before_sha256, sha256(a.text) after_sha256,
+  coalesce(x.own, sha256('')) before_authors, coalesce(y.own, sha256('')) after_authors
+  from shown s left join drafts b on b.article = s.article and b.rev_id = before_rev left join drafts a on a.article = s.article and a.rev_id = after_rev
+  left join maps x on x.article = s.article and x.rev_id = before_rev left join maps y on y.article = s.article and y.rev_id = after_rev""")
 def materialized_pivots(v: Views) -> DataFrame:
-    return _materialized(v).select("article", "before_rev", "after_rev", "available")
+    """Pivots of drafts with digests of both texts and of who wrote their words."""
+    rows = pivots.materialized_pivots(_draft_pivots(v), v.drafts, draft_authors(v))
+    told = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","), 256)
+    return rows.select(*pivots.PIVOT, "available", F.sha2("before_text", 256).alias("before_sha256"), F.sha2("after_text", 256).alias("after_sha256"), told("authors_before").alias("before_authors"), told("authors_after").alias("after_authors"))
+
+
+@query(_DRAFT_PIVOTS + """ select s.article, list_filter(list(case when coalesce(b.text, '') = '' or coalesce(a.text, '') = '' then before_rev || '→' || after_rev end order by place), lambda x: x is not null) pairs
+  from shown s left join drafts b on b.article = s.article and b.rev_id = before_rev left join drafts a on a.article = s.article and a.rev_id = after_rev group by 1""")
+def unavailable_pairs(v: Views) -> DataFrame:
+    return pivots.unavailable_pairs(pivots.materialized_pivots(_draft_pivots(v), v.drafts))
 
 
 @query(_READY + """, fx as (select article, count(*) n, count(*) filter (where available) ready, string_agg(before_rev || '→' || after_rev, ', ' order by before_rev || '→' || after_rev) filter (where not available) missing from pv group by 1)
 select article, case when article[2:]::int % 13 = 0 or article[2:]::int % 17 = 0 or not is_fresh then 'unavailable' when n is null and status <> 'confirmed' then 'none' when coalesce(ready, 0) = 0 then 'unavailable' else 'finding' end state,
-  case when article[2:]::int % 13 = 0 then 'legacy coarse pivot lacks compatible evidence receipt' when article[2:]::int % 17 = 0 then 'artifact withheld: stale' when not is_fresh then 'stale exact confirmation' when n is null and status <> 'confirmed' then status
-  when coalesce(ready, 0) = 0 then 'candidate pair could not be materialized: ' || coalesce(missing, 'none recorded') else 'candidate redlines available' end reason from confirmations left join fx using (article)""")
+  case when article[2:]::int % 13 = 0 then 'receipt_missing' when article[2:]::int % 17 = 0 then 'withheld: stale' when not is_fresh then 'confirmation_stale' when n is null and status <> 'confirmed' then status
+  when coalesce(ready, 0) = 0 then 'pairs_unavailable: ' || coalesce(missing, 'none') else 'redlines_available' end reason from confirmations left join fx using (article)""")
 def export_state(v: Views) -> DataFrame:
     n = F.expr("cast(substring(article, 2) as int)")
     held = v.confirmations.withColumns({"trust": F.when(n % 13 == 0, None).when(n % 17 == 0, "stale").otherwise("published"), "reason": F.lit(None).cast("string")})

@@ -95,16 +95,16 @@ def claim_match(v: Views) -> DataFrame:
     return claims.claim_match(*_claims(v)).select(*claims.PAIR, "claim_id", "n")
 
 
-@query()
-def claim_match_fuzzy(v: Views) -> DataFrame:
-    """On pairs of neighbours whose sizes are alike; tests/test_claims.py holds it against a plain version."""
-    return claims.claim_match_fuzzy(*claims.unmatched(*_claims(v)), P)
-
-
 def _drafts(v: Views) -> tuple[DataFrame, DataFrame]:
     return claims.claim_units(v.drafts), claims.revision_pairs(v.drafts)
 
 
+@query()
+def claim_match_fuzzy(v: Views) -> DataFrame:
+    """On states of each document; tests/test_claims.py holds it against a plain version."""
+    return claims.claim_match_fuzzy(*_drafts(v), P)
+
+
 @query()
 def claim_transition(v: Views) -> DataFrame:
     """On states of each document; tests/test_claims.py holds it against a plain version."""
@@ -140,9 +140,12 @@ def word_authors(v: Views) -> DataFrame:
 
 @query()
 def redline(v: Views) -> DataFrame:
-    pairs = claims.revision_pairs(v.texts)
-    text = lambda side, name: v.texts.select("article", F.col("rev_id").alias(side), F.col("text").alias(name))
-    return claims.redline(pairs.join(text("before_rev", "before_text"), ["article", "before_rev"]).join(text("after_rev", "after_text"), ["article", "after_rev"]))
+    """Neighbouring drafts, with who wrote what went and what came; tests/test_pivots.py holds it against a plain version."""
+    from .pivot_queries import draft_authors
+
+    pairs = claims.revision_pairs(v.drafts)
+    text = lambda side: v.drafts.select("article", F.col("rev_id").alias(f"{side}_rev"), F.col("text").alias(f"{side}_text"))
+    return claims.redline(pairs.join(text("before"), ["article", "before_rev"]).join(text("after"), ["article", "after_rev"]), draft_authors(v))
 
 
 def _stances(v: Views) -> DataFrame:

@@ -1,8 +1,12 @@
 """Trajectories, pivots and export states on small cases; mscore against every revision between."""
 
 import random
+import re
+from collections import Counter
+from difflib import SequenceMatcher
 
-from driftloom.operators import pivots, prerank
+from driftloom.operators import claims, pivots, prerank
+from driftloom.operators import provenance as pv
 
 CONFIRMED = "article string, status string, reason string, is_fresh boolean, trust string"
 
@@ -16,9 +20,9 @@ def test_export_state(spark):
     texts = spark.createDataFrame([("a", 1, "x"), ("a", 2, ""), ("a", 3, "x"), ("c", 1, "x"), ("c", 2, None), ("h", 1, "x"), ("h", 2, "y")], "article string, rev_id long, text string")
     found = {r["article"]: (r["state"], r["reason"]) for r in pivots.export_state(held, pivots.materialized_pivots(pairs, texts)).collect()}
     assert found == {
-        "a": ("finding", "candidate redlines available"), "b": ("none", "too small"), "c": ("unavailable", "candidate pair could not be materialized: 1→2"),
-        "d": ("unavailable", "candidate pair could not be materialized: none recorded"), "e": ("unavailable", "stale exact confirmation"), "f": ("unavailable", "artifact withheld: stale"),
-        "g": ("unavailable", "legacy coarse pivot lacks compatible evidence receipt"), "h": ("finding", "candidate redlines available"),
+        "a": ("unavailable", "pairs_unavailable: 1→2, 3→4"), "b": ("none", "too small"), "c": ("unavailable", "pairs_unavailable: 1→2"),
+        "d": ("unavailable", "pairs_unavailable: none"), "e": ("unavailable", "confirmation_stale"), "f": ("unavailable", "withheld: stale"),
+        "g": ("unavailable", "receipt_missing"), "h": ("finding", "redlines_available"),
     }
 
 
@@ -26,10 +30,10 @@ def test_trajectory(spark):
     snaps = spark.sql("select * from values ('a', date '2020-01-01', 1L), ('a', date '2020-07-01', 2L), ('a', date '2021-01-01', 3L), ('a', date '2021-07-01', 4L), ('b', date '2020-01-01', 1L) t(article, snap_date, snap_rev)")
     ends = spark.sql("select * from values ('a', date '2021-01-01', 3L), ('b', date '2020-01-01', 1L), ('c', null, null), ('d', date '2020-01-01', 5L) t(article, snap_date, snap_rev)")
     rows = lambda *args: sorted((r["article"], r["reason"] or "", r["snap_rev"]) for r in pivots.trajectory_selection(snaps, ends, *args).collect())
-    none = [("c", "no stable endpoint is available", None), ("d", "stable endpoint is not an integrity-usable snapshot", None)]
-    assert rows() == [("a", "", 1), ("a", "", 2), ("a", "", 3), ("b", "formative mode requires at least two usable revisions", None), *none]
+    none = [("c", "endpoint_unstable", None), ("d", "endpoint_unusable", None)]
+    assert rows() == [("a", "", 1), ("a", "", 2), ("a", "", 3), ("b", "too_few_revisions", None), *none]
     assert rows("interval", "2020-06-01", "2022-01-01")[:2] == [("a", "", 2), ("a", "", 3)]
-    assert rows("interval", "2021-06-01", "2022-01-01")[0] == ("a", "interval mode requires at least two usable revisions", None)
+    assert rows("interval", "2021-06-01", "2022-01-01")[0] == ("a", "too_few_revisions", None)
 
 
 def test_editions_and_pivots(spark):
@@ -59,3 +63,59 @@ def test_mscore(spark):
         edits = {u: sum(x == u for x, _ in own) for u, _ in own}
         assert got[article] == (len(own), len(pairs), len({u for p in pairs for u in p}) * sum(min(edits[a], edits[b]) for a, b in pairs))
         assert pairs
+
+
+def plain_redline(before, after, wb, wa):
+    """Steps with the majority author of each piece's words, the first among equals."""
+    cut = lambda t: [x for x in re.split(r"(?<=[.!?])[ \t\n\f\r]+", (t or "").strip(" ")) if x]
+
+    def author(piece, words):
+        known = [words[w] for w in re.findall("[a-z]{3,}", piece.lower()) if w in words]
+        return Counter(known).most_common(1)[0][0] if known else None
+
+    a, b = cut(before), cut(after)
+    steps = [x for x in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if x[0] != "equal"]
+    pieces = [(tag, " ".join(a[i:j]), " ".join(b[x:y])) for tag, i, j, x, y in steps]
+    return [(k, tag, gone, come, author(gone, wb), author(come, wa)) for k, (tag, gone, come) in enumerate(pieces)]
+
+
+def test_redline(spark):
+    rng = random.Random(4)
+    words = "the old wall Über stone near garden x fox12 of was RAIN".split()
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 8))) + rng.choice(".!?")
+    rows, tokens, state = [], [], [sentence() for _ in range(9)]
+    for n in range(1, 9):
+        text = rng.choice([" ", "\n", "  "]).join(state) if n != 5 else None
+        rows.append(("a", n, text))
+        tokens += [("a", n, k, w, f"u{rng.randrange(3)}") for k, w in enumerate(re.findall(r"\w+", text or ""))]
+        for _ in range(3):
+            at = rng.randrange(len(state))
+            state[at : at + 1] = rng.choice([[], [sentence()], [state[at], sentence()]])
+    texts = spark.createDataFrame(rows, "article string, rev_id long, text string")
+    authors = claims.word_authors(spark.createDataFrame(tokens, "article string, rev_id long, pos int, str string, author string"), ("article", "rev_id")).cache()
+    known = {}
+    for r in authors.collect():
+        known.setdefault(r.rev_id, {})[r.word] = r.author
+    text = lambda side: texts.select("article", texts.rev_id.alias(f"{side}_rev"), texts.text.alias(f"{side}_text"))
+    pairs = claims.revision_pairs(texts).join(text("before"), ["article", "before_rev"]).join(text("after"), ["article", "after_rev"])
+    found = claims.redline(pairs, authors).orderBy("before_rev", "step").collect()
+    want = [(n, *x) for n in range(1, 8) for x in plain_redline(rows[n - 1][2], rows[n][2], known.get(n, {}), known.get(n + 1, {}))]
+    assert [(r.before_rev, r.step, r.tag, r.removed, r.added, r.removed_author, r.added_author) for r in found] == want
+    assert {r.tag for r in found} == {"replace", "insert", "delete"}
+    bare = claims.redline(pairs, equal=True)
+    assert bare.columns == [*claims.PAIR, "step", "tag", "removed", "added"] and bare.where("tag = 'equal' and removed = added").count() > 0
+    authors.unpersist()
+
+
+def test_authors_from_token_provenance(spark):
+    rows = [("a", 1, "Stone wall here. Rain.", "ann"), ("a", 2, "Stone wall here. Rain fell on stone.", "bob"), ("a", 3, "Rain! Fell on stone.", None)]
+    revisions = spark.createDataFrame(rows, "article string, rev_id long, text string, user string")
+    authors = claims.revision_word_authors(pv.states(pv.token_provenance(revisions)), revisions)
+    found = {(r.rev_id, r.word): r.author for r in authors.collect()}
+    assert (found[2, "stone"], found[2, "fell"], found[3, "fell"]) == ("ann", "bob", "bob")
+    pairs = spark.createDataFrame([("a", 1, 2, 1), ("a", 2, 9, 2)], "article string, before_rev long, after_rev long, place int")
+    shown = {r.place: r for r in pivots.materialized_pivots(pairs, revisions.select("article", "rev_id", "text"), authors).collect()}
+    assert shown[1].available and shown[1].after_text == rows[1][2] and shown[1].authors_after["fell"] == "bob" and shown[1].authors_before == {"stone": "ann", "wall": "ann", "here": "ann", "rain": "ann"}
+    assert not shown[2].available and shown[2].authors_after == {}
+    missing = pivots.unavailable_pairs(pivots.materialized_pivots(pairs, revisions.select("article", "rev_id", "text")))
+    assert [(r.article, r.pairs) for r in missing.collect()] == [("a", ["2→9"])]
