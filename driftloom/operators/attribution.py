@@ -67,7 +67,7 @@ def participation(standing: DataFrame, revs: DataFrame) -> DataFrame:
     rows = rows.withColumn("rank", F.row_number().over(rank))
     mine = lambda kind, c: F.when(F.col("kind") == kind, c)
     top = lambda kind, k: F.sum(mine(kind, F.when(F.col("rank") <= k, F.col("tokens"))))
-    share = lambda kind, k: F.round(top(kind, k) / F.sum(mine(kind, F.col("tokens"))), 6)
+    share = lambda kind, k: F.bround(top(kind, k) / F.sum(mine(kind, F.col("tokens"))), 6)
     name = lambda kind: F.max(mine(kind, F.when(F.col("rank") == 1, F.col("account"))))
     return rows.groupBy("article").agg(
         F.coalesce(F.sum(mine("removal", F.col("tokens"))), F.lit(0)).alias("removed_tokens"), F.coalesce(F.sum(mine("replacement", F.col("tokens"))), F.lit(0)).alias("replacement_tokens"),

@@ -100,7 +100,7 @@ def retest_class(results: DataFrame, episodes: DataFrame, revisions: DataFrame,
     top = episodes.groupBy("article").agg(F.max("pwr_mass").alias("top_mass"), F.max_by("candidate_start", F.struct("pwr_mass", -F.col("before_revid"))).alias("began"))
     born = revisions.groupBy("article").agg(F.min("ts").cast("date").alias("born"))
     rows = results.join(top, "article", "left").join(born, "article", "left")
-    age = F.when(F.col("status") == "confirmed", F.round(F.datediff("began", "born") / 365.25, 1))
+    age = F.when(F.col("status") == "confirmed", F.bround(F.datediff("began", "born") / 365.25, 1))
     rows = rows.withColumns({"top_mass": F.coalesce("top_mass", F.lit(0)), "age_at_pivot": age})
     label = (
         F.when(~F.col("status").eqNullSafe("confirmed"), F.coalesce("status", F.lit("unavailable"))).when(F.col("top_mass") < p.mass_floor, "confirmed-low-mass")
@@ -115,7 +115,7 @@ def concentration(judged: DataFrame, event_editors: DataFrame) -> DataFrame:
     rows = event_editors.withColumn("_n", F.row_number().over(place)).where("_n <= 2")
     top = lambda kind: F.max(F.when((F.col("kind") == kind) & (F.col("_n") == 1), F.struct("tokens", "editor")))
     tops = rows.groupBy(*EVENT).agg(top("removal").alias("_r"), top("replacement").alias("_p"), F.sum(F.when(F.col("kind") == "removal", F.col("tokens"))).alias("_two"))
-    share = lambda part, whole: F.when(F.col(whole) != 0, F.round(part / F.col(whole), 6))
+    share = lambda part, whole: F.when(F.col(whole) != 0, F.bround(part / F.col(whole), 6))
     return judged.where("reason is null").join(tops, EVENT, "left").select(
         *EVENT, "after_revid", "durable_spine_drop", "pwr_mass", "duration_seconds", "removed_tokens", "replacement_tokens",
         F.col("_r.editor").alias("top_removal_editor"), F.col("_p.editor").alias("top_replacement_editor"),

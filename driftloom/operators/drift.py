@@ -71,7 +71,7 @@ def age_years(day: Column, horizon: Column) -> Column:
 
 
 def recency(age: Column, p: Params = DEFAULT) -> Column:
-    return F.when(age <= p.recent_years, "recent").otherwise(F.concat(F.lit("standing "), F.format_string("%.0f", F.round(age, 0)), F.lit("yr")))
+    return F.when(age <= p.recent_years, "recent").otherwise(F.concat(F.lit("standing "), F.format_string("%.0f", F.bround(age, 0)), F.lit("yr")))
 
 
 def annotate_episodes(episodes: DataFrame, horizons: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -100,7 +100,7 @@ def verdict(rsnap: DataFrame, p: Params = DEFAULT, profile: DataFrame | None = N
     mean = F.coalesce("mean_loss", F.lit(0.0))
     label = F.when(F.col("snapshots") < 3, "SKIP").when(F.col("episodes") > 0, "PIVOT?").when(mean > p.creep_mean, "CREEP?").otherwise("HEALTHY")
     return rows.select(
-        "article", "horizon", "snapshots", label.alias("verdict"), F.round(mean, 2).alias("mean_loss"), F.round(F.coalesce("peak_loss", F.lit(0.0)), 2).alias("peak_loss"),
+        "article", "horizon", "snapshots", label.alias("verdict"), F.bround(mean, 2).alias("mean_loss"), F.bround(F.coalesce("peak_loss", F.lit(0.0)), 2).alias("peak_loss"),
         F.coalesce("episodes", F.lit(0)).alias("episodes"), F.coalesce("top_mass", F.lit(0)).alias("top_mass"), "top_recency",
     )
 
@@ -241,7 +241,7 @@ def candidate_evaluation(candidates: DataFrame, p: Params = DEFAULT) -> DataFram
     """candidates with drop (null: no evidence) get a decision and its reason."""
     decision = F.when(F.col("drop") >= p.confirm_drop, "confirmed").otherwise("rejected")
     reason = F.when(F.col("drop").isNull(), "insufficient_revision_evidence").when(F.col("drop") < p.confirm_drop, "durable_spine_drop_below_threshold")
-    return candidates.withColumns({"decision": decision, "rejection_reason": reason, "drop": F.round("drop", 6)})
+    return candidates.withColumns({"decision": decision, "rejection_reason": reason, "drop": F.bround("drop", 6)})
 
 
 def two_pass(primary: DataFrame, rolling: DataFrame) -> DataFrame:
@@ -273,8 +273,8 @@ def profile(rsnap: DataFrame, revisions: DataFrame, latest: DataFrame, p: Params
     editors = rows.groupBy("article", "editor").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(rank))
     editors = editors.groupBy("article").agg(F.count(F.lit(1)).alias("distinct_editors"), F.sum(F.when(F.col("rank") <= 10, F.col("n"))).alias("top"))
     return total.join(editors, "article").select(
-        "article", F.col("snap_date").alias("horizon"), "n_tokens", F.round(F.coalesce("median", F.lit(0.0)), 1).alias("median_age_yrs"),
-        F.round(F.lit(100.0) * F.col("recent") / F.col("n_tokens"), 1).alias("pct_recent"), F.round(F.lit(100.0) * F.col("top") / F.col("n_tokens"), 1).alias("top10_editor_share"), "distinct_editors",
+        "article", F.col("snap_date").alias("horizon"), "n_tokens", F.bround(F.coalesce("median", F.lit(0.0)), 1).alias("median_age_yrs"),
+        F.bround(F.lit(100.0) * F.col("recent") / F.col("n_tokens"), 1).alias("pct_recent"), F.bround(F.lit(100.0) * F.col("top") / F.col("n_tokens"), 1).alias("top10_editor_share"), "distinct_editors",
     )
 
 

@@ -20,14 +20,14 @@ DEAD_BAND = 0.25
 def static_divergence(stances: DataFrame) -> DataFrame:
     """Mean over entities of the spread between editions. stances: variant, entity, lang, value; nulls don't count."""
     spread = stances.where("value is not null").groupBy("variant", "entity").agg((F.max("value") - F.min("value")).alias("spread"), F.countDistinct("lang").alias("n")).where("n >= 2")
-    return spread.groupBy("variant").agg(F.round(F.avg("spread"), 2).alias("divergence"), F.count(F.lit(1)).alias("entities"))
+    return spread.groupBy("variant").agg(F.bround(F.avg("spread"), 2).alias("divergence"), F.count(F.lit(1)).alias("entities"))
 
 
 def en_gap(stances: DataFrame) -> DataFrame:
     """Mean over entities of the distance from the English edition to the mean of the others."""
     own, others = F.avg(F.when(F.col("lang") == "en", F.col("value"))), F.avg(F.when(F.col("lang") != "en", F.col("value")))
     rows = stances.where("value is not null").groupBy("variant", "entity").agg(F.abs(own - others).alias("gap")).where("gap is not null")
-    return rows.groupBy("variant").agg(F.round(F.avg("gap"), 2).alias("gap"))
+    return rows.groupBy("variant").agg(F.bround(F.avg("gap"), 2).alias("gap"))
 
 
 def read_gap(before: Column, after: Column) -> Column:
@@ -69,7 +69,7 @@ def citation_jaccard(sets: DataFrame) -> DataFrame:
     union = F.size(F.array_union("dx", "dy"))
     share = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("dx", "dy")) / union)
     rows = a.join(b, "article").where("x < y").withColumn("share", share)
-    return rows.groupBy("article").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("share"), 2).alias("jaccard"))
+    return rows.groupBy("article").agg(F.count(F.lit(1)).alias("pairs"), F.bround(F.avg("share"), 2).alias("jaccard"))
 
 
 def source_composition(texts: DataFrame, *key: str) -> DataFrame:
@@ -92,7 +92,7 @@ def domain_deltas(counts: DataFrame) -> DataFrame:
 def cite_mix(counts: DataFrame) -> DataFrame:
     """Shares of the named classes in percent. counts: article, name, n."""
     rows = counts.where(F.col("name").isin("journal", "book", "news", "web", "report", "press"))
-    return rows.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("article"))).cast("int")).select("article", "name", "percent")
+    return rows.withColumn("percent", F.bround(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("article"))).cast("int")).select("article", "name", "percent")
 
 
 def bound_comparison(divergences: DataFrame, most: int = 6, editions: int = 5) -> DataFrame:
@@ -104,12 +104,13 @@ def bound_comparison(divergences: DataFrame, most: int = 6, editions: int = 5) -
 
 
 def evenly_sampled(rows: DataFrame, order: str, most: int) -> DataFrame:
-    """At most `most` rows of each article at even distances, the last one among them."""
+    """Rows int(i * n / most) of each article's n, for i from 0 to most - 1, and the last one; all if they are no more than most."""
     place = Window.partitionBy("article").orderBy(order)
     rows = rows.withColumns({"_k": F.row_number().over(place) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("article"))})
-    step = F.col("_n") / F.lit(most)
-    slot = F.floor((F.col("_k") + 1) / step) > F.floor(F.col("_k") / step)
-    return rows.where((F.col("_n") <= most) | slot | (F.col("_k") == F.col("_n") - 1)).drop("_k", "_n")
+    step = F.col("_n") / F.lit(float(most))
+    near = F.ceil(F.col("_k") / step)  # the i of row k, but for rounding
+    hit = [(near + d >= 0) & (near + d < most) & (F.floor((near + d) * step) == F.col("_k")) for d in (-1, 0, 1)]
+    return rows.where((F.col("_n") <= most) | hit[0] | hit[1] | hit[2] | (F.col("_k") == F.col("_n") - 1)).drop("_k", "_n")
 
 
 _QUOTES = str.maketrans({"“": '"', "”": '"', "’": "'", "–": "-", "—": "-"})

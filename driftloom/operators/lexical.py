@@ -32,14 +32,14 @@ def js_divergence(pairs: DataFrame) -> DataFrame:
     half = lambda x: F.when(x > 0, 0.5 * x * F.ln(x / (0.5 * (p + q)))).otherwise(0.0)
     both = (F.col("tb") > 0) & (F.col("ta") > 0)
     total = F.sum(F.when(both, half(p) + half(q)).otherwise(0.0))
-    return pairs.groupBy("article").agg(F.round(total, 4).alias("js_divergence"), F.max("tb").alias("before_tokens"), F.max("ta").alias("after_tokens"))
+    return pairs.groupBy("article").agg(F.bround(total, 4).alias("js_divergence"), F.max("tb").alias("before_tokens"), F.max("ta").alias("after_tokens"))
 
 
 def log_odds(pairs: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """The terms that gained and lost most: article, direction, rank, term, before, after, delta, log_odds."""
     odds = lambda n, total: F.ln((F.col(n) + SMOOTHING) / (F.greatest(F.lit(0), F.col(total) - F.col(n)) + SMOOTHING))
     rows = pairs.where((F.col("tb") > 0) & (F.col("ta") > 0) & (F.col("a") + F.col("b") >= LEAST_TOTAL) & (F.col("a") != F.col("b")))
-    rows = rows.withColumns({"log_odds": F.round(odds("a", "ta") - odds("b", "tb"), 4), "delta": F.col("a") - F.col("b")}).where("log_odds <> 0")
+    rows = rows.withColumns({"log_odds": F.bround(odds("a", "ta") - odds("b", "tb"), 4), "delta": F.col("a") - F.col("b")}).where("log_odds <> 0")
     rows = rows.withColumn("direction", F.when(F.col("log_odds") > 0, "gained").otherwise("lost"))
     further = F.when(F.col("direction") == "gained", -F.col("delta")).otherwise(F.col("delta"))  # not its size: with unlike totals the signs can differ
     order = Window.partitionBy("article", "direction").orderBy(F.desc(F.abs("log_odds")), further, "term")
@@ -50,7 +50,7 @@ def log_odds(pairs: DataFrame, most: int = MOST_TERMS) -> DataFrame:
 def baseline_adequacy(totals: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Adds size_ratio, adequate and inadequacy. totals: before_tokens, after_tokens."""
     small, large = F.least("before_tokens", "after_tokens"), F.greatest("before_tokens", "after_tokens")
-    ratio = F.round(F.when(small > 0, large / small), 4)
+    ratio = F.bround(F.when(small > 0, large / small), 4)
     reason = F.when(small < p.lexical_tokens, "token_floor").when(ratio > p.lexical_ratio, "size_ratio")
     return totals.withColumns({"size_ratio": ratio, "inadequacy": reason}).withColumn("adequate", F.col("inadequacy").isNull())
 

@@ -79,7 +79,7 @@ def mscore(history: DataFrame, registered_only: bool = True, min_each: int = 2)
     sums = mutual.groupBy("article").agg(F.count(F.lit(1)).alias("mutual_pairs"), F.sum(F.least("ea", "eb")).alias("weight")).join(warriors, "article")
     total = rows.groupBy("article").agg(F.count(F.lit(1)).alias("revs"))
     m = F.coalesce(F.col("warriors") * F.col("weight"), F.lit(0)).alias("m")
-    return total.join(sums, "article", "left").select("article", "revs", F.coalesce("mutual_pairs", F.lit(0)).alias("mutual_pairs"), m).withColumn("m_per_rev", F.round(F.col("m") / F.col("revs"), 2))
+    return total.join(sums, "article", "left").select("article", "revs", F.coalesce("mutual_pairs", F.lit(0)).alias("mutual_pairs"), m).withColumn("m_per_rev", F.bround(F.col("m") / F.col("revs"), 2))
 
 
 def mscore_raw_vs_refined(history: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def mscore_raw_vs_refined(history: DataFrame) -> DataFrame:
     rows = history.groupBy("article").agg(F.count(F.lit(1)).alias("rows"))
     fine = mscore(history).select("article", F.col("m").alias("refined_m"))
     out = rows.join(raw, "article", "left").join(fine, "article", "left").na.fill(0, ["raw_revs", "raw_m", "refined_m"])
-    return out.withColumn("refined_per_row", F.round(F.col("refined_m") / F.col("rows"), 2)).withColumn("contested", F.col("refined_m") / F.col("rows") >= 5)
+    return out.withColumn("refined_per_row", F.bround(F.col("refined_m") / F.col("rows"), 2)).withColumn("contested", F.col("refined_m") / F.col("rows") >= 5)
 
 
 def recall_floor(leads: DataFrame) -> DataFrame:

@@ -139,11 +139,11 @@ def usage_summary(calls: DataFrame, prices: DataFrame, *key: str) -> DataFrame:
     """Calls, tokens and cost. calls: provider, model, input_tokens, output_tokens; prices: provider, model and two rates a
     million tokens. The cost is null unless every call has a price."""
     rows = calls.join(prices, ["provider", "model"], "left")
-    usd = F.round((F.col("input_tokens") * F.col("input_per_million") + F.col("output_tokens") * F.col("output_per_million")) / 1e6, 8)
+    usd = F.bround((F.col("input_tokens") * F.col("input_per_million") + F.col("output_tokens") * F.col("output_per_million")) / 1e6, 8)
     whole = F.count("usd") == F.count(F.lit(1))
     return rows.withColumn("usd", usd).groupBy(*key).agg(
         F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
-        F.when(whole, F.round(F.sum("usd"), 8)).alias("estimated_usd"), whole.alias("all_calls_priced"),
+        F.when(whole, F.bround(F.sum("usd"), 8)).alias("estimated_usd"), whole.alias("all_calls_priced"),
     )
 
 

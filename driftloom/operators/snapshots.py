@@ -122,8 +122,16 @@ def trust_report(states: DataFrame, known: list[str]) -> DataFrame:
 
 
 def fresh(confirmations: DataFrame, contract: dict, horizon: DataFrame, version: int) -> DataFrame:
-    """Confirmations with is_fresh: same version, thresholds (map as JSON) and horizon as now."""
-    now = F.to_json(F.create_map(*(F.lit(x) for k in sorted(contract) for x in (k, float(contract[k])))))
-    rows = confirmations.join(horizon.select("article", F.col("horizon").alias("_now")), "article", "left")
-    same = (F.col("schema_version") == version) & F.to_json("thresholds").eqNullSafe(now) & F.col("horizon").eqNullSafe(F.col("_now"))
-    return rows.withColumn("is_fresh", F.coalesce(same, F.lit(False))).drop("_now")
+    """Confirmations with is_fresh: made by this version, or by none without a run time, with these thresholds, for the present horizon.
+
+    confirmations: article, schema_version, run_ts, thresholds (map, in any order; null is empty), horizon_date, horizon_rev;
+    horizon: article, snap_date, snap_rev. An article without a present horizon has no fresh confirmation.
+    """
+    items = lambda m: F.array_sort(F.map_entries(m))
+    now = items(F.create_map(*(x for k, v in contract.items() for x in (F.lit(k), F.lit(float(v))))))
+    none = F.create_map().cast("map<string,double>")
+    held = items(F.coalesce(F.col("thresholds").cast("map<string,double>"), none))
+    known = F.coalesce(F.col("schema_version") == version, F.col("run_ts").isNull())
+    there = F.struct(F.col("_date").alias("d"), F.col("_rev").alias("r")).eqNullSafe(F.struct(F.col("horizon_date").alias("d"), F.col("horizon_rev").alias("r"))) & F.col("_rev").isNotNull()
+    rows = confirmations.join(horizon.select("article", F.col("snap_date").alias("_date"), F.col("snap_rev").alias("_rev")), "article", "left")
+    return rows.withColumn("is_fresh", known & (held == now) & there).drop("_date", "_rev")

@@ -25,11 +25,11 @@ def summarize_runs(runs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("run").alias("first"), F.count_if(F.coalesce("has_evidence", F.lit(False))).alias("evident"),
         F.sum("confidence").alias("sure"), F.count("confidence").alias("told"), F.collect_set("contract").alias("own"),
     )
-    share = lambda c: F.round(c / F.sum("n"), 4)
+    share = lambda c: F.bround(c / F.sum("n"), 4)
     return counts.groupBy(*KEY).agg(
         F.max_by("stance", F.struct("n", -F.col("first"))).alias("label"), share(F.max("n")).alias("agreement"), F.sum("n").alias("runs"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("stance", "n")))).alias("label_counts"), share(F.sum("evident")).alias("evidence_coverage"),
-        F.when(F.sum("told") > 0, F.round(F.sum("sure") / F.sum("told"), 4)).alias("mean_confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("contracts"),
+        F.when(F.sum("told") > 0, F.bround(F.sum("sure") / F.sum("told"), 4)).alias("mean_confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("contracts"),
     )
 
 
@@ -51,7 +51,7 @@ def audit_transitions(summaries: DataFrame, passages: DataFrame, agreement: floa
         F.when(~both | clash | ~whole, "insufficient_evidence").when(text & unstable, "both_changed").when(unstable | (label & ~text), "model_unstable").when(text, "text_changed").otherwise("no_change")
     )
     audited = F.coalesce(both & ~clash & text & label & ~unstable & whole, F.lit(False))
-    return rows.select("article", "before_id", "revision_id", "entity", F.round("text_similarity", 4).alias("text_similarity"), F.col("b.label").alias("before_label"), F.col("a.label").alias("after_label"), state.alias("state"), audited.alias("audited_shift"))
+    return rows.select("article", "before_id", "revision_id", "entity", F.bround("text_similarity", 4).alias("text_similarity"), F.col("b.label").alias("before_label"), F.col("a.label").alias("after_label"), state.alias("state"), audited.alias("audited_shift"))
 
 
 def near_changes(first: DataFrame) -> DataFrame:

@@ -72,14 +72,15 @@ class Views:
 
     @property
     def texts(self) -> DataFrame:
-        """Documents as revisions of their source; side is before or after."""
-        side = F.when(F.pmod(F.floor(F.col("doc_id") / 20), F.lit(2)) == 0, "before").otherwise("after")
+        """Documents as revisions of their source; side is before or after. Two sources have one document before."""
+        early = (F.pmod(F.floor(F.col("doc_id") / 20), F.lit(2)) == 0) & (~F.col("source").isin("src2", "src3") | (F.col("doc_id") < 20))
+        side = F.when(early, "before").otherwise("after")
         return self.table("documents").select(F.col("source").alias("article"), F.col("doc_id").alias("rev_id"), "lang", side.alias("side"), "text")
 
     @property
     def drafts(self) -> DataFrame:
         """Each document in four states: plain, with a heading and a source halfway, with words replaced, and shortened."""
-        docs = self.table("documents").where("text is not null")
+        docs = self.table("documents")
         half = F.floor(F.length("text") / 2).cast("int")
         cut = F.concat(F.substring("text", F.lit(1), half), F.lit(". Added <ref>[http://www.example.org/a x]</ref> here. More.\n== Later ==\n"), F.substring("text", half + 1, F.length("text")))
         other = F.replace(F.replace(cut, F.lit("e "), F.lit("ee ")), F.lit("example.org"), F.lit("example.net"))
@@ -139,7 +140,7 @@ lead_episodes as (select 'c' || o_custkey article, o_orderkey before_revid, o_or
   case when o_orderkey % 13 <> 0 then coalesce(r, 0) + (o_orderkey % 17 = 0)::int end::bigint removed_tokens, (coalesce(p, 0) + (o_orderkey % 19 = 0)::int)::bigint replacement_tokens, case when o_orderkey % 26 = 0 then 'revision_states_missing' end unavailable from orders left join event_sums on before_revid = o_orderkey),
 usable as (select e.*, case when removed_tokens is null then coalesce(unavailable, 'attribution_missing') when removed_tokens <> coalesce(r, 0) then 'removal_attribution_mismatch' end reason, case when removed_tokens is not null and removed_tokens = coalesce(r, 0) and replacement_tokens <> coalesce(p, 0) then 'replacement_attribution_mismatch' end reason2
   from lead_episodes e join confirmations c on c.article = e.article and status = 'confirmed' and is_fresh left join event_sums s using (before_revid)),
-texts as (select source article, doc_id rev_id, lang, case when (doc_id // 20) % 2 = 0 then 'before' else 'after' end side, text from documents),
+texts as (select source article, doc_id rev_id, lang, case when (doc_id // 20) % 2 = 0 and (source not in ('src2', 'src3') or doc_id < 20) then 'before' else 'after' end side, text from documents),
 snaps as (select *, row_number() over (partition by article order by snap_date, snap_rev) - 1 k from (select distinct article, snap_date, snap_rev from rsnap)),
 mem0 as (select distinct s.article, s.k, r.token_id from rsnap r join snaps s using (article, snap_date, snap_rev)),
 member as (select *, row_number() over t w, lag(k) over t prev_k, lead(k) over t next_k from mem0 window t as (partition by article, token_id order by k))

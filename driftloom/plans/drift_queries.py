@@ -115,10 +115,12 @@ def revert_relationships(v: Views) -> DataFrame:
     return at.revert_relationships(_metadata(v))
 
 
-@query("""select x account, y account_type from (values ('hidden','hidden'), ('10.0.0.1','anonymous_ip'), ('2001:db8::1','anonymous_ip'), ('HelperBot','bot'), ('Ann','registered'), ('300.1.1.1','registered')) t(x, y)""")
+@query(r"""select distinct account, case when account = 'hidden' then 'hidden' when regexp_full_match(account, '10\.0\.0\.[0-9]+') then 'anonymous_ip' when lower(account) like '%bot' then 'bot' else 'registered' end account_type
+  from (select case when editor = '<hidden>' then 'hidden' else editor end account from event_editors)""")
 def account_types(v: Views) -> DataFrame:
-    rows = v.spark.createDataFrame([(x,) for x in ("hidden", "10.0.0.1", "2001:db8::1", "HelperBot", "Ann", "300.1.1.1")], "account string")
-    return rows.withColumn("account_type", corpus.account_type(F.col("account")))
+    """Accounts of all event editors."""
+    accounts = v.event_editors.select(F.when(F.col("editor") == "<hidden>", "hidden").otherwise(F.col("editor")).alias("account")).distinct()
+    return accounts.withColumn("account_type", corpus.account_type(F.col("account")))
 
 
 def _targets(v: Views) -> DataFrame:
@@ -261,7 +263,7 @@ e1 as (select *, sum(case when high and coalesce(last_high, false) and last_end
 episodes as (select article, min(start_date) start_date, arg_min(start_rev, start_date) start_rev, max(end_date) end_date, arg_max(end_rev, end_date) end_rev, sum(pwr_removed)::bigint pwr_mass, max(loss_pct) peak_pct from e1 where high group by article, island),
 hz as (select article, max(snap_date) horizon, count(*) snapshots from snaps group by 1),
 ranked0 as (select e.*, greatest(0, date_diff('day', end_date, horizon)/365.25) age_years from episodes e join hz using (article) where peak_pct >= {P.mag_floor} and snapshots >= 3),
-ranked as (select *, case when age_years <= {P.recent_years} then 'recent' else 'standing ' || round(age_years)::int || 'yr' end recency, row_number() over (partition by article order by pwr_mass desc, start_date, start_rev) "rank" from ranked0)"""
+ranked as (select *, case when age_years <= {P.recent_years} then 'recent' else 'standing ' || round_even(age_years, 0)::int || 'yr' end recency, row_number() over (partition by article order by pwr_mass desc, start_date, start_rev) "rank" from ranked0)"""
 
 
 @query(_EPISODES + " select * from episodes")
@@ -275,7 +277,7 @@ def ranked_episodes(v: Views) -> DataFrame:
 
 
 @query(_EPISODES + f""", st as (select article, avg(loss_pct) m, max(loss_pct) p from iv where confirmable group by 1), t as (select article, count(*) episodes, max(pwr_mass) top_mass, arg_min(recency, "rank") top_recency from ranked group by 1)
-select article, horizon, snapshots, case when snapshots < 3 then 'SKIP' when episodes > 0 then 'PIVOT?' when coalesce(m, 0) > {P.creep_mean} then 'CREEP?' else 'HEALTHY' end verdict, round(coalesce(m, 0), 2) mean_loss, round(coalesce(p, 0), 2) peak_loss,
+select article, horizon, snapshots, case when snapshots < 3 then 'SKIP' when episodes > 0 then 'PIVOT?' when coalesce(m, 0) > {P.creep_mean} then 'CREEP?' else 'HEALTHY' end verdict, round_even(coalesce(m, 0), 2) mean_loss, round_even(coalesce(p, 0), 2) peak_loss,
   coalesce(episodes, 0) episodes, coalesce(top_mass, 0) top_mass, top_recency from hz left join st using (article) left join t using (article)""")
 def verdict(v: Views) -> DataFrame:
     return drift.verdict(v.rsnap, P)
@@ -316,7 +318,7 @@ def durable_spine(v: Views) -> DataFrame:
 
 @query(_SPINE + f""", d as (select s.article, s.k, e.k end_k, count(*) cohort, 1 - count(m.token_id)/count(*) "drop" from spine s join ranked r on r.article = s.article join snaps a on a.article = r.article and a.snap_rev = r.start_rev and a.k = s.k join snaps e on e.article = r.article and e.snap_rev = r.end_rev
   left join member m on m.article = s.article and m.k = e.k and m.token_id = s.token_id group by 1, 2, 3)
-select article, k, end_k, cohort, round("drop", 6) "drop", case when "drop" >= {P.confirm_drop} then 'confirmed' else 'rejected' end decision, case when "drop" is null then 'insufficient_revision_evidence' when "drop" < {P.confirm_drop} then 'durable_spine_drop_below_threshold' end rejection_reason from d""")
+select article, k, end_k, cohort, round_even("drop", 6) "drop", case when "drop" >= {P.confirm_drop} then 'confirmed' else 'rejected' end decision, case when "drop" is null then 'insufficient_revision_evidence' when "drop" < {P.confirm_drop} then 'durable_spine_drop_below_threshold' end rejection_reason from d""")
 def candidate_evaluation(v: Views) -> DataFrame:
     member, windows = membership(v.rsnap), _spine_windows(v)
     found = drift.endpoint_refine(drift.durable_spine(member, windows.select("article", "k"), P), member, windows)
@@ -364,7 +366,7 @@ def removal_attribution(v: Views) -> DataFrame:
 @query(""", l as (select r.* from rsnap r join (select article, max(snap_date) snap_date from snaps group by 1) using (article, snap_date)), o as (select o_orderkey, o_orderdate ts, 'u' || (o_custkey % 37) u from orders where o_orderkey % 9 <> 0),
 j as (select article, snap_date, date_diff('day', ts::date, snap_date)/365.25 age, coalesce(u, '?') u from l left join o on o_orderkey = o_rev_id), t as (select article, snap_date horizon, count(*) n_tokens, median(age) m, count(*) filter (where age <= 3) recent from j group by 1, 2),
 e as (select article, count(*) distinct_editors, sum(n) filter (where r <= 10) top from (select article, u, count(*) n, row_number() over (partition by article order by count(*) desc, u) r from j group by 1, 2) group by 1)
-select article, horizon, n_tokens, round(coalesce(m, 0), 1) median_age_yrs, round(100.0*recent/n_tokens, 1) pct_recent, round(100.0*top/n_tokens, 1) top10_editor_share, distinct_editors from t join e using (article)""")
+select article, horizon, n_tokens, round_even(coalesce(m, 0), 1) median_age_yrs, round_even(100.0*recent/n_tokens, 1) pct_recent, round_even(100.0*top/n_tokens, 1) top10_editor_share, distinct_editors from t join e using (article)""")
 def profile(v: Views) -> DataFrame:
     o = v.table("orders").where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("rev_id"), F.col("o_orderdate").alias("ts"), F.concat(F.lit("u"), F.pmod("o_custkey", F.lit(37))).alias("user"))
     named = v.rsnap.select("article", F.col("o_rev_id").alias("rev_id")).distinct().join(o, "rev_id")
@@ -418,8 +420,8 @@ def revision_role(v: Views) -> DataFrame:
 
 @query(_LEDGER + """, pa as (select kind, article, account, sum(tokens) n from standing join revs using (article, seq) group by 1, 2, 3), pr as (select *, row_number() over (partition by article, kind order by n desc, account) r from pa)
 select article, coalesce(sum(n) filter (where kind = 'removal'), 0)::bigint removed_tokens, coalesce(sum(n) filter (where kind = 'replacement'), 0)::bigint replacement_tokens,
-  round(sum(n) filter (where kind = 'removal' and r <= 1)/sum(n) filter (where kind = 'removal'), 6) top_removal_share, round(sum(n) filter (where kind = 'replacement' and r <= 1)/sum(n) filter (where kind = 'replacement'), 6) top_replacement_share,
-  round(sum(n) filter (where kind = 'removal' and r <= 2)/sum(n) filter (where kind = 'removal'), 6) top_two_removal_share,
+  round_even(sum(n) filter (where kind = 'removal' and r <= 1)/sum(n) filter (where kind = 'removal'), 6) top_removal_share, round_even(sum(n) filter (where kind = 'replacement' and r <= 1)/sum(n) filter (where kind = 'replacement'), 6) top_replacement_share,
+  round_even(sum(n) filter (where kind = 'removal' and r <= 2)/sum(n) filter (where kind = 'removal'), 6) top_two_removal_share,
   coalesce(max(account) filter (where kind = 'removal' and r = 1) = max(account) filter (where kind = 'replacement' and r = 1), false) same_top_editor from pr group by 1""")
 def participation(v: Views) -> DataFrame:
     revs, states, last, ops = _event(v)
@@ -481,12 +483,12 @@ def _m_sql(least: int, name: str) -> str:
 {name} as (select tot.article, revs, coalesce(mutual_pairs, 0) mutual_pairs, coalesce(ws*w, 0)::bigint m from tot left join (select article, count(*) mutual_pairs, sum(w) w from {name}_mu group by 1) using (article) left join (select article, count(distinct u) ws from (select article, unnest([a, b]) u from {name}_mu) group by 1) using (article))"""
 
 
-@query(_MSCORE + ", " + _m_sql(2, "f2") + " select *, round(m/revs, 2) m_per_rev from f2")
+@query(_MSCORE + ", " + _m_sql(2, "f2") + " select *, round_even(m/revs, 2) m_per_rev from f2")
 def mscore(v: Views) -> DataFrame:
     return prerank.mscore(v.history)
 
 
-@query(_MSCORE + ", " + _m_sql(1, "f1") + ", " + _m_sql(2, "f2") + """ select article, f1.revs "rows", f1.revs raw_revs, f1.m raw_m, f2.m refined_m, round(f2.m/f1.revs, 2) refined_per_row, f2.m/f1.revs >= 5 contested from f1 join f2 using (article)""")
+@query(_MSCORE + ", " + _m_sql(1, "f1") + ", " + _m_sql(2, "f2") + """ select article, f1.revs "rows", f1.revs raw_revs, f1.m raw_m, f2.m refined_m, round_even(f2.m/f1.revs, 2) refined_per_row, f2.m/f1.revs >= 5 contested from f1 join f2 using (article)""")
 def mscore_raw_vs_refined(v: Views) -> DataFrame:
     return prerank.mscore_raw_vs_refined(v.history)
 

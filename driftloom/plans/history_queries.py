@@ -11,7 +11,7 @@ from .drift_queries import QUERIES, SQL, query
 
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|\[\[|\]\]|\{\{|\}\}|[^\p{L}\p{N}_\s]')"
 _HALF = "(length(text) // 2)::int"
-DRAFTS = f"""dr0 as (select 'd' || doc_id article, text, substr(text, 1, {_HALF}) || '. Added <ref>[http://www.example.org/a x]</ref> here. More.' || chr(10) || '== Later ==' || chr(10) || substr(text, {_HALF} + 1) cut from documents where text is not null),
+DRAFTS = f"""dr0 as (select 'd' || doc_id article, text, substr(text, 1, {_HALF}) || '. Added <ref>[http://www.example.org/a x]</ref> here. More.' || chr(10) || '== Later ==' || chr(10) || substr(text, {_HALF} + 1) cut from documents),
 dr1 as (select *, replace(replace(cut, 'e ', 'ee '), 'example.org', 'example.net') other from dr0),
 drafts as (select article, rev_id, text from (select article, 1::bigint rev_id, text from dr1 union all select article, 2, cut from dr1 union all select article, 3, other from dr1 union all select article, 4, substr(other, 1, {_HALF}) from dr1))"""
 

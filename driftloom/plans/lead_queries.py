@@ -67,7 +67,7 @@ _ORDERS_AS_LOG = "(select 'c' || c_custkey article, date '1993-01-01' + (c_custk
 
 
 @query(f""", top as (select article, max(pwr_mass) top_mass, arg_max(candidate_start, (pwr_mass, -before_revid)) began from lead_episodes group by 1),
-r as (select article, status, coalesce(top_mass, 0) top_mass, case when status = 'confirmed' then round((began - born) / 365.25::double, 1) end age_at_pivot from confirmations left join top using (article) left join {_ORDERS_AS_LOG} using (article))
+r as (select article, status, coalesce(top_mass, 0) top_mass, case when status = 'confirmed' then round_even((began - born) / 365.25::double, 1) end age_at_pivot from confirmations left join top using (article) left join {_ORDERS_AS_LOG} using (article))
 select article, top_mass, age_at_pivot, case when status <> 'confirmed' then status when top_mass < 150000 then 'confirmed-low-mass' when age_at_pivot is null then 'confirmed-age-unknown' when age_at_pivot < 2 then 'confirmed-born-in-contested' else 'confirmed-retrofit-lead' end lead_class from r""")
 def retest_class(v: Views) -> DataFrame:
     from dataclasses import replace
@@ -79,8 +79,8 @@ def retest_class(v: Views) -> DataFrame:
 
 _SHARES = """, tops as (select before_revid, max(case when kind = 'removal' then (tokens, n) end) x, arg_max(editor, n) filter (where kind = 'removal') re, max(tokens) filter (where kind = 'removal') rt, arg_max(editor, n) filter (where kind = 'replacement') pe, max(tokens) filter (where kind = 'replacement') pt, sum(tokens) filter (where kind = 'removal') two
   from (select *, -row_number() over (partition by before_revid, kind order by tokens desc, editor) n from event_editors qualify n >= -2) group by 1),
-conc as (select u.article, u.before_revid, after_revid, durable_spine_drop, pwr_mass, duration_seconds, removed_tokens, replacement_tokens, re top_removal_editor, pe top_replacement_editor, case when removed_tokens <> 0 then round(rt / removed_tokens, 6) end top_removal_share,
-  case when replacement_tokens <> 0 then round(pt / replacement_tokens, 6) end top_replacement_share, coalesce(re = pe, false) same_top_editor, case when removed_tokens <> 0 then round(two / removed_tokens, 6) end top_two_removal_share from usable u left join tops using (before_revid) where reason is null and reason2 is null)"""
+conc as (select u.article, u.before_revid, after_revid, durable_spine_drop, pwr_mass, duration_seconds, removed_tokens, replacement_tokens, re top_removal_editor, pe top_replacement_editor, case when removed_tokens <> 0 then round_even(rt / removed_tokens, 6) end top_removal_share,
+  case when replacement_tokens <> 0 then round_even(pt / replacement_tokens, 6) end top_replacement_share, coalesce(re = pe, false) same_top_editor, case when removed_tokens <> 0 then round_even(two / removed_tokens, 6) end top_two_removal_share from usable u left join tops using (before_revid) where reason is null and reason2 is null)"""
 _SHARES = _SHARES.replace("max(case when kind = 'removal' then (tokens, n) end) x, ", "")
 
 
@@ -119,15 +119,17 @@ src as (select article, case when st = 'current_complete' and checked = 'soon' t
   case when st in ('partial', 'unavailable') then why when st = 'current_complete' and checked = 'soon' then 'source check timestamp is invalid' when st = 'current_complete' and checked <> '' and timestamp '2026-01-03' - try_cast(checked as timestamp) > interval 7 days then 'source check expired after 7 days' end source_reason from src0)"""
 
 
-def _sources(v: Views) -> DataFrame:
+def _sources(v: Views, every: bool = False) -> DataFrame:
+    """Source states of most customers; every: those of all, unchecked where nothing is known."""
     rows = v.table("customer").where("c_custkey % 9 <> 0").withColumn("k7", F.floor(F.col("c_custkey") / 7))
     rows = rows.select(_article().alias("article"), _pick("c_custkey", *_STATUS).alias("source_status"), _pick("k7", *_CHECKED).alias("source_checked_at"), F.concat(F.lit("r"), "c_custkey").alias("reason"))
+    rows = v.table("customer").select(_article().alias("article")).join(rows, "article", "left") if every else rows
     return resolution.source_status(rows, F.lit("2026-01-03").cast("timestamp"))
 
 
-@query(_STATES + " select * from src")
+@query(_STATES + " select article, coalesce(source_status, 'unchecked') source_status, source_reason from (select 'c' || c_custkey article from customer) left join src using (article)")
 def source_status(v: Views) -> DataFrame:
-    return _sources(v)
+    return _sources(v, every=True)
 
 
 _VERDICTS = ("PIVOT?", "CREEP?", "HEALTHY", "SKIP", "PIVOT?", None)
@@ -238,8 +240,8 @@ def canonicalize_topics(v: Views) -> DataFrame:
 
 
 @query(""", c as (select event_type stage, 'p' || (user_id % 3) provider, 'm' || (user_id % 2) model, event_id i, event_id % 77 o from events), p as (select distinct provider, model, length(provider) * 0.5::double a, 1.5::double b from c where not (provider = 'p2' and model = 'm1')),
-u as (select c.*, round((i * a + o * b) / 1e6, 8) usd from c left join p using (provider, model))
-select stage, provider, count(*) calls, sum(i)::bigint input_tokens, sum(o)::bigint output_tokens, case when count(usd) = count(*) then round(sum(usd), 8) end estimated_usd, count(usd) = count(*) all_calls_priced from u group by 1, 2""")
+u as (select c.*, round_even((i * a + o * b) / 1e6, 8) usd from c left join p using (provider, model))
+select stage, provider, count(*) calls, sum(i)::bigint input_tokens, sum(o)::bigint output_tokens, case when count(usd) = count(*) then round_even(sum(usd), 8) end estimated_usd, count(usd) = count(*) all_calls_priced from u group by 1, 2""")
 def usage_summary(v: Views) -> DataFrame:
     name = lambda c, n: F.concat(F.lit(c), F.col("user_id") % n)
     calls = v.table("events").select(F.col("event_type").alias("stage"), name("p", 3).alias("provider"), name("m", 2).alias("model"), F.col("event_id").alias("input_tokens"), (F.col("event_id") % 77).alias("output_tokens"))
@@ -317,7 +319,7 @@ def findings_index(v: Views) -> DataFrame:
     return publication.findings_index(rows, "1", "BUILDING", "lex", 2)
 
 
-@query(""", iv as (select article, candidate_start "start", candidate_start + 90 "end", before_revid n from lead_episodes where before_revid % 2 = 0), wi as (select article, 0 kind, before_revid pos, candidate_start s, candidate_end e, case before_revid % 3 when 0 then 'confirmed' when 1 then 'rejected' end decision from lead_episodes where before_revid % 3 <> 0 or before_revid % 2 = 0
+@query(""", iv as (select article, candidate_start "start", candidate_start + 90 "end", before_revid n from lead_episodes), wi as (select article, 0 kind, before_revid pos, candidate_start s, candidate_end e, case before_revid % 3 when 0 then 'confirmed' when 1 then 'rejected' end decision from lead_episodes where before_revid % 3 <> 0 or before_revid % 2 = 0
   union all select article, 1, before_revid, candidate_start, candidate_end, 'confirmed' from lead_episodes where before_revid % 5 = 0),
 iv2 as (select article, "start", "end", min(n) n from iv group by 1, 2, 3),
 j as (select i.article, i."start", i."end", arg_min((s, e, decision), (kind, pos)) w from iv2 i join wi on wi.article = i.article and s <= i."start" and i."end" <= e group by 1, 2, 3)
@@ -326,7 +328,7 @@ from iv2 i left join j on j.article = i.article and j."start" = i."start" and j.
 def interval_state(v: Views) -> DataFrame:
     n = F.col("before_revid")
     e = v.episodes.withColumn("position", n)
-    iv = e.where(n % 2 == 0).groupBy("article", F.col("candidate_start").alias("start"), F.date_add("candidate_start", 90).alias("end")).agg(F.min(n).alias("n"))
+    iv = e.groupBy("article", F.col("candidate_start").alias("start"), F.date_add("candidate_start", 90).alias("end")).agg(F.min(n).alias("n"))
     iv = iv.select("article", "start", "end", (F.col("n") % 8 != 0).alias("eligible"), (F.col("n") % 4 == 0).alias("confirmable"), (F.col("n") % 6 == 0).alias("anomalous"))
     c = e.where((n % 3 != 0) | (n % 2 == 0)).withColumn("decision", F.when(n % 3 == 0, "confirmed").when(n % 3 == 1, "rejected"))
     return publication.interval_state(iv, c, e.where(n % 5 == 0))
@@ -399,8 +401,8 @@ def _runs(v: Views) -> DataFrame:
 
 _RUNS = f""", ru as (select 'h' || (event_id // 200) article, event_id // 8 revision_id, 'e' || (event_id % 2) entity, event_id // 2 % 4 run, coalesce({_pick_sql('user_id', *_STANCE)}, 'absent') stance, case when event_id % 3 <> 0 then (event_id % 10) / 10.0::double end confidence, event_id % 5 <> 0 ev, case when event_id % 400 <> 7 then 'v1' else 'v2' end contract from events),
 rc as (select article, revision_id, entity, stance, count(*) n, min(run) f from ru group by all),
-ra as (select article, revision_id, entity, count(*) runs, round(count(*) filter (where ev) / count(*), 4) evidence_coverage, round(avg(confidence), 4) mean_confidence, array_to_string(list_sort(list(distinct contract)), ',') contracts from ru group by 1, 2, 3),
-su as (select ra.*, label, round(m / runs, 4) agreement, label_counts from ra join (select article, revision_id, entity, arg_max(stance, (n, -f)) label, max(n) m, string_agg(stance || '=' || n, ',' order by stance) label_counts from rc group by 1, 2, 3) using (article, revision_id, entity))"""
+ra as (select article, revision_id, entity, count(*) runs, round_even(count(*) filter (where ev) / count(*), 4) evidence_coverage, round_even(avg(confidence), 4) mean_confidence, array_to_string(list_sort(list(distinct contract)), ',') contracts from ru group by 1, 2, 3),
+su as (select ra.*, label, round_even(m / runs, 4) agreement, label_counts from ra join (select article, revision_id, entity, arg_max(stance, (n, -f)) label, max(n) m, string_agg(stance || '=' || n, ',' order by stance) label_counts from rc group by 1, 2, 3) using (article, revision_id, entity))"""
 
 
 @query(_RUNS + " select * from su")

@@ -44,17 +44,20 @@ def trust_report(v: Views) -> DataFrame:
     return snapshots.trust_report(_trust(v), [*STATES, "withheld"])
 
 
-@query(""", l as (select article, max(snap_rev) selected from rsnap group by 1)
-select o_orderkey before_revid, article, (o_orderkey % 3 > 0 and o_orderkey % 4 > 0 and o_orderkey % 15 is not distinct from selected) is_fresh from (select *, 'a' || (o_custkey % 20) article from orders) left join l using (article)""")
+@query(f""", l as (select article, max(snap_date) d, arg_max(snap_rev, (snap_date, snap_rev)) r from rsnap group by 1),
+c as (select *, 'a' || (o_custkey % 20) article, case o_orderkey % 6 when 0 then 1 when 1 then null else 2 end version, o_orderkey % 8 = 1 ran, o_orderkey % 4 > 0 same, o_orderkey // 7 % 15 hr, o_orderkey % 10 <> 3 dated from orders)
+select o_orderkey before_revid, c.article, coalesce(version = 2, not ran) and same and r is not null and hr = r and dated is_fresh from c left join l using (article)""")
 def fresh(v: Views) -> DataFrame:
-    """Orders as confirmations of different versions, thresholds and horizons."""
-    n, contract = F.col("o_orderkey"), {"confirm_drop": P.confirm_drop, "mag_floor": P.mag_floor}
-    drop = F.when(n % 4 > 0, P.confirm_drop).otherwise(0.5)
+    """Orders as confirmations of different versions, thresholds (in both orders) and horizons."""
+    n, contract = F.col("o_orderkey"), {"mag_floor": P.mag_floor, "confirm_drop": P.confirm_drop}
+    drop, floor = (F.lit("confirm_drop"), F.when(n % 4 > 0, P.confirm_drop).otherwise(0.5)), (F.lit("mag_floor"), F.lit(P.mag_floor))
+    now = v.rsnap.groupBy("article").agg(F.max(F.struct("snap_date", "snap_rev")).alias("s")).select("article", "s.snap_date", "s.snap_rev")
     held = v.table("orders").select(
-        n.alias("before_revid"), F.concat(F.lit("a"), F.pmod("o_custkey", F.lit(20))).alias("article"), F.when(n % 3 > 0, 2).otherwise(1).alias("schema_version"),
-        F.create_map(F.lit("confirm_drop"), drop, F.lit("mag_floor"), F.lit(P.mag_floor)).alias("thresholds"), (n % 15).cast("long").alias("horizon"),
+        n.alias("before_revid"), F.concat(F.lit("a"), F.pmod("o_custkey", F.lit(20))).alias("article"), F.when(n % 6 == 0, 1).when(n % 6 != 1, 2).alias("schema_version"), F.when(n % 8 == 1, "2026-01-01").alias("run_ts"),
+        F.when(n % 2 == 0, F.create_map(*drop, *floor)).otherwise(F.create_map(*floor, *drop)).alias("thresholds"), (F.floor(n / 7) % 15).cast("long").alias("horizon_rev"), (n % 10 != 3).alias("dated"),
     )
-    now = v.rsnap.groupBy("article").agg(F.max("snap_rev").alias("horizon"))
+    dates = now.select("article", F.col("snap_date").alias("d"))
+    held = held.join(dates, "article", "left").withColumn("horizon_date", F.when(F.col("dated"), F.col("d")).otherwise(F.date_add("d", -1))).drop("d", "dated")
     return snapshots.fresh(held, contract, now, 2).select("before_revid", "article", "is_fresh")
 
 
@@ -75,7 +78,7 @@ def sequence_faults(v: Views) -> DataFrame:
 _PASSES = f""", judged as (select *, case when durable_spine_drop >= {P.confirm_drop} then 'confirmed' else 'rejected' end decision, case when durable_spine_drop < {P.confirm_drop} then 'durable_spine_drop_below_threshold' end rejection_reason, candidate_start < date '1996-06-01' prim from lead_episodes)"""
 
 
-@query(_PASSES + """ select article, before_revid, round(durable_spine_drop, 6) "drop", decision, rejection_reason, case when prim then 'interval' else 'rolling' end source from judged
+@query(_PASSES + """ select article, before_revid, round_even(durable_spine_drop, 6) "drop", decision, rejection_reason, case when prim then 'interval' else 'rolling' end source from judged
   where prim or article not in (select article from judged where prim and decision = 'confirmed')""")
 def two_pass(v: Views) -> DataFrame:
     """Earlier episodes as the first pass, later ones as the second."""
@@ -85,7 +88,7 @@ def two_pass(v: Views) -> DataFrame:
 
 
 @query(""", n as (select article, ts, rev_id, row_number() over (partition by article order by rev_id) - 1 k, count(*) over (partition by article) n from revisions)
-select article, rev_id from n where n <= 12 or floor((k + 1) / (n / 12.0::double)) > floor(k / (n / 12.0::double)) or k = n - 1""")
+select article, rev_id from n where n <= 12 or k = n - 1 or list_contains(list_transform(range(12), lambda i: floor(i * (n / 12.0::double))::bigint), k)""")
 def evenly_sampled(v: Views) -> DataFrame:
     return editions.evenly_sampled(v.revisions, "rev_id", 12).select("article", "rev_id")
 
@@ -159,7 +162,7 @@ def _draft_pivots(v: Views) -> DataFrame:
 
     The last pair of each names a draft that doesn't exist.
     """
-    docs = v.table("documents").where("text is not null")
+    docs = v.table("documents")
     n, name = F.col("doc_id"), F.concat(F.lit("d"), F.col("doc_id")).alias("article")
     rows = docs.select(name, n.alias("n"), F.explode(F.array(*(F.lit(k).cast("long") for k in (1, 2, 3, 4)))).alias("place"))
     drop, day = (F.col("n") % 10) / 8.0, F.date_add(F.lit("2010-01-01").cast("date"), F.col("place").cast("int"))
@@ -178,7 +181,7 @@ def draft_authors(v: Views) -> DataFrame:
     return claims.word_authors(tokens, ("article", "rev_id"))
 
 
-_DRAFT_PIVOTS = f""", {DRAFTS}, dp as (select 'd' || doc_id article, doc_id n, unnest([1, 2, 3, 4])::bigint place from documents where text is not null),
+_DRAFT_PIVOTS = f""", {DRAFTS}, dp as (select 'd' || doc_id article, doc_id n, unnest([1, 2, 3, 4])::bigint place from documents),
 wt0 as (select article, rev_id, string_split(text, ' ') ws from drafts), wt1 as (select article, rev_id, unnest(ws) str, unnest(range(len(ws))) pos from wt0),
 wa as (select article, rev_id, word, arg_min(author, (-c, p)) author from (select article, rev_id, lower(str) word, 'u' || ((pos // 7 + rev_id) % 5) author, count(*) c, min(pos) p from wt1 where regexp_full_match(str, '\\p{{L}}{{3,}}') group by all) group by 1, 2, 3),
 maps as (select article, rev_id, sha256(string_agg(word || '=' || author, ',' order by word)) own from wa group by 1, 2),

@@ -16,8 +16,8 @@ _TERMS = rf""", words as (select article, side, unnest(list_filter(regexp_extrac
 terms as (select article, side, term, count(*) n from words where term not in ({_STOP}) group by all),
 pairs as (select article, term, coalesce(sum(n) filter (where side = 'before'), 0)::bigint b, coalesce(sum(n) filter (where side = 'after'), 0)::bigint a from terms group by 1, 2),
 tots as (select article, sum(b)::bigint tb, sum(a)::bigint ta from pairs group by 1), pt as (select * from pairs join tots using (article)),
-js as (select article, round(sum(case when tb > 0 and ta > 0 then case when b > 0 then 0.5*(b/tb)*ln((b/tb)/(0.5*(b/tb + a/ta))) else 0 end + case when a > 0 then 0.5*(a/ta)*ln((a/ta)/(0.5*(b/tb + a/ta))) else 0 end else 0 end), 4) js_divergence, max(tb) before_tokens, max(ta) after_tokens from pt group by 1),
-ad as (select *, round(greatest(before_tokens, after_tokens)/nullif(least(before_tokens, after_tokens), 0), 4) size_ratio from js),
+js as (select article, round_even(sum(case when tb > 0 and ta > 0 then case when b > 0 then 0.5*(b/tb)*ln((b/tb)/(0.5*(b/tb + a/ta))) else 0 end + case when a > 0 then 0.5*(a/ta)*ln((a/ta)/(0.5*(b/tb + a/ta))) else 0 end else 0 end), 4) js_divergence, max(tb) before_tokens, max(ta) after_tokens from pt group by 1),
+ad as (select *, round_even(greatest(before_tokens, after_tokens)/nullif(least(before_tokens, after_tokens), 0), 4) size_ratio from js),
 ad2 as (select *, case when least(before_tokens, after_tokens) < {P.lexical_tokens} then 'token_floor' when size_ratio > {P.lexical_ratio} then 'size_ratio' end inadequacy from ad)"""
 
 
@@ -40,7 +40,7 @@ def js_divergence(v: Views) -> DataFrame:
     return lexical.js_divergence(lexical.paired(_counts(v)))
 
 
-@query(_TERMS + """, lo as (select *, a - b delta, round(ln((a + 0.5)/(greatest(0, ta - a) + 0.5)) - ln((b + 0.5)/(greatest(0, tb - b) + 0.5)), 4) log_odds from pt where tb > 0 and ta > 0 and a + b >= 3 and a <> b),
+@query(_TERMS + """, lo as (select *, a - b delta, round_even(ln((a + 0.5)/(greatest(0, ta - a) + 0.5)) - ln((b + 0.5)/(greatest(0, tb - b) + 0.5)), 4) log_odds from pt where tb > 0 and ta > 0 and a + b >= 3 and a <> b),
 ld as (select *, case when log_odds > 0 then 'gained' else 'lost' end direction from lo where log_odds <> 0)
 select article, direction, row_number() over (partition by article, direction order by abs(log_odds) desc, case direction when 'gained' then -delta else delta end, term) "rank", term, b "before", a "after", delta, log_odds from ld qualify "rank" <= 20""")
 def log_odds(v: Views) -> DataFrame:
@@ -157,12 +157,12 @@ def _stances(v: Views) -> DataFrame:
 _STANCES = ", st as (select side variant, article entity, lang, avg(case when toxic = 1 then -1.0::double when quality = 1 then 1.0 else 0.0 end) as value from texts join labels on doc_id = rev_id group by 1, 2, 3)"
 
 
-@query(_STANCES + ", sp as (select variant, entity, max(value) - min(value) s from st group by 1, 2 having count(distinct lang) >= 2) select variant, round(avg(s), 2) divergence, count(*) entities from sp group by 1")
+@query(_STANCES + ", sp as (select variant, entity, max(value) - min(value) s from st group by 1, 2 having count(distinct lang) >= 2) select variant, round_even(avg(s), 2) divergence, count(*) entities from sp group by 1")
 def static_divergence(v: Views) -> DataFrame:
     return editions.static_divergence(_stances(v))
 
 
-_GAP = _STANCES + ", g as (select variant, entity, abs(avg(value) filter (where lang = 'en') - avg(value) filter (where lang <> 'en')) gap from st group by 1, 2), gg as (select variant, round(avg(gap), 2) gap from g where gap is not null group by 1)"
+_GAP = _STANCES + ", g as (select variant, entity, abs(avg(value) filter (where lang = 'en') - avg(value) filter (where lang <> 'en')) gap from st group by 1, 2), gg as (select variant, round_even(avg(gap), 2) gap from g where gap is not null group by 1)"
 
 
 @query(_GAP + " select * from gg")
@@ -206,7 +206,7 @@ _HOSTS = r""", ho as (select page_id, page_id % 10 article, regexp_extract(url,
 
 
 @query(_HOSTS + """, s as (select article, lang, coalesce(list(distinct domain) filter (where domain <> ''), []) d from ho group by 1, 2)
-select a.article, count(*) pairs, round(avg(case when len(list_distinct(list_concat(a.d, b.d))) = 0 then 1.0 else len(list_intersect(a.d, b.d))/len(list_distinct(list_concat(a.d, b.d))) end), 2) jaccard from s a join s b on a.article = b.article and a.lang < b.lang group by 1""")
+select a.article, count(*) pairs, round_even(avg(case when len(list_distinct(list_concat(a.d, b.d))) = 0 then 1.0 else len(list_intersect(a.d, b.d))/len(list_distinct(list_concat(a.d, b.d))) end), 2) jaccard from s a join s b on a.article = b.article and a.lang < b.lang group by 1""")
 def citation_jaccard(v: Views) -> DataFrame:
     return editions.citation_jaccard(_sets(v))
 
@@ -229,7 +229,7 @@ def domain_deltas(v: Views) -> DataFrame:
     return editions.domain_deltas(rows.groupBy("article", "side", "domain").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("""select article, "name", round(100.0::double*n/sum(n) over (partition by article))::int percent from (select p_size article, case p_partkey % 4 when 0 then 'journal' when 1 then 'book' when 2 then 'web' else 'other' end "name", count(*) n from part group by 1, 2) where "name" <> 'other' """)
+@query("""select article, "name", round_even(100.0::double*n/sum(n) over (partition by article), 0)::int percent from (select p_size article, case p_partkey % 4 when 0 then 'journal' when 1 then 'book' when 2 then 'web' else 'other' end "name", count(*) n from part group by 1, 2) where "name" <> 'other' """)
 def cite_mix(v: Views) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, ("journal", "book", "web", "other"))), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
     return editions.cite_mix(v.table("part").groupBy(F.col("p_size").alias("article"), name.alias("name")).agg(F.count(F.lit(1)).alias("n")))
