@@ -6,7 +6,8 @@ their prefixes. The order is by XXH64, with shingles that a sample of SAMPLE tex
 many candidates there are, not what is found. Pairs that size or place of their first common shingle rule out are left
 out, and so are those in one component already: first each text is compared with one text of each shingle's group,
 then what is still apart with all of the group. A text's sketch has BITS bits, each the parity of the number of its
-shingles that fall there, so two sketches differ in no more bits than the sets differ in shingles; candidates whose
+shingles that fall there, so two sketches differ in no more bits than the sets differ in shingles; the last of these joins has
+sketches folded to FOLDED words in its condition, candidates whose
 sketches differ in more bits than similar sets can are left out, then those whose sketches of FINE_BITS bits do, which
 tells long texts apart. All others are checked on their full sets of shingles.
 """
@@ -14,6 +15,7 @@ tells long texts apart. All others are checked on their full sets of shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ COMMON = 4
 #: Bits of the sketches of all texts and of those that these leave; multiples of 64.
 BITS = 1024
 FINE_BITS = 8192
+#: 64-bit words of the folded sketches that the last join compares; divides BITS // 64.
+FOLDED = 4
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -110,6 +114,13 @@ def sketches(texts: DataFrame, bits: int = BITS) -> DataFrame:
     return texts.select("h", "text").mapInArrow(run, "h long, n int, bits array<long>")
 
 
+def folded(drawn: DataFrame) -> DataFrame:
+    """h and fold, the sketch of FOLDED words that a sketch of more bits holds: the exclusive-or of its parts."""
+    words = BITS // 64
+    part = lambda k: reduce(Column.bitwiseXOR, (F.col("bits")[j] for j in range(k, words, FOLDED)))
+    return drawn.select("h", F.struct(*(part(k).alias(f"f{k}") for k in range(FOLDED))).alias("fold"))
+
+
 def _of(df: DataFrame, side: str) -> DataFrame:
     """df with its h as this side of a pair."""
     return df.select(*(F.col(c).alias(side if c == "h" else f"{c}_{side}") for c in df.columns))
@@ -185,8 +196,12 @@ def near_components(docs: DataFrame) -> DataFrame:
 
     apart = held.drop("root").join(roots, F.col("b.h") == roots["h"]).select("shingle", "b", "root")
     mixed = apart.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
-    apart = saved(apart.join(mixed, "shingle", "left_semi"), "near-apart")
+    apart = apart.join(mixed, "shingle", "left_semi").join(folded(drawn).withColumnRenamed("h", "b_h"), F.col("b.h") == F.col("b_h")).drop("b_h")
+    apart = saved(apart, "near-apart")
     discard(held)
-    pairs = apart.select("shingle", F.col("b").alias("a"), F.col("root").alias("root_a")).join(apart, "shingle").where((F.col("root_a") < F.col("root")) & _possible("a", "b"))
+    other = apart.select("shingle", F.col("b").alias("a"), F.col("root").alias("root_a"), F.col("fold").alias("fold_a"))
+    bits = sum((F.bit_count(F.col(f"fold.f{k}").bitwiseXOR(F.col(f"fold_a.f{k}"))).cast("int") for k in range(FOLDED)), F.lit(0))
+    # all of it is the join's condition, so that only pairs which are worth a comparison leave it
+    pairs = other.join(apart, "shingle").where((F.col("root_a") < F.col("root")) & _possible("a", "b") & (9 * bits <= F.col("a.n") + F.col("b.n")))
     roots = _joined(roots, similar(saved(pairs.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct(), "near-pairs"), texts, drawn))
     return labelled.select("doc_id", "h").join(roots, "h")
