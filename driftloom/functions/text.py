@@ -11,12 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that no vocabulary comparison counts.
-STOP_WORDS = """
-a an and are as at be by for from has he in is it its of on that the to was were will with this these those or
-but if then than about into over under such their there which also can could may might would should been being have had do
-does did not no yes we they you i our your them his her hers him she who whom what when where why how because during after
-before between within without per via up down out all any some most more less many few each other same new old one two three
-""".split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was",
+    "were", "will", "with", "this", "these", "those", "or", "but", "if", "then", "than", "about", "into", "over", "under", "such", "their", "there",
+    "which", "also", "can", "could", "may", "might", "would", "should", "been", "being", "have", "had", "do", "does", "did", "not", "no", "yes", "we",
+    "they", "you", "i", "our", "your", "them", "his", "her", "hers", "him", "she", "who", "whom", "what", "when", "where", "why", "how", "because",
+    "during", "after", "before", "between", "within", "without", "per", "via", "up", "down", "out", "all", "any", "some", "most", "more", "less",
+    "many", "few", "each", "other", "same", "new", "old", "one", "two", "three",
+]
 SPACES = r"[ \t\n\f\r]+"
 #: Markup and what stays of it, in the order in which it is taken away.
 MARKUP = (
@@ -126,6 +128,23 @@ def title_of(value: Column) -> Column:
     return F.when(F.coalesce(found, F.lit("")) != "", found).otherwise(raw)
 
 
+def _quoted(title: Column) -> Column:
+    """A title as a part of an address: spaces to "_", the rest percent-encoded but for ( ) : / and unreserved marks."""
+    found = F.url_encode(F.replace(title, F.lit(" "), F.lit("_")))
+    for coded, plain in (("%28", "("), ("%29", ")"), ("%3A", ":"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        found = F.replace(found, F.lit(coded), F.lit(plain))
+    return found
+
+
+def page_address(title: Column, lang: str = "en") -> Column:
+    return F.concat(F.lit(f"https://{lang}.wikipedia.org/wiki/"), _quoted(title))
+
+
+def oldid_address(title: Column, rev_id: Column, lang: str = "en") -> Column:
+    """Where a revision of a page is shown."""
+    return F.concat(F.lit(f"https://{lang}.wikipedia.org/w/index.php?title="), _quoted(title), F.lit("&oldid="), rev_id.cast("string"))
+
+
 def contrast_ratio(first: Column, second: Column) -> Column:
     """Contrast of two colours, each a struct l (percent), c, h (degrees) in OKLCH, after rasterising to 8 bits."""
     one, two = luminance(first), luminance(second)

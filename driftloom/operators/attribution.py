@@ -5,9 +5,15 @@ States come in long form: article, seq (from 0), token_id, o_rev_id; revs: artic
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..lineage import settled
+
 
 def token_operations(states: DataFrame, last: DataFrame) -> DataFrame:
     """article, seq, token_id, op: removed, added or restored (added though seen before). last: article, last_seq."""
@@ -45,15 +51,38 @@ def net_standing(states: DataFrame, ops: DataFrame, revs: DataFrame, last: DataF
     return rows.groupBy("kind", "article", "seq").agg(F.count(F.lit(1)).alias("tokens"))
 
 
+def _stretches(states: DataFrame) -> DataFrame:
+    """article, token_id, start, end: each token's unbroken stretches of revisions."""
+    life = Window.partitionBy("article", "token_id").orderBy("seq")
+    rows = states.select("article", "seq", "token_id").distinct().withColumn("cut", F.when(F.lag("seq").over(life) == F.col("seq") - 1, 0).otherwise(1))
+    rows = rows.withColumn("k", F.sum("cut").over(life))
+    return rows.groupBy("article", "token_id", "k").agg(F.min("seq").alias("start"), F.max("seq").alias("end")).drop("k")
+
+
+def _last_with_all(back: DataFrame, size: DataFrame, states: DataFrame) -> DataFrame:
+    """article, at, whole: the last revision before each `at` that has all tokens which `at` restored.
+
+    back: article, at, token_id; size: article, at, n. Stretches are begun and ended along the sequence; where n of them run,
+    all tokens are there. No state is compared with another.
+    """
+    runs = back.join(_stretches(states), ["article", "token_id"]).where("start < at")
+    marks = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).alias("d")))
+    steps = runs.select("article", "at", F.explode(marks).alias("m")).groupBy("article", "at", "m.pos").agg(F.sum("m.d").alias("d"))
+    along = Window.partitionBy("article", "at").orderBy("pos")
+    held = steps.withColumns({"held": F.sum("d").over(along), "next": F.lead("pos").over(along)})
+    return held.join(size, ["article", "at"]).where("held = n").groupBy("article", "at").agg((F.max("next") - 1).alias("whole"))
+
+
 def revision_roles(revs: DataFrame, states: DataFrame, ops: DataFrame, last: DataFrame) -> DataFrame:
-    """article, seq, role, restores_seq. A state is known by a digest of its token set; a revision without tokens has an empty set."""
-    sets = states.groupBy("article", "seq").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("token_id")), ","), 256).alias("state"))
-    rows = revs.select("article", "seq").join(sets, ["article", "seq"], "left").withColumn("state", F.coalesce("state", F.lit("")))
+    """article, seq, role, restores_seq. A state is known by the number of its tokens and two sums of their hashes; a revision without tokens has an empty set."""
+    one, two = F.xxhash64("token_id"), F.xxhash64(F.lit(1), "token_id")
+    known = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("x"), F.sum(two.cast("decimal(20,0)")).alias("s"))
+    sets = states.select("article", "seq", "token_id").distinct().groupBy("article", "seq").agg(known.alias("state"))
+    rows = revs.select("article", "seq").join(sets, ["article", "seq"], "left")
     rows = rows.join(last, "article").withColumn("revert_to", F.lag("seq").over(Window.partitionBy("article", "state").orderBy("seq")))
     back = ops.where("op = 'restored'").select("article", F.col("seq").alias("at"), "token_id")
     size = back.groupBy("article", "at").agg(F.count(F.lit(1)).alias("n"))
-    held = back.join(states.select("article", "token_id", F.col("seq").alias("old")).distinct(), ["article", "token_id"]).where("old < at").groupBy("article", "at", "old").agg(F.count(F.lit(1)).alias("n"))
-    whole = held.join(size, ["article", "at", "n"]).groupBy("article", "at").agg(F.max("old").alias("whole"))
+    whole = _last_with_all(back, size, states)
     rows = rows.join(size.select("article", F.col("at").alias("seq"), "n"), ["article", "seq"], "left").join(whole.withColumnRenamed("at", "seq"), ["article", "seq"], "left")
     role = F.when(F.col("seq") == 0, "stable_before").when(F.col("revert_to").isNotNull(), "revert").when(F.col("seq") == F.col("last_seq"), "consolidation").when(F.col("n") > 0, "restoration").when(F.col("seq") == 1, "initiating_change").otherwise("intermediate_change")
     rows = rows.withColumn("role", role)
@@ -121,9 +150,12 @@ def revert_relationships(metadata: DataFrame) -> DataFrame:
     return rows.select("article", "rev_id", F.array_join(signals, ",").alias("signals"), "restores_rev").where("signals <> ''")
 
 
+SECTION = r"^/\*\s*(.*?)\s*\*/"
+
+
 def section_of(comment: Column) -> Column:
-    """The section that an edit summary names between /* and */."""
-    return F.nullif(F.trim(F.regexp_extract(comment, r"/\*\s*(.*?)\s*\*/", 1)), F.lit(""))
+    """The section that an edit summary names between /* and */ at its start; null if it names none."""
+    return F.when(comment.rlike(SECTION), F.trim(F.regexp_extract(comment, SECTION, 1)))
 
 
 def process_context(events: DataFrame, families: dict[str, DataFrame | None], hours: int = 24) -> DataFrame:
@@ -135,8 +167,91 @@ def process_context(events: DataFrame, families: dict[str, DataFrame | None], ho
         if table is None:
             part = events.select("event_id", F.lit(name).alias("family"), F.lit("unavailable").alias("state"), F.lit(None).cast("long").alias("n"))
         else:
-            wide = F.expr(f"interval {hours} hours")
-            rows = events.join(table.select(F.col("article").alias("_a"), F.col("ts").alias("_t")), (F.col("article") == F.col("_a")) & (F.col("_t") >= F.col("start_ts") - wide) & (F.col("_t") <= F.col("end_ts") + wide), "left")
-            part = rows.groupBy("event_id").agg(F.count("_t").alias("n")).select("event_id", F.lit(name).alias("family"), F.when(F.col("n") > 0, "observed").otherwise("not_observed").alias("state"), "n")
+            part = near(events, table, hours).groupBy("event_id").agg(F.count("ts").alias("n")).select("event_id", F.lit(name).alias("family"), F.when(F.col("n") > 0, "observed").otherwise("not_observed").alias("state"), "n")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def near(events: DataFrame, table: DataFrame, hours: int = 0) -> DataFrame:
+    """event_id and the columns of table (article, ts and others) for its rows of the event's article within so many hours of it; events without one have nulls."""
+    wide = F.expr(f"interval {hours} hours")
+    ends = events.select("event_id", F.col("article").alias("_a"), F.col("start_ts").alias("_from"), F.col("end_ts").alias("_to"))
+    within = (F.col("article") == F.col("_a")) & (F.col("ts") >= F.col("_from") - wide) & (F.col("ts") <= F.col("_to") + wide)
+    return ends.join(table, within, "left").select("event_id", *table.columns)
+
+
+#: Hours around an event in which its talk page counts.
+TALK_HOURS = 24
+#: Templates that speak of a dispute.
+DISPUTES = r"(?i)disput|pov|contentious|neutrality|merge|split"
+#: Families of evidence; there is no public source for arbitration.
+FAMILIES = ("revision_activity", "revert_relationships", "talk_activity", "page_operations", "protection", "dispute_templates", "arbitration")
+
+
+def revision_items(events: DataFrame, metadata: DataFrame, talk: bool = False) -> DataFrame:
+    """event_id, at, item of revisions (article, rev_id, parent_id, ts, account, comment, tags, sha1, size) of the event's time; talk: those of the talk page, in the day
+    before and after too. metadata's article is the page that is talked about."""
+    rows = near(events, metadata, TALK_HOURS if talk else 0).where("rev_id is not null")
+    page = F.concat(F.lit("Talk:"), "article") if talk else F.col("article")
+    own = [F.col("rev_id").alias("revision_id"), "ts", F.coalesce("account", F.lit("<hidden>")).alias("account"), F.coalesce("comment", F.lit("")).alias("comment"), section_of(F.col("comment")).alias("section"), F.array_sort(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags")]
+    own += [] if talk else ["parent_id", "sha1", "size"]
+    return rows.select("event_id", F.col("rev_id").alias("at"), F.to_json(F.struct(*own, T.oldid_address(page, F.col("rev_id")).alias("source_url"))).alias("item"))
+
+
+def revert_items(events: DataFrame, metadata: DataFrame) -> DataFrame:
+    """event_id, at, item of revisions of the event's time that restore another of them or are tagged as reverts."""
+    rows = near(events, metadata).where("rev_id is not null")
+    signs = revert_relationships(rows.drop("article").withColumnRenamed("event_id", "article")).withColumnRenamed("article", "event_id")
+    named = signs.join(rows.select("event_id", "rev_id", "parent_id", "article"), ["event_id", "rev_id"])
+    item = F.struct(F.col("rev_id").alias("revision_id"), "parent_id", F.col("restores_rev").alias("restores_revision_id"), F.split("signals", ",").alias("signals"), T.oldid_address(F.col("article"), F.col("rev_id")).alias("source_url"))
+    return named.select("event_id", F.col("rev_id").alias("at"), F.to_json(item).alias("item"))
+
+
+def operation_items(events: DataFrame, log: DataFrame) -> DataFrame:
+    """event_id, at, item of the page's log (article, log_id, ts, type, action, account, comment) in the event's time."""
+    rows = near(events, log).where("log_id is not null")
+    return rows.select("event_id", F.col("log_id").alias("at"), F.to_json(F.struct("log_id", "ts", "type", "action", F.coalesce("account", F.lit("<hidden>")).alias("account"), F.coalesce("comment", F.lit("")).alias("comment"))).alias("item"))
+
+
+def protection_items(events: DataFrame, protection: DataFrame) -> DataFrame:
+    """event_id, at, item of what protects the page now. protection: article, type, level, expiry."""
+    rows = events.select("event_id", "article").join(protection, "article")
+    return rows.select("event_id", F.xxhash64("type", "level", "expiry").alias("at"), F.to_json(F.struct("type", "level", "expiry", T.page_address(F.col("article")).alias("source_url"))).alias("item"))
+
+
+def dispute_items(events: DataFrame, texts: DataFrame) -> DataFrame:
+    """event_id, at, item of templates that speak of a dispute in the revision after the event (after_rev). texts: article, rev_id, text."""
+    rows = events.select("event_id", "article", F.col("after_rev").alias("rev_id")).join(texts.select("article", "rev_id", "text"), ["article", "rev_id"])
+    names = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\{\{\s*([^{}|<>]+)"), F.lit(1)), lambda n: F.trim(n)))
+    rows = rows.withColumn("title", F.explode(F.filter(names, lambda n: n.rlike(DISPUTES))))
+    return rows.select("event_id", F.xxhash64("title").alias("at"), F.to_json(F.struct("title", F.col("rev_id").alias("revision_id"), T.oldid_address(F.col("article"), F.col("rev_id")).alias("source_url"))).alias("item"))
+
+
+def process_receipts(events: DataFrame, sources: dict[str, Callable[[], DataFrame] | str | None]) -> tuple[DataFrame, DataFrame]:
+    """(receipts: event_id, family, status, reason, n; items: event_id, family, at, item as JSON) for every event and family.
+
+    events: event_id (unique), article, start_ts, end_ts, after_rev. sources: for a family, a function that gives its items (see above), or the reason why
+    there are none. Each family is read apart: one whose function or plan fails is unavailable for all events, with the error as its
+    reason, and the others stay. Reverts are read from the revisions and share their failure. A family without a source is unavailable.
+    """
+    spark, parts, reasons = events.sparkSession, {}, {}
+    for family in FAMILIES:
+        source = sources.get(family)
+        if not callable(source):
+            reasons[family] = source or "no source"
+            continue
+        try:
+            found = source().select("event_id", F.lit(family).alias("family"), F.col("at").cast("long").alias("at"), "item")
+            parts[family] = settled(found, f"evidence-{family}")
+        except Exception as e:  # noqa: BLE001  a source may fail in any way; the others mustn't
+            reasons[family] = f"{family} failed: {(str(e).splitlines() or [''])[0][:300]}"
+    if "revision_activity" in reasons and reasons["revision_activity"] != "no source":
+        reasons["revert_relationships"] = reasons["revision_activity"]
+        parts.pop("revert_relationships", None)
+    empty = spark.createDataFrame([], "event_id string, family string, at long, item string")
+    items = reduce(DataFrame.unionByName, parts.values()) if parts else empty.withColumn("event_id", F.col("event_id").cast(events.schema["event_id"].dataType))
+    states = spark.createDataFrame([(f, reasons.get(f)) for f in FAMILIES], "family string, reason string")
+    counts = items.groupBy("event_id", "family").agg(F.count(F.lit(1)).alias("n"))
+    rows = events.select("event_id", F.explode(F.array(*map(F.lit, FAMILIES))).alias("family")).join(F.broadcast(states), "family").join(counts, ["event_id", "family"], "left")
+    status = F.when(F.col("reason").isNotNull(), "unavailable").when(F.col("n") > 0, "observed").otherwise("not_observed")
+    return rows.select("event_id", "family", status.alias("status"), "reason", F.when(F.col("reason").isNull(), F.coalesce("n", F.lit(0))).alias("n")), items
