@@ -2,7 +2,8 @@
 
 The reader inflates an archive piece by piece, frames each record by its Content-Length and verifies the payload's digest.
 Archives are ordinary .warc.gz contents, held as rows of a table (archive binary) so that any store that Spark writes to
-can keep them; read_files() reads archives that other tools wrote.
+can keep them. read_files() also reads archives of other writers, if each record is a gzip member of its own: header names
+in any case, records of all types, ids of any form, digests by SHA-1, SHA-256, SHA-512 or MD5 in hex or base-32, or none.
 
 A null html is an empty payload; a null url is written as an empty target. Rows that repeat a page_id each get a record.
 Equal payloads: the record with the smallest page_id is a response, as are those that repeat this id; the others are
@@ -11,6 +12,7 @@ revisits of it. A null page_id comes after all others. An empty table gives no a
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ from .common import saved, small_batches
 LEAST_BYTES = 100
 ARCHIVE_BYTES = 4 << 20
 PIECE = 1 << 16
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean, payload binary"
+RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean, record_id string, payload binary"
 
 
 def marked(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
@@ -129,41 +131,70 @@ class Reader:
                 buffer += piece
                 if at < 0 and (at := buffer.find(b"\r\n\r\n")) >= 0:
                     lines = bytes(buffer[:at]).decode("utf-8").split("\r\n")
-                    head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+                    head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
             if at < 0:
                 if not buffer.strip():
                     continue
                 raise ValueError("a record without the end of its header")
-            start, length = at + 4, int(head["Content-Length"])
+            start, length = at + 4, int(head["content-length"])
             if len(buffer) != start + length + 4 or buffer[start + length :] != b"\r\n\r\n":
-                raise ValueError(f"the record {head.get('WARC-Record-ID')} doesn't have the length that it states")
+                raise ValueError(f"the record {head.get('warc-record-id')} doesn't have the length that it states")
             yield head, bytes(buffer[start : start + length])
 
 
-def _number(urn: str) -> int | None:
-    digits = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(digits) if digits else None
+def _number(urn: str | None) -> int | None:
+    """The page of a record id that write_archives() gives; null for any other."""
+    digits = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(digits) if digits.removeprefix("-").isdecimal() else None
+
+
+def digest_fits(stated: str | None, payload: bytes) -> bool | None:
+    """Whether a digest (algorithm:value, in hex or base-32) is the payload's; null if there is none, or of an unknown algorithm."""
+    name, _, value = (stated or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("sha1", "sha256", "sha512", "md5"):
+        return None
+    found = hashlib.new(name, payload)
+    value = value.strip()
+    if len(value) == 2 * found.digest_size:
+        return value.lower() == found.hexdigest()
+    return value.upper().rstrip("=") == base64.b32encode(found.digest()).decode().rstrip("=")
+
+
+def _fields(head: dict[str, str], block: bytes) -> tuple:
+    """A row of RECORDS."""
+    kind, http = head.get("warc-type", ""), head.get("content-type", "").lower().startswith("application/http")
+    end = block.find(b"\r\n\r\n") if http else -1
+    payload = block[end + 4 :] if end >= 0 else b"" if http else block
+    revisit, stated, length = kind == "revisit", head.get("warc-payload-digest"), head.get("warc-payload-length")
+    if stated is None and not http:
+        stated = head.get("warc-block-digest")
+    good = None if revisit else digest_fits(stated, payload)
+    if good and length is not None:
+        good = len(payload) == int(length)
+    size = int(length) if length is not None else None if revisit else len(payload)
+    bare = stated.partition(":")[2].strip() if stated else None
+    return _number(head.get("warc-record-id")), head.get("warc-target-uri"), kind, _number(head.get("warc-refers-to")) if revisit else None, size, bare, good, head.get("warc-record-id"), payload
 
 
 def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
-    """All records of a table with a column archive, as RECORDS. verified: the payload has its digest (null for revisits)."""
+    """All records of a table with a column archive, as RECORDS. verified: the payload has its digest (null for revisits, and where no digest is known).
+
+    Of an HTTP record the payload is what follows its header, of any other the whole block. page_id and refers_to are null where the ids are another writer's.
+    """
     schema = RECORDS if keep_payload else RECORDS.rpartition(",")[0]
     small_batches(archives.sparkSession, 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()][: len(names)]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.binary()][: len(names)]
         for batch in batches:
             for archive in batch.column(0):
                 view = memoryview(archive.as_buffer())
                 rows, size = [], 0
                 for head, block in Reader(view[i : i + PIECE] for i in range(0, len(view), PIECE)):
-                    revisit = head["WARC-Type"] == "revisit"
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                    good = None if revisit else hashlib.sha256(payload).hexdigest() == digest and len(payload) == int(head["WARC-Payload-Length"])
-                    rows.append((_number(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], _number(head["WARC-Refers-To"]) if revisit else None, int(head["WARC-Payload-Length"]), digest, good, payload)[: len(names)])
-                    size += len(payload)
+                    rows.append(_fields(head, block)[: len(names)])
+                    size += len(block)
                     if len(rows) >= 1000 or size >= 1 << 22:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows, size = [], 0
@@ -174,7 +205,7 @@ def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of .warc.gz files whose records have the headers that write_archives() gives."""
+    """Records of .warc.gz files, of this or any other writer."""
     return read_archives(spark.read.format("binaryFile").load(path).select(F.col("content").alias("archive")))
 
 

@@ -1,5 +1,6 @@
 """URL filters, chat formatting and WARC against their SQL and on odd rows."""
 
+import base64
 import gzip
 import hashlib
 import io
@@ -149,3 +150,28 @@ def test_a_damaged_record_is_found(spark):
     archive = bytes(write_archives(marked(df)).first()["archive"])
     with pytest.raises(EOFError):
         list(Reader(iter([archive[:-9]])))
+
+
+def other_record(kind, block, *more, http=True, newline="\r\n"):
+    head = ["WARC/1.0", f"warc-type: {kind}", "WARC-Record-Id: <urn:uuid:9f0e6b1c-0000-4000-8000-000000000000>", "WARC-Date: 2020-01-01T00:00:00Z", *more]
+    head += [f"CONTENT-TYPE:application/{'http; msgtype=x' if http else 'warc-fields'}", f"content-length: {len(block)}"]
+    return gzip.compress((newline.join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Record ids of any form, header names in any case, SHA-1 in base-32, records without a digest, and of other types."""
+    http, body = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n", "héllo\r\n\r\nx".encode()
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    made = [
+        other_record("warcinfo", b"software: x\r\n", http=False), other_record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "WARC-Target-URI: http://a/"),
+        other_record("response", http + body, "WARC-Target-URI:  http://a/", f"WARC-Payload-Digest: sha1:{sha1}"), other_record("response", http + body, "WARC-Payload-Digest: SHA-256:" + hashlib.sha256(body).hexdigest().upper()),
+        other_record("response", http + body, "WARC-Payload-Digest: sha1:" + sha1[:-1] + ("A" if sha1[-1] != "A" else "B")), other_record("response", http + body), other_record("response", b"HTTP/1.1 204", "WARC-Payload-Digest: md5:d41d8cd98f00b204e9800998ecf8427e"),
+        other_record("revisit", http, f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Refers-To: <urn:uuid:1>"), other_record("metadata", b"a: b", "WARC-Block-Digest: sha1:" + hashlib.sha1(b"a: b").hexdigest(), http=False), other_record("response", http + body, "WARC-Payload-Digest: blake9:00"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(made))
+    rows = read_files(spark, str(tmp_path)).collect()
+    assert [(r["record_type"], r["verified"], r["payload_bytes"]) for r in rows] == [
+        ("warcinfo", None, 13), ("request", None, 0), ("response", True, len(body)), ("response", True, len(body)), ("response", False, len(body)), ("response", None, len(body)), ("response", True, 0), ("revisit", None, None), ("metadata", True, 4), ("response", None, len(body)),
+    ]
+    assert [bytes(rows[k]["payload"]) for k in (0, 2, 8)] == [b"software: x\r\n", body, b"a: b"]
+    assert {r["page_id"] for r in rows} == {r["refers_to"] for r in rows} == {None} and rows[2]["url"] == "http://a/" and rows[2]["payload_digest"] == sha1 and rows[0]["record_id"].startswith("<urn:uuid:9f0e")
