@@ -17,11 +17,11 @@ def priority(percents: list[Column], masses: list[Column], p: Params = DEFAULT)
     return F.when((mass >= p.mass_floor) | (most >= p.extreme_change), "high").when(mass >= p.review_mass_floor, "review").otherwise("low")
 
 
-def interval_profile(rsnap: DataFrame, p: Params = DEFAULT, excluded: DataFrame | None = None) -> DataFrame:
-    """A row for each two snapshots that follow each other. excluded: (article, start_rev, end_rev) of uncovered intervals."""
+def interval_profile(rsnap: DataFrame, p: Params = DEFAULT, excluded: DataFrame | None = None, member: DataFrame | None = None) -> DataFrame:
+    """A row for each two snapshots that follow each other. excluded: (article, start_rev, end_rev) of uncovered intervals; member: rsnap's membership, if it is at hand."""
     snaps = snapshots_distinct(rsnap)
     order = Window.partitionBy("article").orderBy("k")
-    sums = snapshot_sums(membership(rsnap, snaps)).join(snaps, ["article", "k"])
+    sums = snapshot_sums(membership(rsnap, snaps) if member is None else member).join(snaps, ["article", "k"])
     ahead = {f"end_{c}": F.lead(c).over(order) for c in ("k", "snap_date", "snap_rev", "coming")}
     rows = sums.withColumns(ahead).where("end_k is not null")
     removed, added = F.col("leaving"), F.col("end_coming")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MODES = ("formative", "interval")
@@ -34,6 +34,28 @@ def trajectory_selection(snapshots: DataFrame, endpoints: DataFrame, mode: str =
     return shown.select("article", "reason", F.explode_outer("found").alias("s")).select("article", "reason", "s.snap_date", "s.snap_rev")
 
 
+def exact_selection(requests: DataFrame, texts: DataFrame) -> DataFrame:
+    """article, reason, place, rev_id: the revisions that the caller names for each article, in the order of place (article, place, rev_id).
+
+    An article has one row with its reason, and no revision, if it names fewer than two, names one twice, or one that has no
+    text (the first such is told). texts: article, rev_id, text.
+    """
+    known = texts.where("text is not null").select("article", "rev_id").distinct().withColumn("_known", F.lit(True))
+    rows = requests.select("article", "place", "rev_id").join(known, ["article", "rev_id"], "left")
+    missing = F.min(F.when(F.col("_known").isNull(), F.struct("place", "rev_id"))).alias("missing")
+    facts = rows.groupBy("article").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rev_id").alias("ids"), missing, F.array_sort(F.collect_list(F.struct("place", "rev_id"))).alias("found"))
+    reason = F.when(F.col("n") < 2, "too_few_revisions").when(F.col("ids") < F.col("n"), "repeated_revision").when(F.col("missing").isNotNull(), F.concat(F.lit("revision_unavailable:"), F.col("missing.rev_id").cast("string")))
+    shown = facts.select("article", reason.alias("reason"), F.when(reason.isNull(), F.col("found")).alias("found"))
+    return shown.select("article", "reason", F.explode_outer("found").alias("s")).select("article", "reason", "s.place", "s.rev_id")
+
+
+def selected_pairs(selection: DataFrame, order: str = "place", rev: str = "rev_id") -> DataFrame:
+    """article, before_rev, after_rev of the revisions that follow each other in a selection; articles with a reason have none."""
+    rows = selection.where(F.col("reason").isNull()).select("article", order, F.col(rev).alias("before_rev"))
+    following = F.lead("before_rev").over(Window.partitionBy("article").orderBy(order))
+    return rows.withColumn("after_rev", following).where("after_rev is not null").select("article", "before_rev", "after_rev")
+
+
 def edition_map(sitelinks: DataFrame, langs: list[str] | None = None) -> DataFrame:
     """item, lang, title of language editions. sitelinks: item, site, title."""
     rows = sitelinks.where(F.col("site").endswith("wiki") & ~F.col("site").rlike(f"^({'|'.join(SISTERS)})"))
@@ -46,23 +68,30 @@ def recent_episode(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy("article").agg(F.min_by("start", F.struct("age_years", "rank")).alias("start"))
 
 
-def pivot_choice(articles: DataFrame, confirmations: DataFrame, episodes: DataFrame, fallback: str) -> DataFrame:
-    """article, pivot, source: a fresh confirmation's first episode, else the most recent candidate, else the fallback date.
+def _fallback(rows: DataFrame, fallback: str | DataFrame) -> DataFrame:
+    """rows with _fallback: a date for all, or those of a table (article, date), null where it has none."""
+    if isinstance(fallback, str):
+        return rows.withColumn("_fallback", F.lit(fallback).cast("date"))
+    return rows.join(fallback.select("article", F.col("date").alias("_fallback")), "article", "left")
+
+
+def pivot_choice(articles: DataFrame, confirmations: DataFrame, episodes: DataFrame, fallback: str | DataFrame) -> DataFrame:
+    """article, pivot, source: a fresh confirmation's first episode, else the most recent candidate, else the fallback date (one for all, or a table article, date).
 
     A fresh confirmation that found nothing leaves no pivot. confirmations: article, status, is_fresh, start.
     """
     held = confirmations.where("is_fresh").select("article", "status", F.col("start").alias("confirmed"))
-    rows = articles.select("article").distinct().join(held, "article", "left").join(recent_episode(episodes), "article", "left")
+    rows = _fallback(articles.select("article").distinct().join(held, "article", "left").join(recent_episode(episodes), "article", "left"), fallback)
     of = lambda yes, no, found, none: F.when(F.col("status") == "confirmed", yes).when(F.col("status").isNotNull(), no).when(F.col("start").isNotNull(), found).otherwise(none)
     source = of(F.lit("confirmed"), F.lit("rejected"), F.lit("candidate"), F.lit("fallback"))
-    return rows.select("article", of(F.col("confirmed"), F.lit(None), F.col("start"), F.lit(fallback).cast("date")).alias("pivot"), source.alias("source"))
+    return rows.select("article", of(F.col("confirmed"), F.lit(None), F.col("start"), F.col("_fallback")).alias("pivot"), source.alias("source"))
 
 
-def before_date(articles: DataFrame, episodes: DataFrame, fallback: str, months: int = 24) -> DataFrame:
+def before_date(articles: DataFrame, episodes: DataFrame, fallback: str | DataFrame, months: int = 24) -> DataFrame:
     """article, before, source: two years before the most recent episode, else the fallback date."""
-    rows = articles.select("article").distinct().join(recent_episode(episodes), "article", "left")
+    rows = _fallback(articles.select("article").distinct().join(recent_episode(episodes), "article", "left"), fallback)
     source = F.when(F.col("start").isNull(), "fallback").otherwise("pivot")
-    return rows.select("article", F.coalesce(F.add_months("start", -months), F.lit(fallback).cast("date")).alias("before"), source.alias("source"))
+    return rows.select("article", F.coalesce(F.add_months("start", -months), "_fallback").alias("before"), source.alias("source"))
 
 
 PIVOT = ["article", "place", "start", "end", "peak_pct", "pwr_mass", "before_rev", "after_rev", "status", "metric", "decision", "rejection_reason", "durable_spine_drop", "duration_seconds"]

@@ -61,16 +61,17 @@ def signal_badges(findings: DataFrame) -> DataFrame:
 
 def findings_index(findings: DataFrame, search: str = "", category: str = "all", sort: str = "pwr", page: int = 1, per: int = PER_PAGE) -> DataFrame:
     """One page of the findings (article, category, blob, pwr, lex) that hold the search text, sorted by pwr, lex, cat or
-    az, then title. A page beyond the last gives the last. position counts from 1 over all matches."""
+    az, then title. A page beyond the last gives the last. position counts from 1 over all matches. Nothing runs before the page is read."""
     keys = {"pwr": [F.desc("pwr")], "lex": [F.desc("lex")], "cat": [F.asc("category")], "az": []}[sort]
     rows = findings.where(F.contains(F.lower("blob"), F.lit(search.lower())))
     if category != "all":
         rows = rows.where(F.col("category") == category)
-    found = rows.orderBy(*keys, F.lower("article"), "article")
-    pages = max(1, -(-rows.count() // per))
-    start = (min(max(page, 1), pages) - 1) * per
-    shown = found.offset(start).limit(per)
-    return shown.withColumn("position", F.row_number().over(Window.orderBy(*keys, F.lower("article"), "article")) + start)
+    order = [*keys, F.lower("article"), "article"]
+    pages = F.greatest(F.lit(1), F.ceil(rows.agg(F.count(F.lit(1))).scalar() / per))
+    start = (F.least(F.lit(max(page, 1)), pages) - 1) * per
+    # as many of the first as the page asked for can need; the last page is among them if it asks for one beyond
+    top = rows.orderBy(*order).limit(max(page, 1) * per).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    return top.where((F.col("position") > start) & (F.col("position") <= start + per))
 
 
 def interval_state(intervals: DataFrame, candidates: DataFrame, episodes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import settled
 from ..operators import attribution as at
 from ..operators import corpus, drift, prerank, snapshots
 from ..operators.membership import membership
@@ -303,9 +304,9 @@ _SPINE = _EPISODES + f""", win as (select r.article, s.k from ranked r join snap
 spine as (select * from sw join (select article, k, quantile_disc(w, {P.durable_q}) cut from sw group by 1, 2) using (article, k) where w >= cut)"""
 
 
-def _spine_windows(v: Views) -> DataFrame:
+def _spine_windows(v: Views, member: DataFrame | None = None) -> DataFrame:
     snaps = corpus.snapshots_distinct(v.rsnap)
-    rows = drift.ranked_episodes(v.rsnap, P)
+    rows = drift.ranked_episodes(v.rsnap, P, settled(drift.interval_profile(v.rsnap, P, member=member), "profile"))
     starts = snaps.select("article", F.col("snap_rev").alias("start_rev"), "k")
     ends = snaps.select("article", F.col("snap_rev").alias("end_rev"), F.col("k").alias("end_k"))
     return rows.join(starts, ["article", "start_rev"]).join(ends, ["article", "end_rev"])
@@ -313,14 +314,16 @@ def _spine_windows(v: Views) -> DataFrame:
 
 @query(_SPINE + " select article, k, token_id, w, cut from spine")
 def durable_spine(v: Views) -> DataFrame:
-    return drift.durable_spine(membership(v.rsnap), _spine_windows(v).select("article", "k"), P)
+    member = settled(membership(v.rsnap), "membership")
+    return drift.durable_spine(member, _spine_windows(v, member).select("article", "k"), P)
 
 
 @query(_SPINE + f""", d as (select s.article, s.k, e.k end_k, count(*) cohort, 1 - count(m.token_id)/count(*) "drop" from spine s join ranked r on r.article = s.article join snaps a on a.article = r.article and a.snap_rev = r.start_rev and a.k = s.k join snaps e on e.article = r.article and e.snap_rev = r.end_rev
   left join member m on m.article = s.article and m.k = e.k and m.token_id = s.token_id group by 1, 2, 3)
 select article, k, end_k, cohort, round_even("drop", 6) "drop", case when "drop" >= {P.confirm_drop} then 'confirmed' else 'rejected' end decision, case when "drop" is null then 'insufficient_revision_evidence' when "drop" < {P.confirm_drop} then 'durable_spine_drop_below_threshold' end rejection_reason from d""")
 def candidate_evaluation(v: Views) -> DataFrame:
-    member, windows = membership(v.rsnap), _spine_windows(v)
+    member = settled(membership(v.rsnap), "membership")
+    windows = settled(_spine_windows(v, member), "spine-windows")
     found = drift.endpoint_refine(drift.durable_spine(member, windows.select("article", "k"), P), member, windows)
     return drift.candidate_evaluation(found, P)
 
@@ -330,23 +333,37 @@ def _states(v: Views) -> DataFrame:
     return v.rsnap_raw.select("article", F.col("snap_rev").alias("rev_id"), "token_id", "o_rev_id", "snap_date")
 
 
-@query(_SPINE + f""", w as (select distinct r.article, a.k, r.start_date, r.end_date + interval 24 month until from ranked r join snaps a on a.article = r.article and a.snap_rev = r.start_rev),
+def _localisation(v: Views) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The spine, windows from an episode's start to two years after its end, and all snapshots as revisions and their states."""
+    member = settled(membership(v.rsnap), "membership")
+    windows = _spine_windows(v, member).select("article", "k", F.col("start_date").cast("timestamp").alias("start_ts"), F.add_months("end_date", 24).cast("timestamp").alias("end_ts")).distinct()
+    revs = v.rsnap.select("article", F.col("snap_rev").alias("rev_id"), F.col("snap_date").cast("timestamp").alias("ts")).distinct()
+    windows = settled(windows, "spine-windows")
+    return drift.durable_spine(member, windows.select("article", "k"), P), windows, revs, v.rsnap.select("article", F.col("snap_rev").alias("rev_id"), "token_id")
+
+
+_SURVIVAL = _SPINE + """, w as (select distinct r.article, a.k, r.start_date, r.end_date + interval 24 month until from ranked r join snaps a on a.article = r.article and a.snap_rev = r.start_rev),
 rv as (select w.article, w.k, s.snap_rev rev_id, row_number() over (partition by w.article, w.k order by s.snap_date, s.snap_rev) - 1 seq, count(*) over (partition by w.article, w.k) n from w join snaps s on s.article = w.article and s.snap_date > w.start_date and s.snap_date <= w.until),
 c as (select article, k, count(*) cohort from spine group by 1, 2), t as (select distinct article, snap_rev rev_id, token_id from rsnap),
 h as (select rv.article, rv.k, rv.seq, count(s.token_id) hits from rv join t using (article, rev_id) left join spine s on s.article = rv.article and s.k = rv.k and s.token_id = t.token_id group by 1, 2, 3),
-sv as (select rv.*, cohort, hits / cohort share from rv join c using (article, k) left join h using (article, k, seq)),
-ends as (select a.article, a.k, a.share s0, b.share s1, a.n from sv a join sv b on b.article = a.article and b.k = a.k and a.seq = 0 and b.seq = a.n - 1 where a.n >= 3 and a.cohort >= {P.min_cohort} and a.share is not null and b.share is not null),
+sv as (select rv.*, cohort, hits / cohort share from rv join c using (article, k) left join h using (article, k, seq))"""
+
+
+@query(_SURVIVAL + " select article, k, rev_id, seq::int seq, cohort, share from sv")
+def cohort_survival(v: Views) -> DataFrame:
+    """Every snapshot of the spine's article is a revision of the window."""
+    return drift.cohort_survival(*_localisation(v)).select("article", "k", "rev_id", "seq", "cohort", "share")
+
+
+@query(_SURVIVAL + f""", ends as (select a.article, a.k, a.share s0, b.share s1, a.n from sv a join sv b on b.article = a.article and b.k = a.k and a.seq = 0 and b.seq = a.n - 1 where a.n >= 3 and a.cohort >= {P.min_cohort} and a.share is not null and b.share is not null),
 found as (with recursive b as (select article, k, 0::bigint lo, n - 1 hi, s0, s1, s0 - s1 "drop", 2 probed from ends union all
   select b.article, b.k, case when s0 - m.share >= m.share - s1 then lo else m.seq end, case when s0 - m.share >= m.share - s1 then m.seq else hi end, case when s0 - m.share >= m.share - s1 then s0 else m.share end,
     case when s0 - m.share >= m.share - s1 then m.share else s1 end, "drop", probed + 1 from b join sv m on m.article = b.article and m.k = b.k and m.seq = (lo + hi) // 2 where hi - lo > 1 and m.share is not null) select * from b where hi - lo = 1)
 select g.article, g.k, x.rev_id before_rev, y.rev_id after_rev, "drop", coalesce(probed, 0) probed from (select distinct article, k from rv) g left join found f using (article, k)
   left join rv x on x.article = f.article and x.k = f.k and x.seq = lo left join rv y on y.article = f.article and y.k = f.k and y.seq = hi""")
 def refine(v: Views) -> DataFrame:
-    """Exact localisation: every snapshot of the spine's article is a revision of the window."""
-    member = membership(v.rsnap)
-    windows = _spine_windows(v).select("article", "k", F.col("start_date").cast("timestamp").alias("start_ts"), F.add_months("end_date", 24).cast("timestamp").alias("end_ts")).distinct()
-    revs = v.rsnap.select("article", F.col("snap_rev").alias("rev_id"), F.col("snap_date").cast("timestamp").alias("ts")).distinct()
-    return drift.refine(drift.durable_spine(member, windows.select("article", "k"), P), windows, revs, v.rsnap.select("article", F.col("snap_rev").alias("rev_id"), "token_id"), P)
+    """Exact localisation by rounds."""
+    return drift.refine(*_localisation(v), P)
 
 
 @query(""", life as (select article, 9 rev_id, token_id, o_rev_id, max(l_orderkey) out_rev from rsnap r join lineitem l on l.l_partkey = r.token_id and 'a' || (l_suppkey % 20) = r.article where snap_rev = 9 group by all),

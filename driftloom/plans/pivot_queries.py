@@ -108,6 +108,16 @@ def trajectory_selection(v: Views) -> DataFrame:
     return long.unionByName(pivots.trajectory_selection(usable, ends, "interval", "1995-07-01", "1997-02-01").withColumn("mode", F.lit("interval")))
 
 
+@query(""", nm as (select 'c' || o_custkey article, o_orderkey place, case when o_custkey % 13 = 0 then o_custkey else o_orderkey end rev_id, o_orderstatus st from orders),
+wy as (select article, case when count(*) < 2 then 'too_few_revisions' when count(distinct rev_id) < count(*) then 'repeated_revision' when count(*) filter (where st = 'P') > 0 then 'revision_unavailable:' || arg_min(rev_id, place) filter (where st = 'P') end reason from nm group by 1)
+select article, reason, place, rev_id from wy join nm using (article) where reason is null union all select article, reason, null, null from wy where reason is not null""")
+def exact_selection(v: Views) -> DataFrame:
+    """A customer's orders as named revisions; those in process have no text, and some customers name one revision again and again."""
+    rev = F.when(F.col("o_custkey") % 13 == 0, F.col("o_custkey")).otherwise(F.col("o_orderkey"))
+    named = v.table("orders").select(F.concat(F.lit("c"), "o_custkey").alias("article"), F.col("o_orderkey").alias("place"), rev.alias("rev_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("text"))
+    return pivots.exact_selection(named, named.where("text is not null"))
+
+
 @query("""select item, substr(site, 1, length(site) - 4) lang, title from (select s_suppkey item, n_name title, 'l' || s_nationkey || case s_suppkey % 4 when 0 then 'wiki' when 1 then 'wiki' when 2 then 'wikiquote' else '' end site from supplier join nation on n_nationkey = s_nationkey
   union all select s_suppkey, s_name, 'commonswiki' from supplier) where site like '%wiki' and site not like 'commons%'""")
 def edition_map(v: Views) -> DataFrame:

@@ -247,3 +247,59 @@ def test_what_revisions_bring(spark):
     rows = [("a", 1, "x y z.", None), ("a", 2, "x q z.", None), ("a", 3, "x y z.", None)]
     found = pv.origins_of(pv.token_provenance(spark.createDataFrame(rows, TEXTS))).orderBy("rev_id").collect()
     assert [(r.rev_id, r.n_tokens, r.n_new, r.n_back, r.share_kept) for r in found] == [(1, 4, 4, 0, None), (2, 4, 1, 0, 0.75), (3, 4, 0, 1, 0.75)]
+
+
+def plain_bisect(revs, spine, states, least):
+    """(before, after, drop, probed) of one window; revs in order, states by revision."""
+    share = lambda r: len(spine & states[r]) / len(spine) if states.get(r) else None
+    if len(revs) < 3 or len(spine) < least:
+        return None, None, None, 0
+    lo, hi, probed = 0, len(revs) - 1, 2
+    first, last = share(revs[0]), share(revs[-1])
+    if first is None or last is None:
+        return None, None, None, 2
+    drop = first - last
+    while hi - lo > 1:
+        mid, probed = (lo + hi) // 2, probed + 1
+        s = share(revs[mid])
+        if s is None:
+            return None, None, None, probed
+        if first - s >= s - last:
+            hi, last = mid, s
+        else:
+            lo, first = mid, s
+    return revs[lo], revs[hi], drop, probed
+
+
+def test_refine(spark):
+    """Windows of many lengths, with revisions without states, against one bisection after another; only what is probed is read."""
+    r = random.Random(8)
+    revs, states, spine, windows, want = [], [], [], [], {}
+    p = Params(min_cohort=5)
+    for a in range(40):
+        n, cohort = r.choice([1, 2, 3, 4, 9, 30, 64, 65]), r.choice([4, 5, 20])
+        tokens = set(range(cohort))
+        keep, held = [t for t in tokens], {}
+        for k in range(n):
+            keep = [t for t in keep if r.random() < (0.4 if k == n // 2 else 0.98)]
+            held[k] = set(keep) | {100 + r.randrange(3)} if r.random() > 0.03 else set()
+        order = sorted(range(n), key=lambda k: (k // 2, k))
+        revs += [(f"a{a}", 10 + k, k // 2) for k in range(n)]
+        states += [(f"a{a}", 10 + k, t) for k, s in held.items() for t in s]
+        spine += [(f"a{a}", 3, t) for t in tokens]
+        windows.append((f"a{a}", 3))
+        want[f"a{a}"] = plain_bisect([10 + k for k in order], tokens, {10 + k: s for k, s in held.items()}, 5)
+    at = lambda c: (F.lit("2020-01-01").cast("timestamp") + F.make_dt_interval(F.col(c)))
+    revisions = spark.createDataFrame(revs, "article string, rev_id long, d int").select("article", "rev_id", at("d").alias("ts"))
+    spans = spark.createDataFrame(windows, "article string, k int").select("article", "k", F.lit("2019-12-31").cast("timestamp").alias("start_ts"), F.lit("2021-01-01").cast("timestamp").alias("end_ts"))
+    token_state, asked = spark.createDataFrame(states, "article string, rev_id long, token_id long"), set()
+
+    def read(probes):
+        asked.update(map(tuple, probes.collect()))
+        return token_state.join(probes, ["article", "rev_id"], "left_semi")
+
+    cohort = spark.createDataFrame(spine, "article string, k int, token_id long")
+    found = {x.article: (x.before_rev, x.after_rev, x.drop, x.probed) for x in drift.refine(cohort, spans, revisions, read, p).collect()}
+    assert found == want and sum(x[3] > 4 for x in want.values()) > 5 and any(x[2] is None and x[3] for x in want.values())
+    assert len(asked) <= sum(x[3] for x in want.values()) < len(revs) / 2
+    assert {x.article: (x.before_rev, x.after_rev) for x in drift.refine(cohort, spans, revisions, token_state, p).collect()} == {a: x[:2] for a, x in want.items()}

@@ -119,3 +119,22 @@ def test_authors_from_token_provenance(spark):
     assert not shown[2].available and shown[2].authors_after == {}
     missing = pivots.unavailable_pairs(pivots.materialized_pivots(pairs, revisions.select("article", "rev_id", "text")))
     assert [(r.article, r.pairs) for r in missing.collect()] == [("a", ["2→9"])]
+
+
+def test_exact_selection(spark):
+    named = spark.createDataFrame([("a", 1, 30), ("a", 2, 10), ("a", 3, 20), ("b", 1, 10), ("c", 1, 10), ("c", 2, 10), ("d", 1, 10), ("d", 2, 11), ("d", 3, 12)], "article string, place int, rev_id long")
+    texts = spark.createDataFrame([(x, n, f"Same line here. Only {n}.") for x, n in (("a", 10), ("a", 20), ("a", 30), ("b", 10), ("c", 10), ("d", 10))] + [("d", 12, None)], "article string, rev_id long, text string")
+    found = pivots.exact_selection(named, texts)
+    assert sorted((r.article, r.reason or "", r.place or 0, r.rev_id or 0) for r in found.collect()) == [("a", "", 1, 30), ("a", "", 2, 10), ("a", "", 3, 20), ("b", "too_few_revisions", 0, 0), ("c", "repeated_revision", 0, 0), ("d", "revision_unavailable:11", 0, 0)]
+    pairs = pivots.selected_pairs(found)
+    assert sorted(map(tuple, pairs.collect())) == [("a", 10, 20), ("a", 30, 10)]  # in the caller's order
+    changes = claims.claim_transition(claims.claim_units(texts.where("text is not null")), pairs).collect()
+    assert sorted((r.before_rev, r.after_rev, r.retained, r.added, r.removed) for r in changes) == [(10, 20, 1, 1, 1), (30, 10, 1, 1, 1)]
+
+
+def test_fallbacks_by_article(spark):
+    held = spark.sql("select * from values ('a', 'rejected', false, null), ('b', 'rejected', false, null), ('c', 'confirmed', true, date '2010-01-01') t(article, status, is_fresh, start)")
+    episodes = spark.createDataFrame([], "article string, start date, age_years double, rank int")
+    dates = spark.sql("select * from values ('a', date '2015-01-01'), ('c', date '2016-01-01') t(article, date)")
+    assert {r["article"]: (str(r["pivot"]), r["source"]) for r in pivots.pivot_choice(held, held, episodes, dates).collect()} == {"a": ("2015-01-01", "fallback"), "b": ("None", "fallback"), "c": ("2010-01-01", "confirmed")}
+    assert {r["article"]: str(r["before"]) for r in pivots.before_date(held, episodes, dates).collect()} == {"a": "2015-01-01", "b": "None", "c": "2016-01-01"}
