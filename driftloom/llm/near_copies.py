@@ -4,8 +4,9 @@ The similar pairs are found without loss by prefixes. All distinct shingles of a
 all texts; of n shingles the first n - ceil(0.8 n) + 1 are its prefix, and two texts that are similar share a shingle of
 their prefixes. The order is by XXH64, with shingles that a sample of SAMPLE texts often has last; the sample decides how
 many candidates there are, not what is found. Pairs that size or place of their first common shingle rule out are left
-out, and so are those in one component already: first each text is compared with one text of each shingle's group,
-then what is still apart with all of the group. A text's sketch has BITS bits, each the parity of the number of its
+out, and so are those in one component already: first each text is compared with one text of each shingle's group, the
+least, and then HUBS times with one that a hash picks, so that large groups of copies meet in few comparisons; then what is
+still apart with all of the group. A text's sketch has BITS bits, each the parity of the number of its
 shingles that fall there, so two sketches differ in no more bits than the sets differ in shingles; the last of these joins has
 sketches folded to FOLDED words in its condition, candidates whose
 sketches differ in more bits than similar sets can are left out, then those whose sketches of FINE_BITS bits do, which
@@ -34,6 +35,8 @@ COMMON = 4
 #: Bits of the sketches of all texts and of those that these leave; multiples of 64.
 BITS = 1024
 FINE_BITS = 8192
+#: Rounds in which each text of a group meets one text that a hash picks from those still apart, before all of them meet.
+HUBS = 2
 #: 64-bit words of the folded sketches that the last join compares; divides BITS // 64.
 FOLDED = 4
 
@@ -171,6 +174,19 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return saved(roots.join(upper, "root", "left").select("h", F.coalesce("top", "root").alias("root")), "near-roots")
 
 
+def _close(fold_a: str, fold_b: str, a: str, b: str) -> Column:
+    """Whether folded sketches allow that texts are similar."""
+    bits = sum((F.bit_count(F.col(f"{fold_a}.f{k}").bitwiseXOR(F.col(f"{fold_b}.f{k}"))).cast("int") for k in range(FOLDED)), F.lit(0))
+    return 9 * bits <= F.col(f"{a}.n") + F.col(f"{b}.n")
+
+
+def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (shingle, b, fold) with their roots, of the shingles whose texts are in several components."""
+    now = rows.join(roots, F.col("b.h") == roots["h"]).select("shingle", "b", "fold", "root")
+    several = now.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
+    return saved(now.join(several, "shingle", "left_semi"), "near-apart")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, h (XXH64 of the text by Spark) and root, a number of the component, for each row."""
     small_batches(docs.sparkSession)
@@ -194,14 +210,20 @@ def near_components(docs: DataFrame) -> DataFrame:
     first = first.join(hubs, F.col("a") == F.col("a_h")).where("root <> hub_root").select("a", "b")
     roots = _joined(roots, similar(saved(first, "near-pairs"), texts, drawn))
 
-    apart = held.drop("root").join(roots, F.col("b.h") == roots["h"]).select("shingle", "b", "root")
-    mixed = apart.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
-    apart = apart.join(mixed, "shingle", "left_semi").join(folded(drawn).withColumnRenamed("h", "b_h"), F.col("b.h") == F.col("b_h")).drop("b_h")
-    apart = saved(apart, "near-apart")
+    fold = folded(drawn).withColumnRenamed("h", "b_h")
+    rows = saved(held.select("shingle", "b").join(fold, F.col("b.h") == F.col("b_h")).drop("b_h"), "near-folded")
     discard(held)
+    for k in range(HUBS):
+        apart = _mixed(rows, roots)
+        hub = apart.groupBy("shingle").agg(F.min_by(F.struct("b", "root", "fold"), F.xxhash64(F.lit(k), F.col("b.h"))).alias("hub"))
+        met = apart.join(hub, "shingle").where((F.col("root") != F.col("hub.root")) & _possible("hub.b", "b") & _close("hub.fold", "fold", "hub.b", "b"))
+        pairs = met.select(F.least(F.col("hub.b.h"), F.col("b.h")).alias("a"), F.greatest(F.col("hub.b.h"), F.col("b.h")).alias("b")).distinct()
+        pairs = saved(pairs, "near-pairs")
+        discard(apart)
+        roots = _joined(roots, similar(pairs, texts, drawn))
+    apart = _mixed(rows, roots)
     other = apart.select("shingle", F.col("b").alias("a"), F.col("root").alias("root_a"), F.col("fold").alias("fold_a"))
-    bits = sum((F.bit_count(F.col(f"fold.f{k}").bitwiseXOR(F.col(f"fold_a.f{k}"))).cast("int") for k in range(FOLDED)), F.lit(0))
     # all of it is the join's condition, so that only pairs which are worth a comparison leave it
-    pairs = other.join(apart, "shingle").where((F.col("root_a") < F.col("root")) & _possible("a", "b") & (9 * bits <= F.col("a.n") + F.col("b.n")))
+    pairs = other.join(apart, "shingle").where((F.col("root_a") < F.col("root")) & _possible("a", "b") & _close("fold_a", "fold", "a", "b"))
     roots = _joined(roots, similar(saved(pairs.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct(), "near-pairs"), texts, drawn))
     return labelled.select("doc_id", "h").join(roots, "h")
