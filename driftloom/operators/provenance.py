@@ -18,24 +18,32 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds for vandalism.
 LONG, SHRINKS, DENSE = 1000, 0.4, 20
-#: Token rows that are sent on at once.
+#: Tokens that are sent on at once.
 ROWS = 50_000
+#: Places of equal pairs of words that are held at once while two texts are aligned, and stretches from which numpy pays.
+MEETINGS, MANY = 4_000_000, 48
 PARAGRAPH_END = re.compile(r"\n[ \t\r\f\v]*\n\s*")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 TOKEN = re.compile(r"\w+|\[\[|\]\]|\{\{|\}\}|[^\w\s]")
 
-KIND = [("kind", pa.string()), ("article", pa.string()), ("rev_id", pa.int64()), ("place", pa.int32()), ("token_id", pa.int64()), ("str", pa.string()), ("o_rev_id", pa.int64()), ("ins", pa.list_(pa.int64())), ("outs", pa.list_(pa.int64()))]
-SCHEMA = "kind string, article string, rev_id long, place int, token_id long, str string, o_rev_id long, ins array<long>, outs array<long>"
+KINDS = ("state", "life")
+#: A state has a row a revision, with lists of its tokens in order; a life has a row a token.
+TOKENS = {"ids": pa.int64(), "strs": pa.string(), "origins": pa.int64(), "backs": pa.bool_()}
+LIFE = {"token_id": pa.int64(), "str": pa.string(), "o_rev_id": pa.int64(), "ins": pa.list_(pa.int64()), "outs": pa.list_(pa.int64())}
+COLUMNS = pa.schema([("kind", pa.string()), ("article", pa.string()), ("rev_id", pa.int64()), *((k, pa.list_(v)) for k, v in TOKENS.items()), *LIFE.items()])
+SCHEMA = "kind string, article string, rev_id long, ids array<long>, strs array<string>, origins array<long>, backs array<boolean>, token_id long, str string, o_rev_id long, ins array<long>, outs array<long>"
 
 
 def structure(text: str) -> list[list[list[str]]]:
@@ -53,6 +61,70 @@ def _digest(parts: list[str] | list[bytes]) -> bytes:
     return hashlib.blake2b(joined, digest_size=16).digest()
 
 
+def _stretches(a: list[int], b: list[int]) -> np.ndarray | None:
+    """Columns of start in a, end in a, place in b less that in a: the longest runs of two or more equal words on each diagonal; None if too many places meet."""
+    x, y = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    base = int(y.max(initial=0)) + 2
+    x, y = np.where((x[:-1] >= 0) & (x[1:] >= 0), x[:-1] * base + x[1:], -1), y[:-1] * base + y[1:]
+    order = np.argsort(y, kind="stable")
+    first, last = np.searchsorted(y[order], x), np.searchsorted(y[order], x, "right")
+    n = last - first
+    if (met := int(n.sum())) > MEETINGS:
+        return None
+    i = np.repeat(np.arange(len(x)), n)
+    j = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(met)]
+    key = np.sort((j - i + len(a)) * (len(a) + 1) + i)
+    cuts = np.flatnonzero(np.diff(key, prepend=-9) != 1)
+    ends = np.append(cuts[1:], len(key)) if len(cuts) else cuts
+    start = key[cuts] % (len(a) + 1)
+    return np.stack([start, start + ends - cuts + 1, key[cuts] // (len(a) + 1) - len(a)])
+
+
+def matching_blocks(old: list[str], new: list[str]) -> Iterator[tuple[int, int, int]]:
+    """The blocks of SequenceMatcher(None, old, new, autojunk=False), in any order; neighbouring ones aren't joined.
+
+    The longest block goes first (of equal ones the first in old, then in new), then what lies before and after it. Blocks of
+    two words or more come from the runs of equal pairs of words, which are found once; between them single words meet from left to right.
+    """
+    codes: dict[str, int] = {}
+    b = [codes.setdefault(w, len(codes)) for w in new]
+    a = [codes.get(w, -1) for w in old]
+    runs = _stretches(a, b) if len(a) > 1 and len(b) > 1 else np.empty((3, 0), dtype=np.int64)
+    if runs is None:
+        yield from SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks()
+        return
+    places: dict[int, list[int]] = {}
+    for j, w in enumerate(b):
+        places.setdefault(w, []).append(j)
+    todo: list = [(0, len(a), 0, len(b), runs)]
+    while todo:
+        i0, i1, j0, j1, own = todo.pop()
+        if i0 >= i1 or j0 >= j1:
+            continue
+        if not isinstance(own, list):
+            start, end = np.maximum(np.maximum(own[0], i0), j0 - own[2]), np.minimum(np.minimum(own[1], i1), j1 - own[2])
+            own = np.stack([start, end, own[2]])[:, end - start > 1]
+            if own.shape[1] < MANY:
+                own = list(zip(*own.tolist(), strict=True))
+            else:
+                most = own[:, (own[1] - own[0]) == (own[1] - own[0]).max()]
+                most = most[:, most[0] == most[0].min()]
+                i, to, d = most[:, most[2].argmin()].tolist()
+        if isinstance(own, list):
+            within = ((max(s, i0, j0 - d), min(e, i1, j1 - d), d) for s, e, d in own)
+            own = [x for x in within if x[1] - x[0] > 1]
+            if not own:
+                for i in range(i0, i1):
+                    held = places.get(a[i])
+                    if held and (k := bisect_left(held, j0)) < len(held) and held[k] < j1:
+                        yield i, held[k], 1
+                        j0 = held[k] + 1
+                continue
+            i, to, d = min(own, key=lambda x: (x[0] - x[1], x[0], x[2]))
+        yield i, i + d, to - i
+        todo += [(i0, i, j0, i + d, own), (to, i1, to + d, j1, own)]
+
+
 class Ledger:
     """The tokens of one article and what its last revision holds."""
 
@@ -92,7 +164,7 @@ class Ledger:
         gone = [t for t in self.tokens() if t not in used]
         words = [w for at, k in left for w in paragraphs[at][k][1]]
         matched: list[int | None] = [None] * len(words)
-        for i, j, n in SequenceMatcher(None, [self.words[t] for t in gone], words, autojunk=False).get_matching_blocks() if gone and words else ():
+        for i, j, n in matching_blocks([self.words[t] for t in gone], words) if gone and words else ():
             matched[j : j + n] = gone[i : i + n]
         fresh = Counter(w for w, t in zip(words, matched, strict=True) if t is None)
         if self.pass_over and fresh and fresh.total() / len(fresh) > DENSE:
@@ -159,56 +231,78 @@ class Ledger:
 
 
 class _Rows:
-    """Token rows, sent on in batches of ROWS."""
+    """Rows of both kinds, sent on in batches of about ROWS tokens."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple] = []
-
-    def add(self, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        for row in rows:
-            self.rows.append(row)
-            if len(self.rows) >= ROWS:
+        self._clear()
+
+    def _clear(self) -> None:
+        self.states: list[tuple[str, int, int]] = []
+        self.tokens: dict[str, list] = {k: [] for k in TOKENS}
+        self.lives: list[tuple[str, int]] = []
+        self.facts: dict[str, list] = {k: [] for k in LIFE}
+
+    def state(self, article: str, rev_id: int, ledger: Ledger) -> Iterator[pa.RecordBatch]:
+        ids = ledger.tokens()
+        if not ids:
+            return
+        self.states.append((article, rev_id, len(ids)))
+        for k, own in (("ids", ids), ("strs", map(ledger.words.__getitem__, ids)), ("origins", map(ledger.origins.__getitem__, ids)), ("backs", (ledger.ins[t][-1:] == [rev_id] for t in ids))):
+            self.tokens[k].extend(own)
+        if len(self.tokens["ids"]) >= ROWS:
+            yield from self.flush()
+
+    def life(self, article: str | None, newest: int, ledger: Ledger | None) -> Iterator[pa.RecordBatch]:
+        n = len(ledger.words) if ledger is not None else 0
+        for at in range(0, n, ROWS):
+            to = min(at + ROWS, n)
+            self.lives += [(article, newest)] * (to - at)
+            for k, own in (("token_id", range(at, to)), ("str", ledger.words[at:to]), ("o_rev_id", ledger.origins[at:to]), ("ins", ledger.ins[at:to]), ("outs", ledger.outs[at:to])):
+                self.facts[k].extend(own)
+            if len(self.lives) >= ROWS:
                 yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*self.rows, strict=True), KIND, strict=True)], [n for n, _ in KIND])
-            self.rows = []
-
+        if self.states:
+            articles, revs, sizes = zip(*self.states, strict=True)
+            offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+            lists = {k: pa.ListArray.from_arrays(offsets, pa.array(self.tokens[k], v)) for k, v in TOKENS.items()}
+            yield self._batch("state", articles, revs, lists)
+        if self.lives:
+            articles, revs = zip(*self.lives, strict=True)
+            yield self._batch("life", articles, revs, {k: pa.array(self.facts[k], v) for k, v in LIFE.items()})
+        self._clear()
 
-def _fold(batches: Iterator[pa.RecordBatch], pass_over: bool) -> Iterator[pa.RecordBatch]:
-    """Batches of (article, rev_id, text, comment, wanted), each article's rows together and in order."""
-    out, article, newest, ledger = _Rows(), None, 0, None
+    @staticmethod
+    def _batch(kind: str, articles: tuple, revs: tuple, columns: dict) -> pa.RecordBatch:
+        columns = {"kind": pa.array([kind] * len(revs)), "article": pa.array(articles, pa.string()), "rev_id": pa.array(revs, pa.int64()), **columns}
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(revs), f.type)) for f in COLUMNS], schema=COLUMNS)
 
-    def lives() -> Iterator[tuple]:
-        if ledger is not None:
-            yield from (("life", article, newest, None, t, w, o, i, x) for t, (w, o, i, x) in enumerate(zip(ledger.words, ledger.origins, ledger.ins, ledger.outs, strict=True)))
 
+def _fold(batches: Iterator[pa.RecordBatch], pass_over: bool, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Batches of (article, rev_id, text, comment, wanted), each article's rows together and in order; a repeated revision counts once."""
+    out, article, newest, ledger, seen = _Rows(), None, 0, None, set()
     for batch in batches:
         names, ids, comments, wanted = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
         for name, rev_id, text, comment, asked in zip(names, ids, batch.column(2), comments, wanted, strict=True):
             if ledger is None or name != article:
-                yield from out.add(lives())
-                article, ledger = name, Ledger(pass_over)
+                if "life" in kinds:
+                    yield from out.life(article, newest, ledger)
+                article, ledger, seen = name, Ledger(pass_over), set()
+            if rev_id in seen:
+                continue
+            seen.add(rev_id)
             if ledger.add(rev_id, text.as_py() or "", comment):
                 newest = rev_id
-                if asked:
-                    yield from out.add(("state", article, rev_id, place, t, ledger.words[t], ledger.origins[t], None, None) for place, t in enumerate(ledger.tokens()))
-    yield from out.add(lives())
+                if asked and "state" in kinds:
+                    yield from out.state(article, rev_id, ledger)
+    if "life" in kinds:
+        yield from out.life(article, newest, ledger)
     yield from out.flush()
 
 
-def token_provenance(revisions: DataFrame, targets: DataFrame | None = None, pass_over: bool = True) -> DataFrame:
-    """Token rows of two kinds: `state`, a token at a place of a wanted revision, and `life`, a token with the revisions that
-    put it back (ins) and took it out (outs) up to the newest revision that was read (rev_id).
-
-    revisions: article, rev_id, text and, if known, ts and comment. targets: article, rev_id of the wanted revisions; without
-    it all are wanted. Revisions beyond an article's newest target and articles without one aren't read, so that an empty
-    table of targets gives nothing. Wanted revisions that were passed over have no row; without pass_over none is. Null texts are empty; a repeated
-    revision counts once, a null rev_id or article not at all. Revisions go by ts, those without one first, then by rev_id.
-
-    Both kinds come from one pass: save the result and read each with states() and lives().
-    """
+def _provenance(revisions: DataFrame, targets: DataFrame | None, pass_over: bool, kinds: tuple[str, ...]) -> DataFrame:
+    """SCHEMA. Texts are dealt out by article once, and not at all if they are already."""
     ts = F.col("ts") if "ts" in revisions.columns else F.lit(None).cast("timestamp")
     comment = F.col("comment") if "comment" in revisions.columns else F.lit(None)
     rows = revisions.where("article is not null and rev_id is not null").select("article", F.col("rev_id").cast("long").alias("rev_id"), ts.alias("ts"), "text", comment.cast("string").alias("comment"))
@@ -218,9 +312,33 @@ def token_provenance(revisions: DataFrame, targets: DataFrame | None = None, pas
         asked = targets.where("rev_id is not null").groupBy("article").agg(F.max("rev_id").cast("long").alias("newest"))
         named = targets.select("article", F.col("rev_id").cast("long").alias("rev_id"), F.lit(True).alias("wanted")).distinct()
         rows = rows.join(asked, "article").where("rev_id <= newest").join(named, ["article", "rev_id"], "left").drop("newest").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-    once = rows.dropDuplicates(["article", "rev_id"])
-    ordered = once.repartition("article").sortWithinPartitions("article", F.col("ts").asc_nulls_first(), "rev_id")
-    return ordered.select("article", "rev_id", "text", "comment", "wanted").mapInArrow(lambda batches: _fold(batches, pass_over), SCHEMA)
+    ordered = rows.repartition("article").sortWithinPartitions("article", F.col("ts").asc_nulls_first(), "rev_id")
+    return ordered.select("article", "rev_id", "text", "comment", "wanted").mapInArrow(lambda batches: _fold(batches, pass_over, kinds), SCHEMA)
+
+
+def token_provenance(revisions: DataFrame, targets: DataFrame | None = None, pass_over: bool = True, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Token rows of two kinds: `state`, a token at a place of a wanted revision (back: put back by it), and `life`, a token with the revisions that
+    put it back (ins) and took it out (outs) up to the newest revision that was read (rev_id).
+
+    revisions: article, rev_id, text and, if known, ts and comment. targets: article, rev_id of the wanted revisions; without
+    it all are wanted. Revisions beyond an article's newest target and articles without one aren't read, so that an empty
+    table of targets gives nothing. Wanted revisions that were passed over have no row; without pass_over none is. Null texts are empty; a repeated
+    revision counts once (the earliest), a null rev_id or article not at all. Revisions go by ts, those without one first, then by rev_id.
+
+    Both kinds come from one pass: save the result and read each with states() and lives(), or ask for one of the kinds alone.
+    """
+    rows = _provenance(revisions, targets, pass_over, kinds).withColumn("t", F.arrays_zip(*TOKENS)).drop(*TOKENS)
+    rows = rows.select("*", F.posexplode_outer("t").alias("place", "at")).drop("t")
+    own = lambda k, column: F.coalesce(f"at.{k}", column).alias(column)
+    return rows.select("kind", "article", "rev_id", "place", own("ids", "token_id"), own("strs", "str"), own("origins", "o_rev_id"), F.col("at.backs").alias("back"), "ins", "outs")
+
+
+def revision_tokens(revisions: DataFrame, targets: DataFrame | None = None, pass_over: bool = True) -> DataFrame:
+    """token_provenance's states with one row a revision: article, rev_id and lists of its tokens' ids, strs, origins and backs in order.
+
+    Revisions without tokens have no row.
+    """
+    return _provenance(revisions, targets, pass_over, ("state",)).select("article", "rev_id", *TOKENS)
 
 
 def states(facts: DataFrame) -> DataFrame:
@@ -244,9 +362,8 @@ def snapshot_rows(facts: DataFrame, revisions: DataFrame) -> DataFrame:
 
 def origins_of(facts: DataFrame) -> DataFrame:
     """article, rev_id, n_tokens, n_new, n_back, share_kept: what each wanted revision brought, brought back and kept of the wanted one before."""
-    rows = states(facts).join(lives(facts).select("article", "token_id", "in"), ["article", "token_id"])
     n = lambda c: F.count(F.when(c, 1))
-    sums = rows.groupBy("article", "rev_id").agg(F.count(F.lit(1)).alias("n_tokens"), n(F.col("o_rev_id") == F.col("rev_id")).alias("n_new"), n(F.array_contains("in", F.col("rev_id"))).alias("n_back"))
+    sums = facts.where("kind = 'state'").groupBy("article", "rev_id").agg(F.count(F.lit(1)).alias("n_tokens"), n(F.col("o_rev_id") == F.col("rev_id")).alias("n_new"), n(F.col("back")).alias("n_back"))
     kept = F.col("n_tokens") - F.col("n_new") - F.col("n_back")
     before = F.lag("n_tokens").over(Window.partitionBy("article").orderBy("rev_id"))
     return sums.withColumn("share_kept", kept / before)

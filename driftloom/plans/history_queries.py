@@ -21,22 +21,21 @@ drafts as (select article, rev_id, text from (select article, 1::bigint rev_id,
 select article, rev_id, len(ts)::bigint n_tokens, len(ts)::bigint n_distinct, sha256(array_to_string(ts, ' ')) words_sha256, case when rev_id = 1 then len(ts) else 0 end::bigint own from t where len(ts) > 0""")
 def token_states(v: Views) -> DataFrame:
     """Every state holds the tokens of its text in order, each once; the first has no other's. own: tokens that came with revision 1, of it."""
-    rows = provenance.states(provenance.token_provenance(v.drafts, pass_over=False))
-    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "str"))), lambda x: x["str"]), " ")
-    own = F.count(F.when((F.col("rev_id") == 1) & (F.col("o_rev_id") == 1), 1))
-    return rows.groupBy("article", "rev_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("token_id").alias("n_distinct"), F.sha2(words, 256).alias("words_sha256"), own.alias("own"))
+    rows = provenance.revision_tokens(v.drafts, pass_over=False)
+    own = F.when(F.col("rev_id") == 1, F.size(F.filter("origins", lambda o: o == 1))).otherwise(0)
+    return rows.select("article", "rev_id", F.size("ids").cast("long").alias("n_tokens"), F.size(F.array_distinct("ids")).cast("long").alias("n_distinct"), F.sha2(F.array_join("strs", " "), 256).alias("words_sha256"), own.cast("long").alias("own"))
 
 
 @query()
 def token_lives(v: Views) -> DataFrame:
     """Tokens of all drafts with the revisions that took them out and put them back."""
-    return provenance.lives(provenance.token_provenance(v.drafts))
+    return provenance.lives(provenance.token_provenance(v.drafts, kinds=("life",)))
 
 
 @query()
 def revision_origins(v: Views) -> DataFrame:
     """What each draft brought, brought back and kept."""
-    return provenance.origins_of(provenance.token_provenance(v.drafts))
+    return provenance.origins_of(provenance.token_provenance(v.drafts, kinds=("state",)))
 
 
 _QUOTED = "replace(replace(replace(replace(url_encode(replace(title, ' ', '_')), '%28', '('), '%29', ')'), '%3A', ':'), '%2F', '/')"

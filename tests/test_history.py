@@ -11,6 +11,8 @@ from driftloom.operators import drift
 from driftloom.operators import provenance as pv
 from driftloom.operators.membership import membership
 from driftloom.params import Params
+from driftloom.plans import QUERIES
+from driftloom.plans.bindings import Views
 from driftloom.sources import export_files, history_tables, read_history
 
 HEAD = '<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.11/" version="0.11" xml:lang="en">\n  <siteinfo><sitename>W</sitename></siteinfo>\n  <page>\n    <title>{}</title>\n    <ns>0</ns>\n    <id>77</id>\n'
@@ -303,3 +305,34 @@ def test_refine(spark):
     assert found == want and sum(x[3] > 4 for x in want.values()) > 5 and any(x[2] is None and x[3] for x in want.values())
     assert len(asked) <= sum(x[3] for x in want.values()) < len(revs) / 2
     assert {x.article: (x.before_rev, x.after_rev) for x in drift.refine(cohort, spans, revisions, token_state, p).collect()} == {a: x[:2] for a, x in want.items()}
+
+
+@pytest.mark.parametrize("many", [1, 48])
+def test_blocks_are_those_of_sequence_matcher(monkeypatch, many):
+    """Runs clipped to what is left give the blocks that comparing every place gives."""
+    monkeypatch.setattr(pv, "MANY", many)
+    rng = random.Random(6)
+    cells = lambda blocks: sorted((i + k, j + k) for i, j, n in blocks for k in range(n))
+    for k in range(400):
+        kinds = rng.choice([1, 2, 3, 8, 40])
+        old = [str(rng.randrange(kinds)) for _ in range(rng.randrange(40))]
+        new = list(old) if k % 3 == 0 else [str(rng.randrange(kinds)) for _ in range(rng.randrange(40))]
+        for _ in range(k % 7):
+            if new:
+                new[rng.randrange(len(new))] = str(rng.randrange(kinds))
+        assert cells(pv.matching_blocks(old, new)) == cells(SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks())
+    monkeypatch.setattr(pv, "MEETINGS", 10)
+    assert cells(pv.matching_blocks(list("abababab"), list("babababa"))) == [(k, k + 1) for k in range(7)]
+
+
+def shuffles(df):
+    """How often a plan deals rows out anew."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_drafts_are_dealt_out_once(spark):
+    """The texts of all states go nowhere once documents lie by article, and no token row is shuffled."""
+    v = Views(spark, "/root/testdata/sf0.001")
+    assert shuffles(pv.revision_tokens(v.drafts)) == 1
+    assert shuffles(pv.token_provenance(v.drafts)) == 1
+    assert shuffles(QUERIES["token_states"](spark, "/root/testdata/sf0.001")) == 1
