@@ -138,3 +138,13 @@ def test_fallbacks_by_article(spark):
     dates = spark.sql("select * from values ('a', date '2015-01-01'), ('c', date '2016-01-01') t(article, date)")
     assert {r["article"]: (str(r["pivot"]), r["source"]) for r in pivots.pivot_choice(held, held, episodes, dates).collect()} == {"a": ("2015-01-01", "fallback"), "b": ("None", "fallback"), "c": ("2010-01-01", "confirmed")}
     assert {r["article"]: str(r["before"]) for r in pivots.before_date(held, episodes, dates).collect()} == {"a": "2015-01-01", "b": "None", "c": "2016-01-01"}
+
+
+def test_redline_deals_out_no_words(spark):
+    """Authors come to a pair as two maps: after the differences nothing is joined or dealt out."""
+    pairs = spark.createDataFrame([("a", 1, 2, "Old wall. Rain.", "Old wall. Snow now.")], "article string, before_rev long, after_rev long, before_text string, after_text string")
+    authors = spark.createDataFrame([("a", 1, "rain", "ann"), ("a", 2, "snow", "bob"), ("a", 2, "now", "cy")], "article string, rev_id long, word string, author string")
+    found = claims.redline(pairs, authors)
+    assert [(r.tag, r.removed_author, r.added_author) for r in found.collect()] == [("replace", "ann", "bob")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 2
