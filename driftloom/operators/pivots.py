@@ -125,24 +125,37 @@ def pivot_pairs(confirmations: DataFrame, exact: DataFrame, candidates: DataFram
     return candidates.select(*PIVOT).unionByName(rest.select(*PIVOT))
 
 
-def materialized_pivots(pairs: DataFrame, texts: DataFrame, authors: DataFrame | None = None) -> DataFrame:
+def materialized_pivots(pairs: DataFrame, texts: DataFrame, authors: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """pairs (article, before_rev, after_rev and others) with both texts; available tells whether neither is missing or empty.
 
     texts: article, rev_id (unique in an article), text. authors (article, rev_id, word, author): adds authors_before and
-    authors_after, maps from word to author that are empty where nothing is known. Only the revisions of pairs are read.
+    authors_after, maps from word to author that are empty where nothing is known.
+
+    Revisions and the ends of pairs are dealt out by article once, and revisions not at all if they are already, into as many
+    parts (None: Spark's own number). There each end follows its revision, and both ends of a pair meet.
     """
-    asked = pairs.select("article", F.explode(F.array("before_rev", "after_rev")).alias("rev_id")).distinct()
-    shown = texts.join(asked, ["article", "rev_id"], "left_semi")
-    of = lambda side: shown.select("article", F.col("rev_id").alias(f"{side}_rev"), F.col("text").alias(f"{side}_text"))
-    rows = pairs.join(of("before"), ["article", "before_rev"], "left").join(of("after"), ["article", "after_rev"], "left")
+    kinds = {"text": "string"} | ({} if authors is None else {"authors": "map<string,string>"})
+    of = lambda rows, **own: rows.select("article", F.col("rev_id").cast("long").alias("rev_id"), *(own.get(c, F.lit(None).cast(t)).alias(c) for c, t in kinds.items()), F.lit(None).cast(ends.schema["pair"].dataType).alias("pair"), F.lit(None).cast("int").alias("side"))
+    sides = F.array(*(F.struct(F.col(f"{side}_rev").cast("long").alias("rev_id"), F.lit(k).alias("side")) for k, side in enumerate(("before", "after"))))
+    ends = pairs.select("article", F.struct(*(c for c in pairs.columns if c != "article")).alias("pair"), F.explode(sides).alias("e"))
+    ends = ends.select("article", "e.rev_id", *(F.lit(None).cast(t).alias(c) for c, t in kinds.items()), "pair", "e.side")
+    ends = ends.repartition(parts, "article") if parts else ends.repartition("article")
+    rows = of(texts, text=F.col("text"))
+    if authors is not None:
+        words = authors.groupBy("article", "rev_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "author")))).alias("authors"))
+        rows = rows.unionByName(of(words, authors=F.col("authors")))
+    facts = Window.partitionBy("article", "rev_id").orderBy(F.col("side").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.unionByName(ends).withColumns({c: F.last(c, ignorenulls=True).over(facts) for c in kinds}).where("side is not null")
+    found = {f"{c}_{k}": F.first(F.when(F.col("side") == k, F.col(c)), ignorenulls=True) for c in kinds for k in (0, 1)}
+    # equal pairs count as often as they are there
+    both = met.groupBy("article", "pair").agg(F.count_if(F.col("side") == 0).alias("n"), *(x.alias(c) for c, x in found.items()))
+    both = both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    rows = both.select(*(F.col(c if c == "article" else f"pair.{c}") for c in pairs.columns), F.col("text_0").alias("before_text"), F.col("text_1").alias("after_text"), *([] if authors is None else ["authors_0", "authors_1"]))
     rows = rows.withColumn("available", (F.coalesce("before_text", F.lit("")) != "") & (F.coalesce("after_text", F.lit("")) != ""))
     if authors is None:
         return rows
-    known = authors.join(asked, ["article", "rev_id"], "left_semi").groupBy("article", "rev_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "author")))).alias("authors"))
-    for side in ("before", "after"):
-        rows = rows.join(known.select("article", F.col("rev_id").alias(f"{side}_rev"), F.col("authors").alias(f"authors_{side}")), ["article", f"{side}_rev"], "left")
-        rows = rows.withColumn(f"authors_{side}", F.coalesce(f"authors_{side}", F.create_map().cast("map<string,string>")))
-    return rows
+    own = {f"authors_{side}": F.coalesce(f"authors_{k}", F.create_map().cast("map<string,string>")) for k, side in enumerate(("before", "after"))}
+    return rows.withColumns(own).drop("authors_0", "authors_1")
 
 
 def unavailable_pairs(pivots: DataFrame) -> DataFrame:

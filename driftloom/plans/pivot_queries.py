@@ -184,9 +184,9 @@ def _draft_pivots(v: Views) -> DataFrame:
     return pivots.pivot_pairs(status, pivots.exact_pairs(odd), pivots.candidate_pairs(even))
 
 
-def draft_authors(v: Views) -> DataFrame:
+def draft_authors(v: Views, drafts: DataFrame | None = None) -> DataFrame:
     """Each draft's words, of authors by their place."""
-    rows = v.drafts.select("article", "rev_id", F.posexplode(F.split("text", " ")).alias("pos", "str"))
+    rows = (v.drafts if drafts is None else drafts).select("article", "rev_id", F.posexplode(F.split("text", " ")).alias("pos", "str"))
     tokens = rows.withColumn("author", F.concat(F.lit("u"), F.pmod(F.floor(F.col("pos") / 7) + F.col("rev_id"), F.lit(5))))
     return claims.word_authors(tokens, ("article", "rev_id"))
 
@@ -206,7 +206,9 @@ shown as (select article, n, place, place before_rev, place + 1 after_rev from d
   left join maps x on x.article = s.article and x.rev_id = before_rev left join maps y on y.article = s.article and y.rev_id = after_rev""")
 def materialized_pivots(v: Views) -> DataFrame:
     """Pivots of drafts with digests of both texts and of who wrote their words."""
-    rows = pivots.materialized_pivots(_draft_pivots(v), v.drafts, draft_authors(v))
+    parts = v.text_parts()
+    drafts = v.drafts_in(parts)
+    rows = pivots.materialized_pivots(_draft_pivots(v), drafts, draft_authors(v, drafts), parts)
     told = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","), 256)
     return rows.select(*pivots.PIVOT, "available", F.sha2("before_text", 256).alias("before_sha256"), F.sha2("after_text", 256).alias("after_sha256"), told("authors_before").alias("before_authors"), told("authors_after").alias("after_authors"))
 
@@ -214,7 +216,8 @@ def materialized_pivots(v: Views) -> DataFrame:
 @query(_DRAFT_PIVOTS + """ select s.article, list_filter(list(case when coalesce(b.text, '') = '' or coalesce(a.text, '') = '' then before_rev || '→' || after_rev end order by place), lambda x: x is not null) pairs
   from shown s left join drafts b on b.article = s.article and b.rev_id = before_rev left join drafts a on a.article = s.article and a.rev_id = after_rev group by 1""")
 def unavailable_pairs(v: Views) -> DataFrame:
-    return pivots.unavailable_pairs(pivots.materialized_pivots(_draft_pivots(v), v.drafts))
+    parts = v.text_parts()
+    return pivots.unavailable_pairs(pivots.materialized_pivots(_draft_pivots(v), v.drafts_in(parts), parts=parts))
 
 
 @query(_READY + """, fx as (select article, count(*) n, count(*) filter (where available) ready, string_agg(before_rev || '→' || after_rev, ', ' order by before_rev || '→' || after_rev) filter (where not available) missing from pv group by 1)
