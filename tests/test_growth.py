@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from driftloom.operators import pivots
+from driftloom.operators.membership import membership
 
 
 def exchanges(df, capsys):
@@ -26,3 +27,22 @@ def test_materialized_texts_move_once(spark, capsys):
         ("a", 2, 2, 8, "two", "two", True, {"two": "u"}, {"two": "u"}), ("a", 2, 9, 0, "two", None, False, {"two": "u"}, {}),
         ("b", 1, 2, 9, "", "four", False, {}, {"four": "u"}), ("c", 1, 2, 1, None, None, False, {}, {}),
     ]
+
+
+def test_membership_stays_where_it_is(spark, capsys):
+    """Tokens that are dealt out aren't dealt out again, nor held in a hash table; repeated rows count once."""
+    rows = [("a", day, rev, t) for day, rev, tokens in (("2001-01-01", 5, "xyx"), ("2002-01-01", 3, "y"), ("2003-01-01", 9, "xyy")) for t in tokens]
+    rsnap = spark.createDataFrame(rows, "article string, snap_date string, snap_rev long, token_id string").withColumn("snap_date", F.to_date("snap_date")).repartition(3, "article", "token_id")
+    df = membership(rsnap)
+    assert exchanges(df, capsys) == 1
+    df.explain()
+    assert "HashAggregate" not in capsys.readouterr().out
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([("a", 0, "x", 1, None, 2), ("a", 0, "y", 1, None, 1), ("a", 1, "y", 2, 0, 2), ("a", 2, "x", 2, 0, None), ("a", 2, "y", 3, 1, None)], key=str)
+
+
+def test_shipments_come_in_parts_of_bounded_size(spark):
+    from driftloom.plans.bindings import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    n = v.table("lineitem").count()
+    assert v._shipments(20, n // 7).rdd.getNumPartitions() == 1 + n // (n // 7)
