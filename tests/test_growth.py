@@ -46,3 +46,17 @@ def test_shipments_come_in_parts_of_bounded_size(spark):
     v = Views(spark, "/root/testdata/sf0.001")
     n = v.table("lineitem").count()
     assert v._shipments(20, n // 7).rdd.getNumPartitions() == 1 + n // (n // 7)
+
+
+def test_footprint_goes_in_parts(spark, monkeypatch):
+    """Seeds of few bytes that make many rows don't make them in one task."""
+    from driftloom.operators import discovery
+
+    monkeypatch.setattr(discovery, "PART_ROWS", 10, raising=False)
+    contribs = spark.createDataFrame([(f"u{e}", f"t{t}", -2000) for e in range(3) for t in range(5)], "editor string, title string, sizediff long")
+    seeds = spark.createDataFrame([(f"a{k}", f"u{k % 3}") for k in range(12)] + [("a0", "u1"), ("a0", "u1")], "article string, editor string")
+    tested = spark.createDataFrame([("t4",)], "title string")
+    made = discovery.removal_footprint(contribs, seeds, tested)
+    assert made.rdd.getNumPartitions() == 6  # 13 seeds of 4 titles each: 52 rows
+    found = {(r.article, r.title): (r.editors, r.removed, r.edits) for r in made.collect()}
+    assert len(found) == 48 and found["a0", "t1"] == (2, 4000, 2) and found["a5", "t0"] == (1, 2000, 1)
