@@ -60,3 +60,23 @@ def test_footprint_goes_in_parts(spark, monkeypatch):
     assert made.rdd.getNumPartitions() == 6  # 13 seeds of 4 titles each: 52 rows
     found = {(r.article, r.title): (r.editors, r.removed, r.edits) for r in made.collect()}
     assert len(found) == 48 and found["a0", "t1"] == (2, 4000, 2) and found["a5", "t0"] == (1, 2000, 1)
+
+
+def test_candidates_without_the_words_are_not_compared(monkeypatch):
+    """A passage near an item in the latent space whose text lacks the item's words costs no comparison; others are found as before."""
+    import numpy as np
+    import pyarrow as pa
+
+    from driftloom.llm import lsa_decontam as L
+
+    space = L.Space(np.ones((L.BUCKETS, 4), np.float32))  # all are alike
+    asked = []
+    share = L.Items.share
+    monkeypatch.setattr(L.Items, "share", lambda self, k, *rest: asked.append(k) or share(self, k, *rest))
+    item, empty = "one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta iota"
+    monkeypatch.setattr(L.F, "arrow_udf", lambda kind: lambda f: f)
+    monkeypatch.setattr(L, "small_batches", lambda *_: None)
+    texts = pa.array([f"so {item} it is", "nothing of it is here " * 9, None, item.replace("two ", "").replace("six", "6")])
+    found = next(iter(L.found_column(iter([texts]), [(1, item), (2, empty), (3, "")], space)))
+    assert [[(x["item"], x["share"]) for x in row] for row in found.to_pylist()] == [[(1, 1.0)], [], [], [(1, 0.8)]]
+    assert set(asked) == {0}
