@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from driftloom.llm.near_copies import BITS, FINE_BITS, prefix, shingle_hashes, sketch
+from driftloom.llm.near_copies import BITS, FINE_BITS, closest, prefix, shingle_hashes, sketch
 
 from . import brute
 
@@ -72,3 +72,10 @@ def test_sketches_of_similar_sets():
             apart = int(np.bitwise_count((sketch(a, bits) ^ sketch(b, bits)).view(np.uint64)).sum())
             assert apart <= len(np.setxor1d(a, b))
     assert int(np.bitwise_count(sketch(np.arange(BITS, dtype=np.uint64)).view(np.uint64)).sum()) == BITS
+
+
+def test_two_components_meet_in_their_closest_texts(spark):
+    """However many texts they have; before, all pairs of their texts were compared."""
+    rows = [(1, 2, 0.1 + (a - 7) ** 2 + (b - 40) ** 2, a, b) for a in range(30) for b in range(30, 60)] + [(1, 3, 0.5, 4, 70), (2, 3, 0.5, 33, 70), (2, 3, 0.5, 32, 71)]
+    pairs = spark.createDataFrame(rows, "root_a long, root long, off double, a long, b long")
+    assert sorted(map(tuple, closest(pairs).collect())) == [(4, 70), (7, 40), (32, 71)]
