@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from driftloom.operators import pivots
+from driftloom.operators import drift, pivots
 from driftloom.operators.membership import membership
 
 
@@ -80,3 +80,13 @@ def test_candidates_without_the_words_are_not_compared(monkeypatch):
     found = next(iter(L.found_column(iter([texts]), [(1, item), (2, empty), (3, "")], space)))
     assert [[(x["item"], x["share"]) for x in row] for row in found.to_pylist()] == [[(1, 1.0)], [], [], [(1, 0.8)]]
     assert set(asked) == {0}
+
+
+def test_tokens_of_other_snapshots_are_not_dealt_out(spark, capsys):
+    """A spine meets the tokens of its windows' ends alone, which a small table of ends picks."""
+    member = spark.createDataFrame([("a", k, t) for k, tokens in enumerate(("xyz", "xz", "x", "xyz")) for t in tokens], "article string, k int, token_id string")
+    windows = spark.createDataFrame([("a", 0, 2)], "article string, k int, end_k int")
+    df = drift.endpoint_refine(member.where("k = 0"), member, windows)
+    assert [tuple(r) for r in df.collect()] == [("a", 0, 2, 3, 1 - 1 / 3)]
+    df.explain()
+    assert "LeftSemi" in capsys.readouterr().out
