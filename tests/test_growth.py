@@ -1,5 +1,6 @@
 """Steps whose shuffles or memory once grew faster than their input."""
 
+import os
 import re
 
 from pyspark.sql import functions as F
@@ -90,3 +91,46 @@ def test_tokens_of_other_snapshots_are_not_dealt_out(spark, capsys):
     assert [tuple(r) for r in df.collect()] == [("a", 0, 2, 3, 1 - 1 / 3)]
     df.explain()
     assert "LeftSemi" in capsys.readouterr().out
+
+
+def claims_of_dealt_texts(spark):
+    from driftloom.operators import claims
+
+    rows = [("a", 1, "Old walls stand. A cat sleeps on the warm stone."), ("a", 2, "Old walls stood. A cat sleeps on the warm stones. New."), ("a", 3, "Old walls stood. New."), ("b", 1, "One."), ("b", 2, "One."), ("c", 1, None)]
+    texts = spark.createDataFrame(rows, "article string, rev_id long, text string").repartition(3, "article")
+    return claims.claim_units(texts), claims.revision_pairs(texts)
+
+
+def stays_by_article(spark, capsys, df, before, most):
+    """No table was put aside for df, and it deals out texts by article alone, most times at most."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) == before
+    assert exchanges(df, capsys) <= most
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
+
+
+def test_alike_claims_of_a_pair_stay_by_article(spark, capsys):
+    """What is left over of two revisions meets where their texts lie: nothing is put aside or dealt out by bands."""
+    from driftloom.operators import claims
+
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    df = claims.claim_match_fuzzy(*claims_of_dealt_texts(spark))
+    assert stays_by_article(spark, capsys, df, before, 2) == []  # the texts, for units and for pairs
+    assert [(r.article, r.before_rev, r.after_rev, r.i, r.j) for r in df.collect()] == [("a", 1, 2, 1, 1)]
+
+
+def test_likeness_is_that_of_difflib():
+    import random
+    from difflib import SequenceMatcher
+
+    from driftloom.operators.claims import likeness
+
+    r = random.Random(7)
+    for n in range(3000):
+        letters = r.choice(["ab", "abc d", "abcdefghijklm ß𝄞"])
+        a = "".join(r.choice(letters) for _ in range(r.randrange(r.choice([3, 30, 230]))))
+        b = list(a) if n % 3 else [r.choice(letters) for _ in range(r.randrange(40))]
+        for _ in range(r.randrange(9)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randrange(3)] = r.choice(["", "x", "ab"])
+        assert likeness(a, "".join(b)) == SequenceMatcher(None, a, "".join(b)).ratio()
