@@ -119,6 +119,17 @@ def test_alike_claims_of_a_pair_stay_by_article(spark, capsys):
     assert [(r.article, r.before_rev, r.after_rev, r.i, r.j) for r in df.collect()] == [("a", 1, 2, 1, 1)]
 
 
+def test_transitions_deal_out_counts_alone(spark, capsys):
+    from driftloom.operators import claims
+
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    df = claims.claim_transition(*claims_of_dealt_texts(spark))
+    moved = stays_by_article(spark, capsys, df, before, 3)
+    assert len(moved) == 1 and "before_rev" in moved[0]  # a row a pair, after its claims were summed up
+    found = {(r.article, r.before_rev): (r.retained, r.relocated, r.added, r.removed) for r in df.collect()}
+    assert found == {("a", 1): (1, 0, 2, 1), ("a", 2): (2, 0, 0, 1), ("b", 1): (1, 0, 0, 0)}
+
+
 def test_likeness_is_that_of_difflib():
     import random
     from difflib import SequenceMatcher
