@@ -130,6 +130,16 @@ def test_transitions_deal_out_counts_alone(spark, capsys):
     assert found == {("a", 1): (1, 0, 2, 1), ("a", 2): (2, 0, 0, 1), ("b", 1): (1, 0, 0, 0)}
 
 
+def test_persistence_deals_out_new_claims_alone(spark, capsys):
+    """Claims that stand stay by article with their revisions; those that came are met there."""
+    from driftloom.operators import claims
+
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    df = claims.claim_persistence(*claims_of_dealt_texts(spark))
+    stays_by_article(spark, capsys, df, before, 9)
+    assert sorted((r.article, r.after_rev, r.persistence, r.standing) for r in df.collect()) == [("a", 2, 1, True), ("a", 2, 1, True)]
+
+
 def test_likeness_is_that_of_difflib():
     import random
     from difflib import SequenceMatcher
