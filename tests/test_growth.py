@@ -155,3 +155,13 @@ def test_likeness_is_that_of_difflib():
             k = r.randrange(len(b) + 1)
             b[k : k + r.randrange(3)] = r.choice(["", "x", "ab"])
         assert likeness(a, "".join(b)) == SequenceMatcher(None, a, "".join(b)).ratio()
+
+
+def test_redline_of_dealt_texts_deals_out_documents_alone(spark):
+    """Both texts of a pair and the maps of their authors come from one deal of the documents."""
+    from driftloom.plans import QUERIES
+
+    plan = QUERIES["redline"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and all("REPARTITION_BY_NUM" in line for line in moved)
+    assert "Join" not in plan
