@@ -301,8 +301,8 @@ def _fold(batches: Iterator[pa.RecordBatch], pass_over: bool, kinds: tuple[str,
     yield from out.flush()
 
 
-def _provenance(revisions: DataFrame, targets: DataFrame | None, pass_over: bool, kinds: tuple[str, ...]) -> DataFrame:
-    """SCHEMA. Texts are dealt out by article once, and not at all if they are already."""
+def _provenance(revisions: DataFrame, targets: DataFrame | None, pass_over: bool, kinds: tuple[str, ...], parts: int | None) -> DataFrame:
+    """SCHEMA. Texts are dealt out by article once, into so many parts (None: Spark's own number), and not at all if they are already."""
     ts = F.col("ts") if "ts" in revisions.columns else F.lit(None).cast("timestamp")
     comment = F.col("comment") if "comment" in revisions.columns else F.lit(None)
     rows = revisions.where("article is not null and rev_id is not null").select("article", F.col("rev_id").cast("long").alias("rev_id"), ts.alias("ts"), "text", comment.cast("string").alias("comment"))
@@ -312,11 +312,12 @@ def _provenance(revisions: DataFrame, targets: DataFrame | None, pass_over: bool
         asked = targets.where("rev_id is not null").groupBy("article").agg(F.max("rev_id").cast("long").alias("newest"))
         named = targets.select("article", F.col("rev_id").cast("long").alias("rev_id"), F.lit(True).alias("wanted")).distinct()
         rows = rows.join(asked, "article").where("rev_id <= newest").join(named, ["article", "rev_id"], "left").drop("newest").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-    ordered = rows.repartition("article").sortWithinPartitions("article", F.col("ts").asc_nulls_first(), "rev_id")
+    dealt = rows.repartition(parts, "article") if parts else rows.repartition("article")
+    ordered = dealt.sortWithinPartitions("article", F.col("ts").asc_nulls_first(), "rev_id")
     return ordered.select("article", "rev_id", "text", "comment", "wanted").mapInArrow(lambda batches: _fold(batches, pass_over, kinds), SCHEMA)
 
 
-def token_provenance(revisions: DataFrame, targets: DataFrame | None = None, pass_over: bool = True, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def token_provenance(revisions: DataFrame, targets: DataFrame | None = None, pass_over: bool = True, kinds: tuple[str, ...] = KINDS, parts: int | None = None) -> DataFrame:
     """Token rows of two kinds: `state`, a token at a place of a wanted revision (back: put back by it), and `life`, a token with the revisions that
     put it back (ins) and took it out (outs) up to the newest revision that was read (rev_id).
 
@@ -324,21 +325,22 @@ def token_provenance(revisions: DataFrame, targets: DataFrame | None = None, pas
     it all are wanted. Revisions beyond an article's newest target and articles without one aren't read, so that an empty
     table of targets gives nothing. Wanted revisions that were passed over have no row; without pass_over none is. Null texts are empty; a repeated
     revision counts once (the earliest), a null rev_id or article not at all. Revisions go by ts, those without one first, then by rev_id.
+    A task sorts the texts of its part, so that parts (see _provenance) should grow in number with the texts.
 
     Both kinds come from one pass: save the result and read each with states() and lives(), or ask for one of the kinds alone.
     """
-    rows = _provenance(revisions, targets, pass_over, kinds).withColumn("t", F.arrays_zip(*TOKENS)).drop(*TOKENS)
+    rows = _provenance(revisions, targets, pass_over, kinds, parts).withColumn("t", F.arrays_zip(*TOKENS)).drop(*TOKENS)
     rows = rows.select("*", F.posexplode_outer("t").alias("place", "at")).drop("t")
     own = lambda k, column: F.coalesce(f"at.{k}", column).alias(column)
     return rows.select("kind", "article", "rev_id", "place", own("ids", "token_id"), own("strs", "str"), own("origins", "o_rev_id"), F.col("at.backs").alias("back"), "ins", "outs")
 
 
-def revision_tokens(revisions: DataFrame, targets: DataFrame | None = None, pass_over: bool = True) -> DataFrame:
+def revision_tokens(revisions: DataFrame, targets: DataFrame | None = None, pass_over: bool = True, parts: int | None = None) -> DataFrame:
     """token_provenance's states with one row a revision: article, rev_id and lists of its tokens' ids, strs, origins and backs in order.
 
     Revisions without tokens have no row.
     """
-    return _provenance(revisions, targets, pass_over, ("state",)).select("article", "rev_id", *TOKENS)
+    return _provenance(revisions, targets, pass_over, ("state",), parts).select("article", "rev_id", *TOKENS)
 
 
 def states(facts: DataFrame) -> DataFrame:

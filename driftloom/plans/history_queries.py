@@ -21,7 +21,8 @@ drafts as (select article, rev_id, text from (select article, 1::bigint rev_id,
 select article, rev_id, len(ts)::bigint n_tokens, len(ts)::bigint n_distinct, sha256(array_to_string(ts, ' ')) words_sha256, case when rev_id = 1 then len(ts) else 0 end::bigint own from t where len(ts) > 0""")
 def token_states(v: Views) -> DataFrame:
     """Every state holds the tokens of its text in order, each once; the first has no other's. own: tokens that came with revision 1, of it."""
-    rows = provenance.revision_tokens(v.drafts, pass_over=False)
+    parts = v.text_parts()
+    rows = provenance.revision_tokens(v.drafts_in(parts), pass_over=False, parts=parts)
     own = F.when(F.col("rev_id") == 1, F.size(F.filter("origins", lambda o: o == 1))).otherwise(0)
     return rows.select("article", "rev_id", F.size("ids").cast("long").alias("n_tokens"), F.size(F.array_distinct("ids")).cast("long").alias("n_distinct"), F.sha2(F.array_join("strs", " "), 256).alias("words_sha256"), own.cast("long").alias("own"))
 

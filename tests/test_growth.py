@@ -165,3 +165,19 @@ def test_redline_of_dealt_texts_deals_out_documents_alone(spark):
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert moved and all("REPARTITION_BY_NUM" in line for line in moved)
     assert "Join" not in plan
+
+
+def dealt_in_parts(spark, query, folder="/root/testdata/sf0.01"):
+    """Whether the documents of a query are dealt out once, into parts of about equal numbers of characters."""
+    from driftloom.plans import QUERIES
+    from driftloom.plans.bindings import Views
+
+    parts = Views(spark, folder).text_parts()
+    plan = QUERIES[query](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert parts > 2
+    return len(moved) == 1 and f", {parts}), REPARTITION_BY_NUM" in moved[0]
+
+
+def test_token_states_come_in_parts_of_bounded_size(spark):
+    assert dealt_in_parts(spark, "token_states")
