@@ -19,9 +19,9 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,8 @@ ROWS = 50_000
 #: Places of equal pairs of words that are held at once while two texts are aligned, and stretches from which numpy pays.
 MEETINGS, MANY = 4_000_000, 48
 PARAGRAPH_END = re.compile(r"\n[ \t\r\f\v]*\n\s*")
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
+#: White space after a terminal mark, or new lines; it starts with a class, by which places are found sooner.
+SENTENCE_END = re.compile(r"\s(?:(?<=[.!?]\s)\s*|(?<=\n)\n*)")
 TOKEN = re.compile(r"\w+|\[\[|\]\]|\{\{|\}\}|[^\w\s]")
 
 KINDS = ("state", "life")
@@ -46,14 +47,29 @@ COLUMNS = pa.schema([("kind", pa.string()), ("article", pa.string()), ("rev_id",
 SCHEMA = "kind string, article string, rev_id long, ids array<long>, strs array<string>, origins array<long>, backs array<boolean>, token_id long, str string, o_rev_id long, ins array<long>, outs array<long>"
 
 
+Sentence = tuple[bytes, list[str]]
+
+
 def structure(text: str) -> list[list[list[str]]]:
     """Paragraphs of sentences of lower-case tokens; those without a token are left out."""
-    found = []
+    return [[tokens for _, tokens in p] for p in _structure(text, {})[0]]
+
+
+def _structure(text: str, known: dict[str, Sentence]) -> tuple[list[list[Sentence]], dict[str, Sentence]]:
+    """structure with each sentence's digest, and all sentences by their text. known: such of another text."""
+    found, cut = [], {}
     for part in PARAGRAPH_END.split(text.lower()):
-        own = [t for s in SENTENCE_END.split(part) if (t := TOKEN.findall(s))]
+        own = []
+        for x in SENTENCE_END.split(part):
+            held = known.get(x) or cut.get(x)
+            if held is None and (tokens := TOKEN.findall(x)):
+                held = _digest(tokens), tokens
+            if held:
+                cut[x] = held
+                own.append(held)
         if own:
             found.append(own)
-    return found
+    return found, cut
 
 
 def _digest(parts: list[str] | list[bytes]) -> bytes:
@@ -94,8 +110,6 @@ def matching_blocks(old: list[str], new: list[str]) -> Iterator[tuple[int, int,
         yield from SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks()
         return
     places: dict[int, list[int]] = {}
-    for j, w in enumerate(b):
-        places.setdefault(w, []).append(j)
     todo: list = [(0, len(a), 0, len(b), runs)]
     while todo:
         i0, i1, j0, j1, own = todo.pop()
@@ -113,7 +127,16 @@ def matching_blocks(old: list[str], new: list[str]) -> Iterator[tuple[int, int,
         if isinstance(own, list):
             within = ((max(s, i0, j0 - d), min(e, i1, j1 - d), d) for s, e, d in own)
             own = [x for x in within if x[1] - x[0] > 1]
+            if not own and (i1 - i0) * (j1 - j0) <= MANY:
+                for i in range(i0, i1):
+                    if a[i] in (rest := b[j0:j1]):
+                        j0 += rest.index(a[i]) + 1
+                        yield i, j0 - 1, 1
+                continue
             if not own:
+                if not places:
+                    for j, w in enumerate(b):
+                        places.setdefault(w, []).append(j)
                 for i in range(i0, i1):
                     held = places.get(a[i])
                     if held and (k := bisect_left(held, j0)) < len(held) and held[k] < j1:
@@ -132,17 +155,22 @@ class Ledger:
         self.pass_over = pass_over
         self.words: list[str] = []
         self.origins: list[int] = []
-        self.ins: list[list[int]] = []
-        self.outs: list[list[int]] = []
+        #: Revisions that put tokens back and took them out, of tokens that have some.
+        self.ins: dict[int, list[int]] = {}
+        self.outs: dict[int, list[int]] = {}
         #: Token ids of each place at which a paragraph or sentence stood, by the digest of its words.
         self.known: dict[bytes, dict[tuple[int, ...], None]] = {}
-        #: The last revision: paragraphs as (digest, sentences), sentences as (digest, token ids).
-        self.last: list[tuple[bytes, list[tuple[bytes, tuple[int, ...]]]]] = []
+        #: The last revision: paragraphs as (digest, sentences, token ids), sentences as (digest, token ids).
+        self.last: list[tuple[bytes, list[tuple[bytes, tuple[int, ...]]], tuple[int, ...]]] = []
+        #: Tokens that the last revision put back.
+        self.back: set[int] = set()
+        #: Its sentences by their text.
+        self.cut: dict[str, Sentence] = {}
         self.size = 0
         self.passed: set[bytes] = set()
 
     def tokens(self) -> list[int]:
-        return [t for _, own in self.last for _, ids in own for t in ids]
+        return [t for _, _, ids in self.last for t in ids]
 
     def add(self, rev_id: int, text: str, comment: str | None) -> bool:
         """Take a revision; False if it was passed over."""
@@ -151,51 +179,59 @@ class Ledger:
         if self.pass_over and (cut or whole in self.passed):
             self.passed.add(whole)
             return False
-        paragraphs = [[(_digest(s), s) for s in p] for p in structure(text)]
+        paragraphs, sentences = _structure(text, self.cut)
         keys = [_digest([d for d, _ in p]) for p in paragraphs]
         used: set[int] = set()
+        earlier: list[tuple[int, ...]] = []
         held: list[list[tuple[int, ...] | None]] = [[None] * len(p) for p in paragraphs]
+        flat: list[tuple[int, ...] | None] = [None] * len(paragraphs)
 
-        left = self._match([(k, (k,)) for k in range(len(keys))], keys, [(d, self._flat(own)) for d, own in self.last], used, lambda at, ids: held.__setitem__(at, self._cut(ids, paragraphs[at])))
-        open_sentences = [(at, k) for (at,) in left for k in range(len(paragraphs[at]))]
-        last = [x for _, own in self.last for x in own if not used.intersection(x[1])]
-        left = self._match([(i, x) for i, x in enumerate(open_sentences)], [paragraphs[at][k][0] for at, k in open_sentences], last, used, lambda at, ids: held[open_sentences[at][0]].__setitem__(open_sentences[at][1], ids))
+        def take(at: int, ids: tuple[int, ...]) -> None:
+            held[at], flat[at] = self._cut(ids, paragraphs[at]), ids
+
+        changed = self._match(list(enumerate(range(len(keys)))), keys, [(d, ids) for d, _, ids in self.last], used, earlier, take)
+        open_sentences = [(at, k) for at in changed for k in range(len(paragraphs[at]))]
+        last = [x for _, own, _ in self.last for x in own if used.isdisjoint(x[1])]
+        left = self._match(list(enumerate(open_sentences)), [paragraphs[at][k][0] for at, k in open_sentences], last, used, earlier, lambda at, ids: held[open_sentences[at][0]].__setitem__(open_sentences[at][1], ids))
 
         gone = [t for t in self.tokens() if t not in used]
         words = [w for at, k in left for w in paragraphs[at][k][1]]
         matched: list[int | None] = [None] * len(words)
         for i, j, n in matching_blocks([self.words[t] for t in gone], words) if gone and words else ():
             matched[j : j + n] = gone[i : i + n]
-        fresh = Counter(w for w, t in zip(words, matched, strict=True) if t is None)
-        if self.pass_over and fresh and fresh.total() / len(fresh) > DENSE:
+        stays = set(matched)
+        fresh = [w for w, t in zip(words, matched, strict=True) if t is None] if None in stays else []
+        if self.pass_over and fresh and len(fresh) / len(set(fresh)) > DENSE:
             self.passed.add(whole)
             return False
 
+        new = len(self.words)
+        self.words += fresh
+        self.origins += [rev_id] * len(fresh)
+        if len(fresh) == len(matched):
+            matched = list(range(new, new + len(fresh)))
+        elif fresh:
+            ids = iter(range(new, new + len(fresh)))
+            matched = [next(ids) if t is None else t for t in matched]
         place = 0
         for at, k in left:
-            n = len(paragraphs[at][k][1])
-            held[at][k] = tuple(self._new(rev_id, w) if t is None else t for w, t in zip(words[place : place + n], matched[place : place + n], strict=True))
-            place += n
-        before = set(self.tokens())
-        self.last = [(key, [(d, ids) for (d, _), ids in zip(p, own, strict=True)]) for key, p, own in zip(keys, paragraphs, held, strict=True)]
-        self.size = len(text)
-        now = set()
-        for key, own in self.last:
-            for d, ids in own:
-                self.known.setdefault(d, {})[ids] = None
-                now.update(ids)
-            self.known.setdefault(key, {})[self._flat(own)] = None
-        for t in before - now:
-            self.outs[t].append(rev_id)
-        for t in now - before:
-            if self.origins[t] != rev_id:
-                self.ins[t].append(rev_id)
+            d, own = paragraphs[at][k]
+            held[at][k] = ids = tuple(matched[place : place + len(own)])
+            place += len(own)
+            self.known.setdefault(d, {})[ids] = None
+        for at in changed:  # places of the others are known
+            flat[at] = ids = tuple(chain.from_iterable(held[at]))
+            self.known.setdefault(keys[at], {})[ids] = None
+        for t in gone:
+            if t not in stays:
+                self.outs.setdefault(t, []).append(rev_id)
+        self.back = {t for ids in earlier for t in ids}.difference(self.tokens()) if earlier else set()
+        for t in self.back:
+            self.ins.setdefault(t, []).append(rev_id)
+        self.last = [(key, [(d, ids) for (d, _), ids in zip(p, own, strict=True)], ids) for key, p, own, ids in zip(keys, paragraphs, held, flat, strict=True)]
+        self.size, self.cut = len(text), sentences
         return True
 
-    @staticmethod
-    def _flat(own: list[tuple[bytes, tuple[int, ...]]]) -> tuple[int, ...]:
-        return tuple(t for _, ids in own for t in ids)
-
     @staticmethod
     def _cut(ids: tuple[int, ...], paragraph: list[tuple[bytes, list[str]]]) -> list[tuple[int, ...]]:
         out, place = [], 0
@@ -204,28 +240,23 @@ class Ledger:
             place += len(words)
         return out
 
-    def _new(self, rev_id: int, word: str) -> int:
-        self.words.append(word)
-        self.origins.append(rev_id)
-        self.ins.append([])
-        self.outs.append([])
-        return len(self.words) - 1
-
-    def _match(self, wanted: list, keys: list[bytes], last: list, used: set[int], take) -> list:
+    def _match(self, wanted: list, keys: list[bytes], last: list, used: set[int], earlier: list, take) -> list:
         """Give stretches of the last revision, then earlier ones, to the wanted places in order; returns what is left."""
         here: dict[bytes, list[tuple[int, ...]]] = {}
         for key, ids in last:
             here.setdefault(key, []).append(ids)
-        going: dict[bytes, Iterator[tuple[int, ...]]] = {}  # what was used once stays used, so that each place is looked at once
+        going: dict[bytes, Iterator[tuple[bool, tuple[int, ...]]]] = {}  # what was used once stays used, so that each place is looked at once
         left = []
         for (at, name), key in zip(wanted, keys, strict=True):
             if key not in going:
-                going[key] = iter([*here.get(key, ()), *self.known.get(key, ())])
-            found = next((ids for ids in going[key] if not used.intersection(ids)), None)
+                going[key] = chain(zip(repeat(True), here.get(key, ())), zip(repeat(False), self.known.get(key, ())))
+            now, found = next(((now, ids) for now, ids in going[key] if used.isdisjoint(ids)), (True, None))
             if found is None:
                 left.append(name)
             else:
                 used.update(found)
+                if not now:
+                    earlier.append(found)
                 take(at, found)
         return left
 
@@ -247,7 +278,7 @@ class _Rows:
         if not ids:
             return
         self.states.append((article, rev_id, len(ids)))
-        for k, own in (("ids", ids), ("strs", map(ledger.words.__getitem__, ids)), ("origins", map(ledger.origins.__getitem__, ids)), ("backs", (ledger.ins[t][-1:] == [rev_id] for t in ids))):
+        for k, own in (("ids", ids), ("strs", map(ledger.words.__getitem__, ids)), ("origins", map(ledger.origins.__getitem__, ids)), ("backs", map(ledger.back.__contains__, ids))):
             self.tokens[k].extend(own)
         if len(self.tokens["ids"]) >= ROWS:
             yield from self.flush()
@@ -257,8 +288,10 @@ class _Rows:
         for at in range(0, n, ROWS):
             to = min(at + ROWS, n)
             self.lives += [(article, newest)] * (to - at)
-            for k, own in (("token_id", range(at, to)), ("str", ledger.words[at:to]), ("o_rev_id", ledger.origins[at:to]), ("ins", ledger.ins[at:to]), ("outs", ledger.outs[at:to])):
+            for k, own in (("token_id", range(at, to)), ("str", ledger.words[at:to]), ("o_rev_id", ledger.origins[at:to])):
                 self.facts[k].extend(own)
+            for k, own in (("ins", ledger.ins), ("outs", ledger.outs)):
+                self.facts[k] += [(t + len(self.lives) - to, own[t]) for t in sorted(own) if at <= t < to]
             if len(self.lives) >= ROWS:
                 yield from self.flush()
 
@@ -270,9 +303,16 @@ class _Rows:
             yield self._batch("state", articles, revs, lists)
         if self.lives:
             articles, revs = zip(*self.lives, strict=True)
-            yield self._batch("life", articles, revs, {k: pa.array(self.facts[k], v) for k, v in LIFE.items()})
+            yield self._batch("life", articles, revs, {k: self._lists(self.facts[k], len(revs)) if k in ("ins", "outs") else pa.array(self.facts[k], v) for k, v in LIFE.items()})
         self._clear()
 
+    @staticmethod
+    def _lists(held: list[tuple[int, list[int]]], n: int) -> pa.ListArray:
+        """n lists, of which those that aren't empty are held with their places."""
+        sizes = np.zeros(n + 1, np.int32)
+        sizes[[at + 1 for at, _ in held]] = [len(x) for _, x in held]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array([y for _, x in held for y in x], pa.int64()))
+
     @staticmethod
     def _batch(kind: str, articles: tuple, revs: tuple, columns: dict) -> pa.RecordBatch:
         columns = {"kind": pa.array([kind] * len(revs)), "article": pa.array(articles, pa.string()), "rev_id": pa.array(revs, pa.int64()), **columns}
@@ -329,7 +369,10 @@ def token_provenance(revisions: DataFrame, targets: DataFrame | None = None, pas
 
     Both kinds come from one pass: save the result and read each with states() and lives(), or ask for one of the kinds alone.
     """
-    rows = _provenance(revisions, targets, pass_over, kinds, parts).withColumn("t", F.arrays_zip(*TOKENS)).drop(*TOKENS)
+    rows = _provenance(revisions, targets, pass_over, kinds, parts)
+    if "state" not in kinds:
+        return rows.select("kind", "article", "rev_id", F.lit(None).cast("int").alias("place"), "token_id", "str", "o_rev_id", F.lit(None).cast("boolean").alias("back"), "ins", "outs")
+    rows = rows.withColumn("t", F.arrays_zip(*TOKENS)).drop(*TOKENS)
     rows = rows.select("*", F.posexplode_outer("t").alias("place", "at")).drop("t")
     own = lambda k, column: F.coalesce(f"at.{k}", column).alias(column)
     return rows.select("kind", "article", "rev_id", "place", own("ids", "token_id"), own("strs", "str"), own("origins", "o_rev_id"), F.col("at.backs").alias("back"), "ins", "outs")

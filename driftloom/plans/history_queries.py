@@ -30,13 +30,15 @@ def token_states(v: Views) -> DataFrame:
 @query()
 def token_lives(v: Views) -> DataFrame:
     """Tokens of all drafts with the revisions that took them out and put them back."""
-    return provenance.lives(provenance.token_provenance(v.drafts, kinds=("life",)))
+    parts = v.text_parts()
+    return provenance.lives(provenance.token_provenance(v.drafts_in(parts), kinds=("life",), parts=parts))
 
 
 @query()
 def revision_origins(v: Views) -> DataFrame:
     """What each draft brought, brought back and kept."""
-    return provenance.origins_of(provenance.token_provenance(v.drafts, kinds=("state",)))
+    parts = v.text_parts()
+    return provenance.origins_of(provenance.token_provenance(v.drafts_in(parts), kinds=("state",), parts=parts))
 
 
 _QUOTED = "replace(replace(replace(replace(url_encode(replace(title, ' ', '_')), '%28', '('), '%29', ')'), '%3A', ':'), '%2F', '/')"

@@ -181,3 +181,19 @@ def dealt_in_parts(spark, query, folder="/root/testdata/sf0.01"):
 
 def test_token_states_come_in_parts_of_bounded_size(spark):
     assert dealt_in_parts(spark, "token_states")
+
+
+def test_token_lives_come_in_parts_of_bounded_size(spark):
+    assert dealt_in_parts(spark, "token_lives")
+
+
+def test_sentences_of_the_last_revision_are_not_cut_again(monkeypatch):
+    from driftloom.operators import provenance as pv
+
+    cut = []
+    monkeypatch.setattr(pv, "_digest", lambda parts, own=pv._digest: cut.append(parts) or own(parts))
+    ledger = pv.Ledger()
+    for k, text in enumerate(("One two.\nThree! Four", "One two. Three! Five\n\nFour", "four")):
+        assert ledger.add(k + 1, text, "so")
+    assert [x for x in cut if x and isinstance(x[0], str) and len(x) < 4 and " " not in "".join(x)] == [["one", "two", "."], ["three", "!"], ["four"], ["five"], ["four"]]
+    assert ledger.words == ["one", "two", ".", "three", "!", "four", "five"] and ledger.outs == {0: [3], 1: [3], 2: [3], 3: [3], 4: [3], 6: [3]} and ledger.ins == {}
