@@ -262,14 +262,16 @@ class Ledger:
 
 
 class _Rows:
-    """Rows of both kinds, sent on in batches of about ROWS tokens."""
+    """Rows of both kinds, sent on in batches of about ROWS tokens; states have those of TOKENS in lists."""
 
-    def __init__(self) -> None:
+    def __init__(self, lists: tuple[str, ...]) -> None:
+        self.lists = lists
         self._clear()
 
     def _clear(self) -> None:
         self.states: list[tuple[str, int, int]] = []
-        self.tokens: dict[str, list] = {k: [] for k in TOKENS}
+        self.tokens: dict[str, list] = {k: [] for k in self.lists}
+        self.n_tokens = 0
         self.lives: list[tuple[str, int]] = []
         self.facts: dict[str, list] = {k: [] for k in LIFE}
 
@@ -278,9 +280,11 @@ class _Rows:
         if not ids:
             return
         self.states.append((article, rev_id, len(ids)))
-        for k, own in (("ids", ids), ("strs", map(ledger.words.__getitem__, ids)), ("origins", map(ledger.origins.__getitem__, ids)), ("backs", map(ledger.back.__contains__, ids))):
-            self.tokens[k].extend(own)
-        if len(self.tokens["ids"]) >= ROWS:
+        of = {"ids": lambda: ids, "strs": lambda: map(ledger.words.__getitem__, ids), "origins": lambda: map(ledger.origins.__getitem__, ids), "backs": lambda: map(ledger.back.__contains__, ids)}
+        for k, own in self.tokens.items():
+            own.extend(of[k]())
+        self.n_tokens += len(ids)
+        if self.n_tokens >= ROWS:
             yield from self.flush()
 
     def life(self, article: str | None, newest: int, ledger: Ledger | None) -> Iterator[pa.RecordBatch]:
@@ -299,7 +303,7 @@ class _Rows:
         if self.states:
             articles, revs, sizes = zip(*self.states, strict=True)
             offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
-            lists = {k: pa.ListArray.from_arrays(offsets, pa.array(self.tokens[k], v)) for k, v in TOKENS.items()}
+            lists = {k: pa.ListArray.from_arrays(offsets, pa.array(own, TOKENS[k])) for k, own in self.tokens.items()}
             yield self._batch("state", articles, revs, lists)
         if self.lives:
             articles, revs = zip(*self.lives, strict=True)
@@ -319,9 +323,9 @@ class _Rows:
         return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(revs), f.type)) for f in COLUMNS], schema=COLUMNS)
 
 
-def _fold(batches: Iterator[pa.RecordBatch], pass_over: bool, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def _fold(batches: Iterator[pa.RecordBatch], pass_over: bool, kinds: tuple[str, ...], lists: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """Batches of (article, rev_id, text, comment, wanted), each article's rows together and in order; a repeated revision counts once."""
-    out, article, newest, ledger, seen = _Rows(), None, 0, None, set()
+    out, article, newest, ledger, seen = _Rows(lists), None, 0, None, set()
     for batch in batches:
         names, ids, comments, wanted = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
         for name, rev_id, text, comment, asked in zip(names, ids, batch.column(2), comments, wanted, strict=True):
@@ -341,8 +345,8 @@ def _fold(batches: Iterator[pa.RecordBatch], pass_over: bool, kinds: tuple[str,
     yield from out.flush()
 
 
-def _provenance(revisions: DataFrame, targets: DataFrame | None, pass_over: bool, kinds: tuple[str, ...], parts: int | None) -> DataFrame:
-    """SCHEMA. Texts are dealt out by article once, into so many parts (None: Spark's own number), and not at all if they are already."""
+def _provenance(revisions: DataFrame, targets: DataFrame | None, pass_over: bool, kinds: tuple[str, ...], parts: int | None, lists: tuple[str, ...] = tuple(TOKENS)) -> DataFrame:
+    """SCHEMA, of TOKENS those in lists, the others null. Texts are dealt out by article once, into so many parts (None: Spark's own number), and not at all if they are already."""
     ts = F.col("ts") if "ts" in revisions.columns else F.lit(None).cast("timestamp")
     comment = F.col("comment") if "comment" in revisions.columns else F.lit(None)
     rows = revisions.where("article is not null and rev_id is not null").select("article", F.col("rev_id").cast("long").alias("rev_id"), ts.alias("ts"), "text", comment.cast("string").alias("comment"))
@@ -354,7 +358,7 @@ def _provenance(revisions: DataFrame, targets: DataFrame | None, pass_over: bool
         rows = rows.join(asked, "article").where("rev_id <= newest").join(named, ["article", "rev_id"], "left").drop("newest").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
     dealt = rows.repartition(parts, "article") if parts else rows.repartition("article")
     ordered = dealt.sortWithinPartitions("article", F.col("ts").asc_nulls_first(), "rev_id")
-    return ordered.select("article", "rev_id", "text", "comment", "wanted").mapInArrow(lambda batches: _fold(batches, pass_over, kinds), SCHEMA)
+    return ordered.select("article", "rev_id", "text", "comment", "wanted").mapInArrow(lambda batches: _fold(batches, pass_over, kinds, lists), SCHEMA)
 
 
 def token_provenance(revisions: DataFrame, targets: DataFrame | None = None, pass_over: bool = True, kinds: tuple[str, ...] = KINDS, parts: int | None = None) -> DataFrame:
@@ -409,6 +413,17 @@ def origins_of(facts: DataFrame) -> DataFrame:
     """article, rev_id, n_tokens, n_new, n_back, share_kept: what each wanted revision brought, brought back and kept of the wanted one before."""
     n = lambda c: F.count(F.when(c, 1))
     sums = facts.where("kind = 'state'").groupBy("article", "rev_id").agg(F.count(F.lit(1)).alias("n_tokens"), n(F.col("o_rev_id") == F.col("rev_id")).alias("n_new"), n(F.col("back")).alias("n_back"))
+    return _kept(sums)
+
+
+def _kept(sums: DataFrame) -> DataFrame:
     kept = F.col("n_tokens") - F.col("n_new") - F.col("n_back")
     before = F.lag("n_tokens").over(Window.partitionBy("article").orderBy("rev_id"))
     return sums.withColumn("share_kept", kept / before)
+
+
+def revision_origins(revisions: DataFrame, targets: DataFrame | None = None, pass_over: bool = True, parts: int | None = None) -> DataFrame:
+    """origins_of token_provenance's states, counted in each revision's lists without a row a token."""
+    rows = _provenance(revisions, targets, pass_over, ("state",), parts, ("origins", "backs"))
+    n = lambda c: F.size(c).cast("long")
+    return _kept(rows.select("article", "rev_id", n("origins").alias("n_tokens"), n(F.filter("origins", lambda o: o == F.col("rev_id"))).alias("n_new"), n(F.filter("backs", lambda b: b)).alias("n_back")))

@@ -38,7 +38,7 @@ def token_lives(v: Views) -> DataFrame:
 def revision_origins(v: Views) -> DataFrame:
     """What each draft brought, brought back and kept."""
     parts = v.text_parts()
-    return provenance.origins_of(provenance.token_provenance(v.drafts_in(parts), kinds=("state",), parts=parts))
+    return provenance.revision_origins(v.drafts_in(parts), parts=parts)
 
 
 _QUOTED = "replace(replace(replace(replace(url_encode(replace(title, ' ', '_')), '%28', '('), '%29', ')'), '%3A', ':'), '%2F', '/')"

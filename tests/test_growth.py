@@ -197,3 +197,19 @@ def test_sentences_of_the_last_revision_are_not_cut_again(monkeypatch):
         assert ledger.add(k + 1, text, "so")
     assert [x for x in cut if x and isinstance(x[0], str) and len(x) < 4 and " " not in "".join(x)] == [["one", "two", "."], ["three", "!"], ["four"], ["five"], ["four"]]
     assert ledger.words == ["one", "two", ".", "three", "!", "four", "five"] and ledger.outs == {0: [3], 1: [3], 2: [3], 3: [3], 4: [3], 6: [3]} and ledger.ins == {}
+
+
+def test_origins_are_counted_without_a_row_a_token(spark):
+    import random
+
+    from driftloom.operators import provenance as pv
+    from driftloom.plans import QUERIES
+
+    r = random.Random(5)
+    rows = [(f"a{n % 3}", n, r.choice([None, "", "x."]) if n % 7 == 0 else " ".join(r.choice(["red.", "Blue", "wall\n\n", "stone", "old!"]) for _ in range(r.randrange(30)))) for n in range(60)]
+    texts = spark.createDataFrame(rows, "article string, rev_id long, text string")
+    found, want = pv.revision_origins(texts, parts=3), pv.origins_of(pv.token_provenance(texts, kinds=("state",)))
+    assert found.dtypes == want.dtypes and sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert found.where("n_back > 0").count()
+    plan = QUERIES["revision_origins"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1  # the drafts
