@@ -33,7 +33,9 @@ LONG, SHRINKS, DENSE = 1000, 0.4, 20
 #: Tokens that are sent on at once.
 ROWS = 50_000
 #: Places of equal pairs of words that are held at once while two texts are aligned, and stretches from which numpy pays.
-MEETINGS, MANY = 4_000_000, 48
+MEETINGS, MANY = 1_000_000, 48
+#: Beyond MEETINGS, two texts are aligned as one number of at most so many bits.
+BITS = 400_000_000
 PARAGRAPH_END = re.compile(r"\n[ \t\r\f\v]*\n\s*")
 #: White space after a terminal mark, or new lines; it starts with a class, by which places are found sooner.
 SENTENCE_END = re.compile(r"\s(?:(?<=[.!?]\s)\s*|(?<=\n)\n*)")
@@ -96,6 +98,39 @@ def _stretches(a: list[int], b: list[int]) -> np.ndarray | None:
     return np.stack([start, start + ends - cuts + 1, key[cuts] // (len(a) + 1) - len(a)])
 
 
+def _by_bits(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int]]:
+    """matching_blocks of texts whose words repeat often: a bit for each place in a and place in b with the same word, a line of bits for each place in a.
+
+    The number and itself, moved by k lines and k places, have in common where k + 1 words match.
+    """
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        wide = (j1 - j0) // 8 + 1  # a bit to spare at least, so that no match goes on in the next line
+        places: dict[int, bytearray] = {w: bytearray(wide) for w in set(a[i0:i1])}
+        for j in range(j1 - j0):
+            if (line := places.get(b[j0 + j])) is not None:
+                line[j >> 3] |= 1 << (j & 7)
+        cells = int.from_bytes(b"".join([places[w] for w in a[i0:i1]]), "little")
+        if not cells:
+            continue
+        wide *= 8
+        twice, n = [cells], 1
+        while more := cells & cells >> n * (wide + 1):
+            twice.append(cells := more)
+            n *= 2
+        twice.pop()
+        while twice:
+            k, step = 1 << len(twice) - 1, twice.pop()
+            if more := cells & step >> n * (wide + 1):
+                cells = more
+                n += k
+        i, j = divmod((cells & -cells).bit_length() - 1, wide)  # of the longest, the first in a, then in b
+        del cells, more
+        yield i0 + i, j0 + j, n
+        todo += [x for x in ((i0, i0 + i, j0, j0 + j), (i0 + i + n, i1, j0 + j + n, j1)) if x[0] < x[1] and x[2] < x[3]]
+
+
 def matching_blocks(old: list[str], new: list[str]) -> Iterator[tuple[int, int, int]]:
     """The blocks of SequenceMatcher(None, old, new, autojunk=False), in any order; neighbouring ones aren't joined.
 
@@ -106,6 +141,9 @@ def matching_blocks(old: list[str], new: list[str]) -> Iterator[tuple[int, int,
     b = [codes.setdefault(w, len(codes)) for w in new]
     a = [codes.get(w, -1) for w in old]
     runs = _stretches(a, b) if len(a) > 1 and len(b) > 1 else np.empty((3, 0), dtype=np.int64)
+    if runs is None and len(a) * (len(b) + 8) <= BITS:
+        yield from _by_bits(a, b)
+        return
     if runs is None:
         yield from SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks()
         return

@@ -213,3 +213,21 @@ def test_origins_are_counted_without_a_row_a_token(spark):
     assert found.where("n_back > 0").count()
     plan = QUERIES["revision_origins"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate ") == 1  # the drafts
+
+
+def test_texts_of_few_words_are_aligned_without_difflib(monkeypatch):
+    """Where very many places meet, neither a table of them is held nor each word walked through all its places."""
+    import random
+    from difflib import SequenceMatcher
+
+    from driftloom.operators import provenance as pv
+
+    r = random.Random(2)
+    cells = lambda blocks: sorted((i + k, j + k) for i, j, n in blocks for k in range(n))
+    cases = [([r.choice("abc"[: 1 + n % 3]) for _ in range(r.randrange(40))], [r.choice("abc") for _ in range(r.randrange(40))]) for n in range(300)]
+    want = [cells(SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) for a, b in cases]
+    monkeypatch.setattr(pv, "SequenceMatcher", None)
+    long = ["so", "it", "is"] * 2000
+    assert cells(pv.matching_blocks(long, [*long[:3000], "not", *long[3000:]])) == [(k, k + (k > 2999)) for k in range(6000)]
+    monkeypatch.setattr(pv, "MEETINGS", 0)
+    assert [cells(pv.matching_blocks(a, b)) for a, b in cases] == want
